@@ -127,9 +127,12 @@ def fit_iterative(
     second moments. Those come from ONE aggregation with at most 2^p groups (partial aggregation
     before the shuffle); all rounds then run on the driver on p×p matrices. Observed cells never change.
     """
-    p = len(cols)
     mrow = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    means = [float(mrow[c]) if mrow[c] is not None else 0.0 for c in cols]
+    cols = [c for c in cols if mrow[c] is not None]  # a never-observed column is left as it is (NULL)
+    p = len(cols)
+    means = [float(mrow[c]) for c in cols]
+    if p == 0:
+        return IterativeFill([], [], [])
     u = [F.coalesce(F.col(c) - F.lit(m), F.lit(0.0)) for c, m in zip(cols, means)]
     pattern = sum((F.col(c).isNull().cast("int") * (1 << j) for j, c in enumerate(cols)), F.lit(0))
     aggs = [F.count(F.lit(1)).alias("n")]
