@@ -11,9 +11,11 @@ Two kinds, one interface (``fit(train, fold, k)`` → a fitted object with ``oof
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -194,9 +196,18 @@ class MLBase:
     def fit_one(self, train: DataFrame) -> PipelineModel:
         return self.pipeline().fit(train)
 
-    def fit(self, train: DataFrame, fold: str, k: int) -> MLFit:
-        models = {f: self.fit_one(train.filter(F.col(fold) != f)) for f in range(k)}
-        models[ALL] = self.fit_one(train)
+    def fit(self, train: DataFrame, fold: str, k: int, parallelism: int | None = None) -> MLFit:
+        """k out-of-fold fits and the fit on all rows, submitted concurrently from driver threads.
+
+        The fits are independent; each is a chain of small distributed jobs (one per tree level),
+        so running them side by side keeps the executors busy, as ``CrossValidator(parallelism)`` does.
+        """
+        subsets = {f: train.filter(F.col(fold) != f) for f in range(k)}
+        subsets[ALL] = train
+        n = parallelism or len(subsets)
+        with ThreadPoolExecutor(max_workers=n) as pool:
+            futures = {f: pool.submit(inheritable_thread_target(train.sparkSession)(self.fit_one), d) for f, d in subsets.items()}
+            models = {f: fut.result() for f, fut in futures.items()}
         return MLFit(self, fold, models)
 
 

@@ -8,6 +8,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -22,7 +25,8 @@ def out_of_fold(train: DataFrame, fold: str, bases: list, k: int) -> tuple[DataF
 
     Every training row appears exactly once, predicted by the fit that excluded its fold.
     """
-    fitted = [b.fit(train, fold, k) for b in bases]
+    with ThreadPoolExecutor(max_workers=max(1, len(bases))) as pool:
+        fitted = list(pool.map(inheritable_thread_target(train.sparkSession)(lambda b: b.fit(train, fold, k)), bases))
     out = train
     for f in fitted:
         out = f.oof(out)
@@ -61,17 +65,21 @@ def fit_per_season(
     """Test rows scored by the model of their own season, in column ``fitter.col``.
 
     Sufficient-statistic fitters fit every season in one grouped aggregation. Other fitters run one
-    distributed fit per season (a bounded loop over the season levels on the driver); a season
-    without training rows gets no model and its test rows a NULL prediction.
+    distributed fit per season level, submitted concurrently (a bounded set: the levels of the
+    mapping); a season without training rows gets no model and its test rows a NULL prediction.
     """
     if hasattr(fitter, "fit_groups"):
         return fitter.fit_groups(train, season).oof(test)
     counts = {r[season]: r["n"] for r in train.groupBy(season).agg(F.count(F.lit(1)).alias("n")).collect()}
+    fit_levels = [lv for lv in levels if counts.get(lv, 0) > 0]
+    with ThreadPoolExecutor(max_workers=max(1, len(fit_levels))) as pool:
+        fit_one = inheritable_thread_target(train.sparkSession)(lambda lv: fitter.fit_one(train.filter(F.col(season) == lv)))
+        models = dict(zip(fit_levels, pool.map(fit_one, fit_levels)))
     parts = []
     for lv in levels:
         rows = test.filter(F.col(season) == lv)
-        if counts.get(lv, 0) > 0:
-            parts.append(fitter.fit_one(train.filter(F.col(season) == lv)).transform(rows).drop(fitter.vec))
+        if lv in models:
+            parts.append(models[lv].transform(rows).drop(fitter.vec))
         else:
             parts.append(rows.withColumn(fitter.col, F.lit(None).cast("double")))
     other = test.filter(~F.col(season).isin(*levels) | F.col(season).isNull())

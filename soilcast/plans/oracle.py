@@ -39,33 +39,40 @@ def r(x: str, d: int = R6) -> str:
     return f"round({x}, {d})"
 
 
-# The linear stack: mean-filled a, bases training-season mean and line on a, meta without intercept.
-LINEAR_STACK = """
-fm AS (SELECT avg(a) AS ma FROM tr),
-trf AS (SELECT tr.k1, tr.k2, tr.season, tr.y, tr.fold, coalesce(tr.a, fm.ma) AS a FROM tr, fm),
-tef AS (SELECT te.k1, te.k2, te.season, te.y, coalesce(te.a, fm.ma) AS a FROM te, fm),
-folds AS (SELECT DISTINCT fold AS h FROM trf),
-sm_oof AS (SELECT h, season, avg(y) AS m FROM folds JOIN trf ON fold <> h GROUP BY h, season),
-om_oof AS (SELECT h, avg(y) AS m FROM folds JOIN trf ON fold <> h GROUP BY h),
-ln_oof AS (SELECT h, regr_slope(y, a) AS s, regr_intercept(y, a) AS i FROM folds JOIN trf ON fold <> h GROUP BY h),
-oof AS (
+def linear_stack_sql(pre: str, trf: str, tef: str, scenario: str) -> str:
+    """CTEs of the linear stack for one scenario; ``trf``/``tef`` give k1, k2, season, y, (fold,) a.
+
+    Bases: training-season mean and line on a; meta: least squares without intercept.
+    Ends with ``{pre}long`` (keys, season, scenario, model, y, prediction).
+    """
+    return f"""
+{pre}trf AS ({trf}),
+{pre}tef AS ({tef}),
+{pre}folds AS (SELECT DISTINCT fold AS h FROM {pre}trf),
+{pre}sm_oof AS (SELECT h, season, avg(y) AS m FROM {pre}folds JOIN {pre}trf ON fold <> h GROUP BY h, season),
+{pre}om_oof AS (SELECT h, avg(y) AS m FROM {pre}folds JOIN {pre}trf ON fold <> h GROUP BY h),
+{pre}ln_oof AS (SELECT h, regr_slope(y, a) AS s, regr_intercept(y, a) AS i FROM {pre}folds JOIN {pre}trf ON fold <> h GROUP BY h),
+{pre}oof AS (
   SELECT x.k1, x.k2, x.season, x.fold, x.y, coalesce(sm.m, om.m) AS p1, ln.i + ln.s * x.a AS p2
-  FROM trf x LEFT JOIN sm_oof sm ON sm.h = x.fold AND sm.season = x.season
-  JOIN om_oof om ON om.h = x.fold JOIN ln_oof ln ON ln.h = x.fold),
-mm AS (SELECT sum(p1 * p1) AS s11, sum(p1 * p2) AS s12, sum(p2 * p2) AS s22,
-              sum(p1 * y) AS s1y, sum(p2 * y) AS s2y FROM oof),
-w AS (SELECT (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS w1,
-             (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS w2 FROM mm),
-sm_all AS (SELECT season, avg(y) AS m FROM trf GROUP BY season),
-om_all AS (SELECT avg(y) AS m FROM trf),
-ln_all AS (SELECT regr_slope(y, a) AS s, regr_intercept(y, a) AS i FROM trf),
-pred AS (
+  FROM {pre}trf x LEFT JOIN {pre}sm_oof sm ON sm.h = x.fold AND sm.season = x.season
+  JOIN {pre}om_oof om ON om.h = x.fold JOIN {pre}ln_oof ln ON ln.h = x.fold),
+{pre}mm AS (SELECT sum(p1 * p1) AS s11, sum(p1 * p2) AS s12, sum(p2 * p2) AS s22,
+              sum(p1 * y) AS s1y, sum(p2 * y) AS s2y FROM {pre}oof),
+{pre}w AS (SELECT (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS w1,
+             (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS w2 FROM {pre}mm),
+{pre}sm_all AS (SELECT season, avg(y) AS m FROM {pre}trf GROUP BY season),
+{pre}om_all AS (SELECT avg(y) AS m FROM {pre}trf),
+{pre}ln_all AS (SELECT regr_slope(y, a) AS s, regr_intercept(y, a) AS i FROM {pre}trf),
+{pre}pred AS (
   SELECT e.k1, e.k2, e.season, e.y, coalesce(sm.m, om.m) AS p1, ln.i + ln.s * e.a AS p2
-  FROM tef e LEFT JOIN sm_all sm ON sm.season = e.season CROSS JOIN om_all om CROSS JOIN ln_all ln),
-long AS (
-  SELECT k1, k2, season, 'mean' AS scenario, 'season_mean' AS model, y, p1 AS prediction FROM pred
-  UNION ALL SELECT k1, k2, season, 'mean', 'line_a', y, p2 FROM pred
-  UNION ALL SELECT k1, k2, season, 'mean', 'stack', y, w1 * p1 + w2 * p2 FROM pred CROSS JOIN w),
+  FROM {pre}tef e LEFT JOIN {pre}sm_all sm ON sm.season = e.season CROSS JOIN {pre}om_all om CROSS JOIN {pre}ln_all ln),
+{pre}long AS (
+  SELECT k1, k2, season, '{scenario}' AS scenario, 'season_mean' AS model, y, p1 AS prediction FROM {pre}pred
+  UNION ALL SELECT k1, k2, season, '{scenario}', 'line_a', y, p2 FROM {pre}pred
+  UNION ALL SELECT k1, k2, season, '{scenario}', 'stack', y, w1 * p1 + w2 * p2 FROM {pre}pred CROSS JOIN {pre}w)"""
+
+
+MET = """
 met AS (
   SELECT scenario, model, season, count(*) AS n,
          sqrt(avg((prediction - y) * (prediction - y))) AS rmse,
@@ -73,6 +80,44 @@ met AS (
          1e0 - sum((prediction - y) * (prediction - y)) / (count(*) * var_pop(y)) AS r2
   FROM long GROUP BY GROUPING SETS ((scenario, model, season), (scenario, model)))"""
 
+# The flagship: mean-filled a (training mean).
+LINEAR_STACK = (
+    "fm AS (SELECT avg(a) AS ma FROM tr),"
+    + linear_stack_sql(
+        "",
+        "SELECT tr.k1, tr.k2, tr.season, tr.y, tr.fold, coalesce(tr.a, fm.ma) AS a FROM tr, fm",
+        "SELECT te.k1, te.k2, te.season, te.y, coalesce(te.a, fm.ma) AS a FROM te, fm",
+        "mean",
+    )
+    + ","
+    + MET
+)
+
+
+def grid_sql() -> str:
+    """Scenario × model × season leaderboard over the gap columns a and b."""
+    sel = "SELECT {t}.k1, {t}.k2, {t}.season, {t}.y{fold}, {a} AS a FROM {src}"
+    parts = [_mean_fills(("a", "b")), _iterative()]
+    specs = {
+        "mean": ("coalesce(o.a, gm.m_a)", "obs o CROSS JOIN gm", None),
+        "mean_by_season": ("coalesce(o.a, sm.m_a, gm.m_a)", "obs o LEFT JOIN sm USING (season) CROSS JOIN gm", None),
+        "iterative": ("f.z_a", "obs o JOIN itf f USING (k1, k2)", None),
+        "complete_cases": ("o.a", "obs o", "o.a IS NOT NULL AND o.b IS NOT NULL"),
+    }
+    longs = []
+    for i, (scen, (a, src, cond)) in enumerate(specs.items()):
+        pre = f"g{i}_"
+        where_tr = f" WHERE o.split = 'train'" + (f" AND {cond}" if cond else "")
+        where_te = f" WHERE o.split = 'test'" + (f" AND {cond}" if cond else "")
+        trf = sel.format(t="o", fold=", o.fold", a=a, src=src) + where_tr
+        tef = sel.format(t="o", fold="", a=a, src=src) + where_te
+        parts.append(linear_stack_sql(pre, trf, tef, scen).strip())
+        longs.append(f"SELECT * FROM {pre}long")
+    parts.append("long AS (" + " UNION ALL ".join(longs) + ")")
+    parts.append(MET.strip())
+    return with_obs(",\n".join(parts) + f" SELECT {{cols}}, rank() OVER (PARTITION BY season ORDER BY round(rmse, 6)) AS rk FROM met")
+
+
 MET_COLS = f"scenario, model, season, n, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('r2')} AS r2"
 
 
@@ -241,8 +286,9 @@ def oracle_sql() -> dict[str, str]:
     q["write_results"] = q["predict_stack"]
     q["regression_metrics"] = with_obs(LINEAR_STACK + f" SELECT {MET_COLS} FROM met")
     q["leaderboard"] = with_obs(
-        LINEAR_STACK + f" SELECT {MET_COLS}, rank() OVER (PARTITION BY season ORDER BY rmse) AS rk FROM met"
+        LINEAR_STACK + f" SELECT {MET_COLS}, rank() OVER (PARTITION BY season ORDER BY round(rmse, 6)) AS rk FROM met"
     )
+    q["scenario_grid"] = grid_sql().replace("{cols}", MET_COLS)
     q["per_season_line"] = with_obs(
         _mean_fills(("a",))
         + ", trf AS (SELECT tr.season, tr.y, coalesce(tr.a, gm.m_a) AS a FROM tr, gm),"

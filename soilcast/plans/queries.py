@@ -234,6 +234,16 @@ def q_leaderboard(spark, sf):
     return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
 
 
+def q_scenario_grid(spark, sf):
+    lb = flows.scenario_grid(spark, sf)
+    return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
+
+
+def q_tree_stack(spark, sf):
+    lb = leaderboard(regression_metrics(flows.tree_stack(spark, sf)))
+    return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
+
+
 def q_temperature_gap(spark, sf):
     return rounded(temperature_gap(_obs(spark, sf), ["a0", "b0", "c0"], by=["season"]))
 
@@ -271,4 +281,6 @@ def queries() -> dict[str, Query]:
         "regression_metrics": q_regression_metrics,
         "leaderboard": q_leaderboard,
         "temperature_gap": q_temperature_gap,
+        "scenario_grid": q_scenario_grid,
+        "tree_stack": q_tree_stack,
     }
