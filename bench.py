@@ -38,7 +38,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2)
+    spark = local_session(cores=cpus, shuffle_partitions=int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
     qs = queries()
     times = {}

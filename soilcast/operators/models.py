@@ -226,8 +226,8 @@ BOOSTED = {
 
 
 def boosted(config: str, **overrides) -> GBTRegressor:
-    params = {**BOOSTED[config], **overrides}
-    return GBTRegressor(lossType="squared", cacheNodeIds=True, checkpointInterval=10, **params)
+    params = {"lossType": "squared", "cacheNodeIds": False, "checkpointInterval": 10, **BOOSTED[config], **overrides}
+    return GBTRegressor(**params)
 
 
 def boosted_base(config: str, features: list[str], y: str = "y", **overrides) -> MLBase:
