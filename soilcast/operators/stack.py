@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,17 +33,59 @@ def out_of_fold(train: DataFrame, fold: str, bases: list, k: int) -> tuple[DataF
     return out, fitted
 
 
-def linear_meta(intercept: bool = False) -> LinearRegression:
-    """Least-squares weights of the base predictions (no penalty, exact normal equations)."""
-    return LinearRegression(fitIntercept=intercept, regParam=0.0, elasticNetParam=0.0, solver="normal", standardization=False)
+class LeastSquaresModel:
+    def __init__(self, p_cols: list[str], weights: list[float], intercept: float | None, prediction: str):
+        self.p_cols, self.weights, self.intercept, self.prediction = list(p_cols), weights, intercept, prediction
 
+    def transform(self, df: DataFrame) -> DataFrame:
+        pred = F.lit(self.intercept if self.intercept is not None else 0.0)
+        for c, w in zip(self.p_cols, self.weights):
+            pred = pred + F.lit(w) * F.col(c)
+        return df.withColumn(self.prediction, pred)
 
-def fit_stack(oof: DataFrame, p_cols: list[str], y: str = "y", meta=None, prediction: str = "prediction") -> PipelineModel:
-    meta = (meta or linear_meta()).copy().setFeaturesCol("_meta_x").setLabelCol(y).setPredictionCol(prediction)
+
+class LeastSquares:
+    """Meta-learner y ≈ w·p (+ b): normal equations from ONE aggregation of cross-products.
+
+    m base predictions give (m+1)² sums; the m×m solve runs on the driver. Same solution as an
+    unpenalised ``LinearRegression(solver="normal")``, in one job instead of several.
+    """
+
+    def __init__(self, intercept: bool = False):
+        self.intercept = intercept
+
+    def fit(self, df: DataFrame, p_cols: list[str], y: str, prediction: str) -> LeastSquaresModel:
+        xs = ([F.lit(1.0)] if self.intercept else []) + [F.col(c) for c in p_cols]
+        m = len(xs)
+        usable = df.na.drop(subset=[*p_cols, y])
+        aggs = [F.sum(xs[i] * xs[j]).alias(f"g{i}_{j}") for i in range(m) for j in range(i, m)]
+        aggs += [F.sum(xs[i] * F.col(y)).alias(f"h{i}") for i in range(m)]
+        row = usable.agg(*aggs).first()
+        G = np.zeros((m, m))
+        for i in range(m):
+            for j in range(i, m):
+                G[i, j] = G[j, i] = row[f"g{i}_{j}"] or 0.0
+        h = np.array([row[f"h{i}"] or 0.0 for i in range(m)])
+        w = np.linalg.lstsq(G, h, rcond=None)[0]
+        b = float(w[0]) if self.intercept else None
+        return LeastSquaresModel(p_cols, [float(x) for x in w[1 if self.intercept else 0 :]], b, prediction)
+
+
+def fit_stack(oof: DataFrame, p_cols: list[str], y: str = "y", meta=None, prediction: str = "prediction"):
+    """Meta-learner over out-of-fold predictions: ``LeastSquares`` (default) or any pyspark.ml regressor."""
+    meta = meta or LeastSquares()
+    if isinstance(meta, LeastSquares):
+        return meta.fit(oof, p_cols, y, prediction)
+    meta = meta.copy().setFeaturesCol("_meta_x").setLabelCol(y).setPredictionCol(prediction)
     return Pipeline(stages=[VectorAssembler(inputCols=list(p_cols), outputCol="_meta_x", handleInvalid="error"), meta]).fit(oof)
 
 
-def stack_weights(meta_model: PipelineModel, p_cols: list[str]) -> list[tuple[str, float]]:
+def stack_weights(meta_model, p_cols: list[str]) -> list[tuple[str, float]]:
+    if isinstance(meta_model, LeastSquaresModel):
+        out = list(zip(meta_model.p_cols, meta_model.weights))
+        if meta_model.intercept is not None:
+            out.append(("intercept", meta_model.intercept))
+        return out
     lr = meta_model.stages[-1]
     out = [(c, float(w)) for c, w in zip(p_cols, lr.coefficients.toArray())]
     if lr.getFitIntercept():
@@ -51,12 +93,13 @@ def stack_weights(meta_model: PipelineModel, p_cols: list[str]) -> list[tuple[st
     return out
 
 
-def predict_stack(df: DataFrame, fitted: list, meta_model: PipelineModel) -> DataFrame:
+def predict_stack(df: DataFrame, fitted: list, meta_model) -> DataFrame:
     """Rows of ``df`` with every base's prediction (fit on all training rows) and the stack's."""
     out = df
     for f in fitted:
         out = f.predict(out)
-    return meta_model.transform(out).drop("_meta_x")
+    out = meta_model.transform(out)
+    return out.drop("_meta_x") if "_meta_x" in out.columns else out
 
 
 def fit_per_season(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from soilcast.operators.features import assign_fold, with_split
 from soilcast.operators.impute import fit_mean
 from soilcast.operators.models import GroupMeanBase, LinearBase
-from soilcast.operators.scoring import leaderboard, regression_metrics, to_long
+from soilcast.operators.scoring import leaderboard, on_common_rows, regression_metrics, to_long
 from soilcast.operators.stack import fit_stack, out_of_fold, predict_stack
 from soilcast.session import shared_dir
 from soilcast.sources.observations import observations
@@ -70,11 +70,12 @@ GRID_COLS = ["a", "b"]
 GRID_ROUNDS = 3
 
 
-def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
+def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common_rows: bool = False) -> DataFrame:
     """One leaderboard over treatment × model × season (linear bases and their stack).
 
     Every treatment is fitted on training rows only. ``complete_cases`` scores fewer test rows
-    (those without a gap); the leaderboard carries ``n`` so the difference stays visible.
+    (those without a gap); the leaderboard carries ``n`` so the difference stays visible, and
+    ``common_rows`` scores every treatment on the test rows all of them predict.
     """
     from soilcast.operators.impute import complete_cases, fit_iterative
 
@@ -99,6 +100,8 @@ def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None) -> Dat
     long = longs[0]
     for x in longs[1:]:
         long = long.unionByName(x)
+    if common_rows:
+        long = on_common_rows(long, KEYS)
     return leaderboard(regression_metrics(long), k=k)
 
 

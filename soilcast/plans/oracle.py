@@ -94,7 +94,7 @@ LINEAR_STACK = (
 )
 
 
-def grid_sql() -> str:
+def grid_sql(common_rows: bool = False) -> str:
     """Scenario × model × season leaderboard over the gap columns a and b."""
     sel = "SELECT {t}.k1, {t}.k2, {t}.season, {t}.y{fold}, {a} AS a FROM {src}"
     parts = [_mean_fills(("a", "b")), _iterative()]
@@ -113,7 +113,15 @@ def grid_sql() -> str:
         tef = sel.format(t="o", fold="", a=a, src=src) + where_te
         parts.append(linear_stack_sql(pre, trf, tef, scen).strip())
         longs.append(f"SELECT * FROM {pre}long")
-    parts.append("long AS (" + " UNION ALL ".join(longs) + ")")
+    if common_rows:
+        parts.append("long_all AS (" + " UNION ALL ".join(longs) + ")")
+        parts.append(
+            "common AS (SELECT k1, k2 FROM long_all WHERE prediction IS NOT NULL GROUP BY k1, k2 "
+            "HAVING count(DISTINCT scenario) = (SELECT count(DISTINCT scenario) FROM long_all))"
+        )
+        parts.append("long AS (SELECT * FROM long_all WHERE (k1, k2) IN (SELECT (k1, k2) FROM common))")
+    else:
+        parts.append("long AS (" + " UNION ALL ".join(longs) + ")")
     parts.append(MET.strip())
     return with_obs(",\n".join(parts) + f" SELECT {{cols}}, rank() OVER (PARTITION BY season ORDER BY round(rmse, 6)) AS rk FROM met")
 
@@ -289,6 +297,7 @@ def oracle_sql() -> dict[str, str]:
         LINEAR_STACK + f" SELECT {MET_COLS}, rank() OVER (PARTITION BY season ORDER BY round(rmse, 6)) AS rk FROM met"
     )
     q["scenario_grid"] = grid_sql().replace("{cols}", MET_COLS)
+    q["scenario_grid_common"] = grid_sql(common_rows=True).replace("{cols}", MET_COLS)
     q["per_season_line"] = with_obs(
         _mean_fills(("a",))
         + ", trf AS (SELECT tr.season, tr.y, coalesce(tr.a, gm.m_a) AS a FROM tr, gm),"

@@ -239,6 +239,11 @@ def q_scenario_grid(spark, sf):
     return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
 
 
+def q_scenario_grid_common(spark, sf):
+    lb = flows.scenario_grid(spark, sf, common_rows=True)
+    return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
+
+
 def q_tree_stack(spark, sf):
     lb = leaderboard(regression_metrics(flows.tree_stack(spark, sf)))
     return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
@@ -282,5 +287,6 @@ def queries() -> dict[str, Query]:
         "leaderboard": q_leaderboard,
         "temperature_gap": q_temperature_gap,
         "scenario_grid": q_scenario_grid,
+        "scenario_grid_common": q_scenario_grid_common,
         "tree_stack": q_tree_stack,
     }

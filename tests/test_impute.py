@@ -87,3 +87,17 @@ def test_imputation_rules_do_not_touch_other_columns(spark):
     assert out.columns == df.columns
     assert [r.s for r in out.orderBy("id").collect()] == ["x", "y"]
     assert out.filter(F.col("a").isNull()).count() == 0
+
+
+def test_iterative_tol_stops_early(spark):
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(300, 3)) @ np.array([[1.0, 0.5, 0.2], [0.0, 1.0, 0.3], [0.0, 0.0, 1.0]]) + 5
+    X[rng.random(X.shape) < 0.15] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in X[i]]) for i in range(len(X))]
+    df = spark.createDataFrame(rows, "id int, x0 double, x1 double, x2 double")
+    long = fit_iterative(df, ["x0", "x1", "x2"], rounds=50)
+    short = fit_iterative(df, ["x0", "x1", "x2"], rounds=50, tol=1e-6)
+    assert max(s[0] for s in short.steps) < 50
+    a = long.transform(df).orderBy("id").toPandas()[["x0", "x1", "x2"]].to_numpy()
+    b = short.transform(df).orderBy("id").toPandas()[["x0", "x1", "x2"]].to_numpy()
+    assert np.allclose(a, b, atol=1e-4)

@@ -119,3 +119,19 @@ def test_sink_round_trip(spark, stack):
     back = spark.read.parquet(path)
     assert sorted(back.columns) == sorted(long.columns)
     assert back.exceptAll(long.select(*back.columns)).count() == 0 and back.count() == long.count()
+
+
+@pytest.mark.parametrize("intercept", [False, True])
+def test_least_squares_meta_equals_linear_regression(spark, intercept):
+    from pyspark.ml.regression import LinearRegression
+
+    from soilcast.operators.stack import LeastSquares, stack_weights
+
+    rows = [(float(i % 7), float((i * 3) % 11), 1.0 + 0.5 * (i % 7) + 2.0 * ((i * 3) % 11) + (i % 5) * 0.1) for i in range(200)]
+    df = spark.createDataFrame(rows, "p1 double, p2 double, y double")
+    ours = dict(stack_weights(fit_stack(df, ["p1", "p2"], "y", meta=LeastSquares(intercept)), ["p1", "p2"]))
+    lr = LinearRegression(fitIntercept=intercept, regParam=0.0, solver="normal", standardization=False)
+    ml = dict(stack_weights(fit_stack(df, ["p1", "p2"], "y", meta=lr), ["p1", "p2"]))
+    assert ours.keys() == ml.keys()
+    for k in ours:
+        assert ours[k] == pytest.approx(ml[k], rel=1e-8, abs=1e-9)
