@@ -298,6 +298,9 @@ def oracle_sql() -> dict[str, str]:
     )
     q["scenario_grid"] = grid_sql().replace("{cols}", MET_COLS)
     q["scenario_grid_common"] = grid_sql(common_rows=True).replace("{cols}", MET_COLS)
+    q["best_models"] = (
+        "SELECT * FROM (" + grid_sql().replace("{cols}", MET_COLS) + ") ranked WHERE rk <= 1"
+    )
     q["per_season_line"] = with_obs(
         _mean_fills(("a",))
         + ", trf AS (SELECT tr.season, tr.y, coalesce(tr.a, gm.m_a) AS a FROM tr, gm),"

@@ -96,6 +96,10 @@ def q_quantile_summary(spark, sf):
     return rounded(eda.quantile_summary(_obs(spark, sf), EDA_COLS, PROBS, by=["season"]))
 
 
+def q_quantile_summary_approx(spark, sf):
+    return rounded(eda.quantile_summary(_obs(spark, sf), EDA_COLS, PROBS, by=["season"], accuracy=10000))
+
+
 def q_histogram(spark, sf):
     return rounded(eda.histogram(_obs(spark, sf), "y", 5.0, by=["season"]))
 
@@ -244,6 +248,12 @@ def q_scenario_grid_common(spark, sf):
     return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
 
 
+def q_best_models(spark, sf):
+    """Top-1 report: the best treatment and model per season group (ties all kept)."""
+    lb = flows.scenario_grid(spark, sf, k=1)
+    return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
+
+
 def q_tree_stack(spark, sf):
     lb = leaderboard(regression_metrics(flows.tree_stack(spark, sf)))
     return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
@@ -263,6 +273,7 @@ def queries() -> dict[str, Query]:
         "missing_profile": q_missing_profile,
         "numeric_summary": q_numeric_summary,
         "quantile_summary": q_quantile_summary,
+        "quantile_summary_approx": q_quantile_summary_approx,
         "histogram": q_histogram,
         "correlations": q_correlations,
         "impute_mean": q_impute_mean,
@@ -288,5 +299,6 @@ def queries() -> dict[str, Query]:
         "temperature_gap": q_temperature_gap,
         "scenario_grid": q_scenario_grid,
         "scenario_grid_common": q_scenario_grid_common,
+        "best_models": q_best_models,
         "tree_stack": q_tree_stack,
     }

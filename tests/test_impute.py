@@ -101,3 +101,16 @@ def test_iterative_tol_stops_early(spark):
     a = long.transform(df).orderBy("id").toPandas()[["x0", "x1", "x2"]].to_numpy()
     b = short.transform(df).orderBy("id").toPandas()[["x0", "x1", "x2"]].to_numpy()
     assert np.allclose(a, b, atol=1e-4)
+
+
+def test_iterative_beats_mean_on_fixture(spark):
+    from soilcast.operators.impute import imputation_error
+    from soilcast.plans import flows
+
+    obs = flows.prepared(spark, "/root/testdata/sf0.001")
+    train, _ = flows.train_test(obs)
+    cols = ["a", "b", "c"]
+    fills = {"mean": fit_mean(train, cols), "iterative": fit_iterative(train, cols, rounds=5)}
+    err = {(r.treatment, r.column): r.rmse for r in imputation_error(obs, cols, flows.TRUTH, fills).collect()}
+    for c in cols:
+        assert err[("iterative", c)] < err[("mean", c)]
