@@ -30,6 +30,7 @@ HEADLINE = [
     "imputation_error",
     "out_of_fold",
     "leaderboard",
+    "scenario_grid",
     "boosted_a",
     "tree_stack",
 ]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +10,7 @@ from soilcast.operators.impute import fit_mean
 from soilcast.operators.models import GroupMeanBase, LinearBase
 from soilcast.operators.scoring import leaderboard, on_common_rows, regression_metrics, to_long
 from soilcast.operators.stack import fit_stack, out_of_fold, predict_stack
-from soilcast.session import shared_dir
+from soilcast.session import materialize, shared_dir
 from soilcast.sources.observations import observations
 
 KEYS = ["k1", "k2"]
@@ -22,10 +21,10 @@ SPLIT_MOD, SPLIT_HOLD, FOLDS = 5, 0, 3
 
 
 def prepared(spark: SparkSession, sf_dir: str, persist: bool = True) -> DataFrame:
-    """obs + split + fold. Persisted because every flow runs several jobs over it."""
+    """obs + split + fold, materialised (``soilcast.materialize``) because flows run several jobs over it."""
     shared_dir(spark)  # lineage cuts inside pyspark.ml (tree checkpoints) need the shared folder
     obs = assign_fold(with_split(observations(spark, sf_dir), "k1", SPLIT_MOD, SPLIT_HOLD), "k1", FOLDS)
-    return obs.persist(StorageLevel.MEMORY_AND_DISK) if persist else obs
+    return materialize(obs, "obs") if persist else obs
 
 
 def train_test(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -47,7 +46,7 @@ def linear_stack(spark: SparkSession, sf_dir: str):
     trf, tef = fill.transform(train), fill.transform(test)
     bases = linear_bases()
     oof, fitted = out_of_fold(trf, "fold", bases, FOLDS)
-    oof = oof.persist(StorageLevel.MEMORY_AND_DISK)
+    oof = materialize(oof, "oof")
     meta = fit_stack(oof, [b.col for b in bases], "y")
     pred = predict_stack(tef, fitted, meta)
     return oof, fitted, meta, pred
@@ -118,11 +117,11 @@ def tree_stack(spark: SparkSession, sf_dir: str, configs=("A", "B", "C"), featur
     obs = prepared(spark, sf_dir)
     train, test = train_test(obs)
     fill = fit_mean(train, FEATURES)
-    trf = encode_season(fill.transform(train)).persist(StorageLevel.MEMORY_AND_DISK)
+    trf = materialize(encode_season(fill.transform(train)), "tree_train")
     tef = encode_season(fill.transform(test))
     bases = [boosted_base(c, features) for c in configs]
     oof, fitted = out_of_fold(trf, "fold", bases, FOLDS)
-    oof = oof.persist(StorageLevel.MEMORY_AND_DISK)
+    oof = materialize(oof, "tree_oof")
     meta = fit_stack(oof, [b.col for b in bases], "y")
     pred = predict_stack(tef, fitted, meta)
     models = {b.name: b.col for b in bases}

@@ -7,8 +7,10 @@ settings from the one it is given.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "soilcast") -> SparkSession:
@@ -45,3 +47,22 @@ def shared_dir(spark: SparkSession) -> str:
     else:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     return sc.getCheckpointDir()
+
+
+def materialize(df: DataFrame, name: str, how: str | None = None) -> DataFrame:
+    """Reuse a derived table across the jobs of a flow.
+
+    ``how`` (default: session setting ``soilcast.materialize``, else ``cache``):
+    * ``cache``: persist in memory and on local disk; a lost block is recomputed from lineage;
+    * ``table``: write parquet once in the shared folder and read it back, which cuts the lineage
+      (no upstream shuffle is re-run after an executor loss) and gives later jobs column pruning.
+    """
+    spark = df.sparkSession
+    how = how or spark.conf.get("soilcast.materialize", "cache")
+    if how == "table":
+        path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+    if how == "cache":
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    raise ValueError(f"materialize: unknown mode {how!r}")

@@ -135,3 +135,15 @@ def test_least_squares_meta_equals_linear_regression(spark, intercept):
     assert ours.keys() == ml.keys()
     for k in ours:
         assert ours[k] == pytest.approx(ml[k], rel=1e-8, abs=1e-9)
+
+
+def test_materialize_as_table_gives_same_leaderboard(spark):
+    from soilcast.plans.queries import q_leaderboard
+
+    cached = sorted(map(tuple, q_leaderboard(spark, SF_SMALL).collect()), key=repr)
+    spark.conf.set("soilcast.materialize", "table")
+    try:
+        table = sorted(map(tuple, q_leaderboard(spark, SF_SMALL).collect()), key=repr)
+    finally:
+        spark.conf.unset("soilcast.materialize")
+    assert cached == table
