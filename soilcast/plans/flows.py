@@ -127,3 +127,50 @@ def tree_stack(spark: SparkSession, sf_dir: str, configs=("A", "B", "C"), featur
     models = {b.name: b.col for b in bases}
     models["stack"] = "prediction"
     return to_long(pred, KEYS, models, "mean")
+
+
+def tree_grid(spark: SparkSession, sf_dir: str, configs=("A",)) -> DataFrame:
+    """Boosted trees under every treatment: mean fill, keep-missing (indicator + placeholder; trees
+    only), iterative fill and complete cases. Long test predictions, scenario = treatment.
+
+    All fits are independent and submitted concurrently.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    from soilcast.operators.features import encode_season
+    from soilcast.operators.impute import complete_cases, fit_iterative, keep_missing
+    from soilcast.operators.models import boosted_base
+
+    seasons = ["is_winter", "is_spring", "is_summer", "is_autumn"]
+    obs = prepared(spark, sf_dir)
+    train, test = train_test(obs)
+    mean_fill = fit_mean(train, FEATURES)
+    iter_fill = fit_iterative(train, FEATURES, rounds=GRID_ROUNDS)
+    scen = {
+        "mean": (mean_fill.transform(train), mean_fill.transform(test), FEATURES),
+        "keep_missing": (
+            keep_missing(train, FEATURES),
+            keep_missing(test, FEATURES),
+            FEATURES + [f"{c}_missing" for c in FEATURES],
+        ),
+        "iterative": (iter_fill.transform(train), iter_fill.transform(test), FEATURES),
+        "complete_cases": (complete_cases(train, FEATURES), complete_cases(test, FEATURES), FEATURES),
+    }
+    jobs = [(s, c) for s in scen for c in configs]
+
+    def run(job):
+        s, c = job
+        trf, tef, feats = scen[s]
+        base = boosted_base(c, feats + seasons)
+        model = base.fit_one(encode_season(trf))
+        pred = model.transform(encode_season(tef)).drop(base.vec)
+        return to_long(pred, KEYS, {base.name: base.col}, s)
+
+    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+        longs = list(pool.map(inheritable_thread_target(spark)(run), jobs))
+    long = longs[0]
+    for x in longs[1:]:
+        long = long.unionByName(x)
+    return long

@@ -259,6 +259,11 @@ def q_tree_stack(spark, sf):
     return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
 
 
+def q_tree_grid(spark, sf):
+    lb = leaderboard(regression_metrics(flows.tree_grid(spark, sf)))
+    return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
+
+
 def q_temperature_gap(spark, sf):
     return rounded(temperature_gap(_obs(spark, sf), ["a0", "b0", "c0"], by=["season"]))
 
@@ -301,4 +306,5 @@ def queries() -> dict[str, Query]:
         "scenario_grid_common": q_scenario_grid_common,
         "best_models": q_best_models,
         "tree_stack": q_tree_stack,
+        "tree_grid": q_tree_grid,
     }
