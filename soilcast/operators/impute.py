@@ -196,6 +196,25 @@ def fit_iterative(
     return IterativeFill(list(cols), means, steps)
 
 
+def hide_cells(
+    df: DataFrame, cols: list[str], keys: list[str], share: float = 0.1, suffix: str = "_true", rule=None
+) -> DataFrame:
+    """Hides a repeatable share of observed cells of each column; their values move to ``<c><suffix>``.
+
+    For data without a known truth: fit a treatment on the hidden frame, then score it with
+    ``imputation_error(df, cols, {c: c + suffix}, fills)``. Only hidden cells have both a NULL cell and a
+    truth. The default rule hashes the row keys with the column name (different cells per column, same
+    cells on every rerun); ``rule(c) -> Column`` may replace it.
+    """
+    per_mille = int(round(share * 1000))
+    out = {}
+    for c in cols:
+        hide = rule(c) if rule else F.pmod(F.xxhash64(*[F.col(k) for k in keys], F.lit(c)), F.lit(1000)) < per_mille
+        out[f"{c}{suffix}"] = F.when(hide & F.col(c).isNotNull(), F.col(c))
+        out[c] = F.when(~hide, F.col(c))
+    return df.withColumns(out)
+
+
 def imputation_error(df: DataFrame, cols: list[str], truth: dict[str, str], fills: dict[str, object]) -> DataFrame:
     """treatment, column, n, rmse, mae over cells that were missing, against their known truth.
 

@@ -114,3 +114,26 @@ def test_iterative_beats_mean_on_fixture(spark):
     err = {(r.treatment, r.column): r.rmse for r in imputation_error(obs, cols, flows.TRUTH, fills).collect()}
     for c in cols:
         assert err[("iterative", c)] < err[("mean", c)]
+
+
+def test_hide_cells_scores_only_hidden_cells(spark):
+    from soilcast.operators.impute import hide_cells, imputation_error
+
+    rng = np.random.default_rng(5)
+    n = 2000
+    x = rng.normal(size=n)
+    rows = [(i, float(x[i]), float(2 * x[i] + 0.1 * rng.normal()) if i % 9 else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    hidden = hide_cells(df, ["a", "b"], keys=["id"], share=0.2)
+    assert hidden.filter("a_true IS NOT NULL").count() == hidden.filter("a IS NULL").count()  # a had no gap
+    n_hidden_b = hidden.filter("b_true IS NOT NULL").count()
+    assert 0.15 * n < n_hidden_b < 0.25 * n
+    again = hide_cells(df, ["a", "b"], keys=["id"], share=0.2)
+    assert hidden.exceptAll(again).count() == 0  # repeatable
+    fills = {"mean": fit_mean(hidden, ["a", "b"]), "iterative": fit_iterative(hidden, ["a", "b"], rounds=3)}
+    err = {(r.treatment, r.column): r for r in imputation_error(hidden, ["a", "b"], {"a": "a_true", "b": "b_true"}, fills).collect()}
+    assert err[("mean", "b")].n == n_hidden_b
+    # b follows a closely, except in the ~20% of hidden b cells whose a is hidden too (mean-like there),
+    # so the error ratio is about sqrt(0.2)
+    assert err[("iterative", "b")].rmse < 0.7 * err[("mean", "b")].rmse
+    assert err[("iterative", "b")].mae < 0.5 * err[("mean", "b")].mae
