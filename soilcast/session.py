@@ -52,13 +52,15 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, how: str | None = None) -> DataFrame:
     """Reuse a derived table across the jobs of a flow.
 
-    ``how`` (default: session setting ``soilcast.materialize``, else ``cache``):
+    ``how`` (default: session setting ``soilcast.materialize``; unset: ``cache`` on a local master,
+    ``table`` on a cluster, where the table may not fit executor memory and disk):
     * ``cache``: persist in memory and on local disk; a lost block is recomputed from lineage;
     * ``table``: write parquet once in the shared folder and read it back, which cuts the lineage
       (no upstream shuffle is re-run after an executor loss) and gives later jobs column pruning.
     """
     spark = df.sparkSession
-    how = how or spark.conf.get("soilcast.materialize", "cache")
+    default = "cache" if spark.sparkContext.master.startswith("local") else "table"
+    how = how or spark.conf.get("soilcast.materialize", default)
     if how == "table":
         path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
         df.write.mode("overwrite").parquet(path)
