@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soilcast.operators.joins import join_fitted
+from soilcast.session import materialize
 
 ALL = -1  # fit on every training row
 
@@ -148,8 +149,10 @@ class GroupMeanBase:
         fan = train.filter(F.col(self.y).isNotNull()).select(
             F.explode(fold_targets(fold, k)).alias("_t"), *self.by, self.y
         )
-        means = fan.groupBy("_t", *self.by).agg(F.avg(self.y).alias("_gm"))
-        overall = fan.groupBy("_t").agg(F.avg(self.y).alias("_om"))
+        sums = fan.groupBy("_t", *self.by).agg(F.sum(self.y).alias("_s"), F.count(F.lit(1)).alias("_c"))
+        sums = materialize(sums, "group_sums")  # one pass over the rows; the fallback is derived from it
+        means = sums.select("_t", *self.by, (F.col("_s") / F.col("_c")).alias("_gm"))
+        overall = sums.groupBy("_t").agg((F.sum("_s") / F.sum("_c")).alias("_om"))
         return GroupMeanFit(self, fold, means, overall)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,8 +89,8 @@ def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common
         "iterative": (fit_iterative(train, GRID_COLS, rounds=GRID_ROUNDS),),
         "complete_cases": None,
     }
-    longs = []
-    for scen, fit in treated.items():
+    def run(item):
+        scen, fit = item
         if fit is None:
             trf, tef = complete_cases(train, GRID_COLS), complete_cases(test, GRID_COLS)
         else:
@@ -95,7 +98,11 @@ def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common
         bases = linear_bases()
         oof, fitted = out_of_fold(trf, "fold", bases, FOLDS)
         meta = fit_stack(oof, [b.col for b in bases], "y")
-        longs.append(to_long(predict_stack(tef, fitted, meta), KEYS, LINEAR_MODELS, scen))
+        return to_long(predict_stack(tef, fitted, meta), KEYS, LINEAR_MODELS, scen)
+
+    # Treatments are independent: their small fitting jobs are submitted concurrently.
+    with ThreadPoolExecutor(max_workers=len(treated)) as pool:
+        longs = list(pool.map(inheritable_thread_target(spark)(run), treated.items()))
     long = longs[0]
     for x in longs[1:]:
         long = long.unionByName(x)
