@@ -114,8 +114,16 @@ class IterativeFill:
         return out.drop(*z)
 
 
+MAX_PATTERNS = 50_000  # missingness patterns whose statistics may come to the driver
+
+
 def fit_iterative(
-    df: DataFrame, cols: list[str], rounds: int = 5, tol: float | None = None, ridge: float = 0.0
+    df: DataFrame,
+    cols: list[str],
+    rounds: int = 5,
+    tol: float | None = None,
+    ridge: float = 0.0,
+    max_patterns: int = MAX_PATTERNS,
 ) -> IterativeFill:
     """Chained linear regressions fitted from sufficient statistics, never by re-scanning the data.
 
@@ -126,6 +134,10 @@ def fit_iterative(
     (centred) values, so each regression's cross-products follow from per-pattern counts, sums and
     second moments. Those come from ONE aggregation with at most 2^p groups (partial aggregation
     before the shuffle); all rounds then run on the driver on p×p matrices. Observed cells never change.
+
+    If more than ``max_patterns`` patterns occur (many columns, scattered gaps), their statistics are
+    not brought to the driver; the same fit is computed exactly by one aggregation per round and
+    column over the data instead (``_fit_iterative_by_passes``).
     """
     mrow = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
     cols = [c for c in cols if mrow[c] is not None]  # a never-observed column is left as it is (NULL)
@@ -138,7 +150,10 @@ def fit_iterative(
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.sum(u[i]).alias(f"s{i}") for i in range(p)]
     aggs += [F.sum(u[i] * u[k]).alias(f"m{i}_{k}") for i in range(p) for k in range(i, p)]
-    stats = df.groupBy(pattern.alias("pat")).agg(*aggs).collect()  # ≤ 2^p rows
+    grouped = df.groupBy(pattern.alias("pat")).agg(*aggs)
+    stats = grouped.limit(max_patterns + 1).collect()  # at most 2^p rows, and never above the bound
+    if len(stats) > max_patterns:
+        return _fit_iterative_by_passes(df, cols, means, rounds, tol, ridge)
 
     pats = []
     for r in stats:
@@ -196,6 +211,49 @@ def fit_iterative(
     return IterativeFill(list(cols), means, steps)
 
 
+def _fit_iterative_by_passes(df, cols, means, rounds, tol, ridge) -> IterativeFill:
+    """The chained-regression fit with one aggregation per (round, column) over the data.
+
+    Each pass replays the steps fitted so far as projections and sums the (p)² cross-products of
+    [1, current others] and the column over rows where it is observed. Same result as the
+    pattern-statistics fit; used when the patterns are too many for the driver.
+    """
+    p = len(cols)
+    steps: list[tuple[int, int, float, list[float]]] = []
+    prev: dict[int, np.ndarray] = {}
+    z = [f"_zc{j}" for j in range(p)]
+    for rnd in range(1, rounds + 1):
+        delta = 0.0
+        for j in range(p):
+            others = [k for k in range(p) if k != j]
+            cur = IterativeFill(cols, means, steps).transform(df.filter(F.col(cols[j]).isNotNull()), suffix="_zc")
+            cur = cur.withColumns({z[k]: F.col(f"{cols[k]}_zc") - F.lit(means[k]) for k in range(p)})
+            xs = [F.lit(1.0)] + [F.col(z[k]) for k in others]
+            yj = F.col(z[j])
+            aggs = [F.sum(xs[a] * xs[b]).alias(f"g{a}_{b}") for a in range(p) for b in range(a, p)]
+            aggs += [F.sum(xs[a] * yj).alias(f"h{a}") for a in range(p)]
+            row = cur.agg(*aggs).first()
+            if row["g0_0"] is None:
+                continue
+            G = np.zeros((p, p))
+            for a in range(p):
+                for b in range(a, p):
+                    G[a, b] = G[b, a] = row[f"g{a}_{b}"]
+            h = np.array([row[f"h{a}"] for a in range(p)])
+            if ridge:
+                G[1:, 1:] += ridge * np.eye(p - 1)
+            coef = np.linalg.lstsq(G, h, rcond=None)[0]
+            beta = np.zeros(p)
+            beta[others] = coef[1:]
+            vec = np.concatenate([[coef[0]], beta])
+            delta = max(delta, float(np.max(np.abs(vec - prev[j])))) if j in prev else float("inf")
+            prev[j] = vec
+            steps.append((rnd, j, float(coef[0]), [float(x) for x in beta]))
+        if tol is not None and delta < tol:
+            break
+    return IterativeFill(list(cols), means, steps)
+
+
 def hide_cells(
     df: DataFrame, cols: list[str], keys: list[str], share: float = 0.1, suffix: str = "_true", rule=None
 ) -> DataFrame:

@@ -137,3 +137,18 @@ def test_hide_cells_scores_only_hidden_cells(spark):
     # so the error ratio is about sqrt(0.2)
     assert err[("iterative", "b")].rmse < 0.7 * err[("mean", "b")].rmse
     assert err[("iterative", "b")].mae < 0.5 * err[("mean", "b")].mae
+
+
+def test_iterative_fallback_by_passes_equals_statistics(spark):
+    rng = np.random.default_rng(11)
+    X = rng.normal(size=(500, 3)) @ np.array([[1.0, 0.7, 0.1], [0.0, 1.0, 0.5], [0.0, 0.0, 1.0]]) + 3
+    X[rng.random(X.shape) < 0.25] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in X[i]]) for i in range(len(X))]
+    df = spark.createDataFrame(rows, "id int, x0 double, x1 double, x2 double")
+    cols = ["x0", "x1", "x2"]
+    fast = fit_iterative(df, cols, rounds=3)
+    slow = fit_iterative(df, cols, rounds=3, max_patterns=1)
+    assert len(fast.steps) == len(slow.steps) == 9
+    for (r1, j1, a1, b1), (r2, j2, a2, b2) in zip(fast.steps, slow.steps):
+        assert (r1, j1) == (r2, j2)
+        assert a1 == pytest.approx(a2, abs=1e-9) and b1 == pytest.approx(b2, abs=1e-9)
