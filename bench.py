@@ -42,6 +42,7 @@ def main() -> None:
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
     qs = queries()
+    spark.range(1000).selectExpr("sum(id)").collect()  # session start-up, not timed
     times = {}
     for name in HEADLINE:
         if name not in qs:

@@ -6,8 +6,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast only below this many rows; measured on the materialised table, never estimated.
-MAX_BROADCAST_ROWS = 2_000_000
+# Broadcast only up to this many rows (tens of MB for a few double columns); measured on the
+# materialised table, never estimated.
+MAX_BROADCAST_ROWS = 500_000
 
 
 def join_fitted(df: DataFrame, fitted: DataFrame, on, how: str = "left", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
