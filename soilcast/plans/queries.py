@@ -26,10 +26,10 @@ from soilcast.operators.impute import (
     normalise_missing,
 )
 from soilcast.operators.models import LinearBase, boosted_base
-from soilcast.operators.scoring import leaderboard, regression_metrics, temperature_gap, to_long
+from soilcast.operators.scoring import leaderboard, regression_metrics, temperature_gap
 from soilcast.operators.stack import fit_per_season, stack_weights
 from soilcast.plans import flows
-from soilcast.plans.flows import KEYS, TRUTH, prepared, train_test
+from soilcast.plans.flows import TRUTH, prepared, train_test
 from soilcast.session import shared_dir
 from soilcast.sources.observations import read_checked
 from soilcast.sources.sinks import write_results
