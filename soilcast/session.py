@@ -29,23 +29,36 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "soi
     )
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 (a remote session has no SparkContext)
+        return None
+
+
+def _is_local(spark: SparkSession) -> bool:
+    sc = _context(spark)
+    master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+    return master.startswith("local")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster it must be set (a folder every executor can reach); a local session without it
     gets a fresh temporary folder, as in tests.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
+    sc = _context(spark)
+    current = sc.getCheckpointDir() if sc is not None else None
     if current:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        sc.setCheckpointDir(conf)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="soilcast-ckpt-"))
-    else:
+    if conf is None and not _is_local(spark):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    folder = conf or tempfile.mkdtemp(prefix="soilcast-ckpt-")
+    if sc is None:
+        return folder
+    sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -59,7 +72,7 @@ def materialize(df: DataFrame, name: str, how: str | None = None) -> DataFrame:
       (no upstream shuffle is re-run after an executor loss) and gives later jobs column pruning.
     """
     spark = df.sparkSession
-    default = "cache" if spark.sparkContext.master.startswith("local") else "table"
+    default = "cache" if _is_local(spark) else "table"
     how = how or spark.conf.get("soilcast.materialize", default)
     if how == "table":
         path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
