@@ -96,6 +96,15 @@ class IterativeFill:
     means: list[float]
     steps: list[tuple[int, int, float, list[float]]]
 
+    def coefficients(self) -> list[tuple[int, str, str, float]]:
+        """(round, column, term, value) on the data's own scale; term 'intercept' or a predictor name."""
+        out = []
+        for rnd, j, alpha, beta in self.steps:
+            intercept = alpha + self.means[j] - sum(b * m for b, m in zip(beta, self.means))
+            out.append((rnd, self.cols[j], "intercept", float(intercept)))
+            out += [(rnd, self.cols[j], self.cols[k], float(b)) for k, b in enumerate(beta) if k != j]
+        return out
+
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
         """Replays the fitted steps as narrow projections (rounds × columns of them, no shuffle)."""
         z = [f"_z{j}" for j in range(len(self.cols))]

@@ -247,6 +247,12 @@ def oracle_sql() -> dict[str, str]:
         + ", ".join(f"{r(c)} AS {c}" for c in "abc")
         + " FROM obs WHERE a IS NOT NULL AND b IS NOT NULL AND c IS NOT NULL"
     )
+    coef = []
+    for rnd in range(1, 4):
+        for tgt, oth in (("a", "b"), ("b", "a")):
+            coef.append(f"SELECT {rnd} AS round, '{tgt}' AS column, 'intercept' AS term, {r('i', R4)} AS value FROM co{rnd}_{tgt}")
+            coef.append(f"SELECT {rnd}, '{tgt}', '{oth}', {r('s', R4)} FROM co{rnd}_{tgt}")
+    q["iterative_coefficients"] = with_obs(_iterative() + " " + " UNION ALL ".join(coef))
     q["impute_iterative"] = with_obs(
         _iterative() + f" SELECT k1, k2, {r('z_a', R4)} AS a, {r('z_b', R4)} AS b FROM itf"
     )

@@ -140,6 +140,14 @@ def q_impute_iterative(spark, sf):
     return rounded(fill.transform(obs).select("k1", "k2", "a", "b"), 4)
 
 
+def q_iterative_coefficients(spark, sf):
+    obs = prepared(spark, sf)
+    train, _ = train_test(obs)
+    fill = fit_iterative(train, ["a", "b"], rounds=3)
+    schema = "round int, column string, term string, value double"
+    return rounded(spark.createDataFrame(fill.coefficients(), schema), 4)
+
+
 def q_imputation_error(spark, sf):
     obs = prepared(spark, sf)
     train, _ = train_test(obs)
@@ -286,6 +294,7 @@ def queries() -> dict[str, Query]:
         "keep_missing": q_keep_missing,
         "complete_cases": q_complete_cases,
         "impute_iterative": q_impute_iterative,
+        "iterative_coefficients": q_iterative_coefficients,
         "imputation_error": q_imputation_error,
         "encode_season": q_encode_season,
         "assemble_features": q_assemble_features,

@@ -43,3 +43,15 @@ def test_summary_histogram_correlations(spark):
     assert h == {0: 1, 1: 1, 2: 1, 4: 1}
     c = eda.correlations(df, ["a", "b"]).first()
     assert c.n == 3 and c.r == pytest.approx(np.corrcoef([1, 2, 4], [2, 4, 8.1])[0, 1])
+
+
+def test_ungrouped_eda(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, None), (3.0, 7.0), (None, 1.0)], "a double, b double")
+    prof = {r.column: (r.n, r.n_missing) for r in eda.missing_profile(df, ["a", "b"], by=[]).collect()}
+    assert prof == {"a": (4, 1), "b": (4, 1)}
+    q = {(r.column, r.prob): r.quantile for r in eda.quantile_summary(df, ["a", "b"], [0.5], by=[]).collect()}
+    assert q == {("a", 0.5): 2.0, ("b", 0.5): 2.0}
+    s = {r.column: r.mean for r in eda.numeric_summary(df, ["a"], by=[]).collect()}
+    assert s == {"a": 2.0}
+    assert eda.histogram(df, "a", 1.0, by=[]).count() == 3
+    assert eda.correlations(df, ["a", "b"], by=[]).first().n == 2

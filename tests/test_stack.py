@@ -83,6 +83,9 @@ def test_tree_stack_and_per_season(spark):
     pred = predict_stack(tef, fitted, meta)
     assert pred.filter(F.col("prediction").isNull()).count() == 0
     assert pred.count() == tef.count()
+    models = {"gbt": gbt.col, "line": "p_line_a", "stack": "prediction"}
+    m = {r.model: r.rmse for r in regression_metrics(to_long(pred, flows.KEYS, models, "mean")).filter("season IS NULL").collect()}
+    assert m["stack"] <= max(m["gbt"], m["line"])
     per = fit_per_season(trf, tef.filter("season <> 'winter'"), gbt)
     assert per.count() == tef.filter("season <> 'winter'").count()
     # a season without training rows gets NULL predictions, not an error
