@@ -65,15 +65,19 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, how: str | None = None) -> DataFrame:
     """Reuse a derived table across the jobs of a flow.
 
-    ``how`` (default: session setting ``soilcast.materialize``; unset: ``cache`` on a local master,
-    ``table`` on a cluster, where the table may not fit executor memory and disk):
-    * ``cache``: persist in memory and on local disk; a lost block is recomputed from lineage;
-    * ``table``: write parquet once in the shared folder and read it back, which cuts the lineage
-      (no upstream shuffle is re-run after an executor loss) and gives later jobs column pruning.
+    ``how`` (default: session setting ``soilcast.materialize``, else ``checkpoint``):
+    * ``checkpoint``: reliable checkpoint into the shared folder. The plan runs with adaptive
+      execution, so the stored partitions follow the data size (a cached plan keeps the raw shuffle
+      partition count: 200 partitions for a few thousand rows, or far too few at 100 TB). Lineage is
+      cut, and an executor loss re-runs no upstream shuffle;
+    * ``table``: the same through a parquet table in the shared folder (column pruning for later reads);
+    * ``cache``: persist in memory and on local disk; a lost block is recomputed from lineage.
     """
     spark = df.sparkSession
-    default = "cache" if _is_local(spark) else "table"
-    how = how or spark.conf.get("soilcast.materialize", default)
+    how = how or spark.conf.get("soilcast.materialize", "checkpoint")
+    if how == "checkpoint":
+        shared_dir(spark)
+        return df.checkpoint(eager=True)
     if how == "table":
         path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
         df.write.mode("overwrite").parquet(path)

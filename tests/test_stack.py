@@ -140,13 +140,14 @@ def test_least_squares_meta_equals_linear_regression(spark, intercept):
         assert ours[k] == pytest.approx(ml[k], rel=1e-8, abs=1e-9)
 
 
-def test_materialize_as_table_gives_same_leaderboard(spark):
+@pytest.mark.parametrize("how", ["cache", "table"])
+def test_materialize_modes_give_same_leaderboard(spark, how):
     from soilcast.plans.queries import q_leaderboard
 
-    cached = sorted(map(tuple, q_leaderboard(spark, SF_SMALL).collect()), key=repr)
-    spark.conf.set("soilcast.materialize", "table")
+    default = sorted(map(tuple, q_leaderboard(spark, SF_SMALL).collect()), key=repr)
+    spark.conf.set("soilcast.materialize", how)
     try:
-        table = sorted(map(tuple, q_leaderboard(spark, SF_SMALL).collect()), key=repr)
+        other = sorted(map(tuple, q_leaderboard(spark, SF_SMALL).collect()), key=repr)
     finally:
         spark.conf.unset("soilcast.materialize")
-    assert cached == table
+    assert default == other
