@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from soilcast.session import materialize
+
 
 
 def _long(agg: DataFrame, by: list[str], records: list[Column]) -> DataFrame:
@@ -102,15 +103,12 @@ def quantile_summary(
         agg = long.groupBy(*keys).agg(F.percentile_approx("v", [float(p) for p in probs], accuracy).alias("_q"))
         return agg.select(*keys, recs)
 
-    spark = df.sparkSession
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     counts = long.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("cnt"))
-    # Persisted so both uses below see the same range bounds (the partition id is part of the result).
-    ranged = (
-        counts.repartitionByRange(n_parts, *keys, "v")
-        .withColumn("_pid", F.spark_partition_id())
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
+    # Range partitions in (group, value) order; without ``partitions`` adaptive execution sizes them
+    # (merging only neighbours, so ranges stay contiguous). Materialised so that both uses below see
+    # the same partitions: the partition id is part of the result.
+    by_range = counts.repartitionByRange(*([partitions] if partitions else []), *keys, "v")
+    ranged = materialize(by_range, "quantile_ranges").withColumn("_pid", F.spark_partition_id())
     # Rows per (partition, group) and the offset of each partition within its group.
     sub = ranged.groupBy("_pid", *keys).agg(F.sum("cnt").alias("_sub"))
     w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
