@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from soilcast.functions.numeric import nan_to_null
 from soilcast.operators.joins import join_fitted
+from soilcast.session import materialize
 
 
 def normalise_missing(df: DataFrame, cols: list[str], sentinels: list[float] = ()) -> DataFrame:
@@ -77,7 +78,7 @@ def fit_mean(df: DataFrame, cols: list[str], by: list[str] = ()) -> MeanFill:
     """Training means: one global aggregate (p numbers to the driver); per group a table kept in Spark."""
     row = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
     means = {c: row[c] for c in cols}
-    grouped = df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols]) if by else None
+    grouped = materialize(df.groupBy(*by).agg(*[F.avg(c).alias(c) for c in cols]), "group_means") if by else None
     return MeanFill(list(cols), means, list(by), grouped)
 
 

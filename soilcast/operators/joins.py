@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,10 +13,10 @@ MAX_BROADCAST_ROWS = 500_000
 def join_fitted(df: DataFrame, fitted: DataFrame, on, how: str = "left", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Join a fitted table whose row count is data dependent.
 
-    The table is persisted and counted; it is broadcast only when the count is within ``max_rows``,
-    otherwise the join stays a shuffle join (sort-merge, AQE may still split skew).
+    ``fitted`` should be materialised (``soilcast.session.materialize``) so that counting it is cheap
+    and the join reads the same rows. It is broadcast only when the count is within ``max_rows``;
+    otherwise the join stays a shuffle join (sort-merge; AQE may still split skewed keys).
     """
-    fitted = fitted.persist(StorageLevel.MEMORY_AND_DISK)
     n = fitted.count()
     side = F.broadcast(fitted) if n <= max_rows else fitted
     return df.join(side, on, how)

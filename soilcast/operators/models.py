@@ -152,7 +152,7 @@ class GroupMeanBase:
         sums = fan.groupBy("_t", *self.by).agg(F.sum(self.y).alias("_s"), F.count(F.lit(1)).alias("_c"))
         sums = materialize(sums, "group_sums")  # one pass over the rows; the fallback is derived from it
         means = sums.select("_t", *self.by, (F.col("_s") / F.col("_c")).alias("_gm"))
-        overall = sums.groupBy("_t").agg((F.sum("_s") / F.sum("_c")).alias("_om"))
+        overall = materialize(sums.groupBy("_t").agg((F.sum("_s") / F.sum("_c")).alias("_om")), "overall_means")
         return GroupMeanFit(self, fold, means, overall)
 
 
