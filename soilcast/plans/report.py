@@ -68,7 +68,7 @@ def main() -> None:
     ap.add_argument("out_dir")
     ap.add_argument("--no-trees", action="store_true")
     args = ap.parse_args()
-    spark = SparkSession.builder.getOrCreate()
+    spark = SparkSession.builder.config("spark.ui.enabled", "false").getOrCreate()
     for name, path in run_report(spark, args.sf_dir, args.out_dir, trees=not args.no_trees).items():
         print(name, path)
 
