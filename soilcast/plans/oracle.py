@@ -314,6 +314,23 @@ def oracle_sql() -> dict[str, str]:
         + f" SELECT te.k1, te.k2, te.season, {r('te.y', R4)} AS y, {r('ln.i + ln.s * coalesce(te.a, gm.m_a)', R4)} AS p_line_a"
         + " FROM te CROSS JOIN gm LEFT JOIN ln ON ln.season = te.season"
     )
+    q["linear_abc"] = with_obs(
+        """fm AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc FROM tr),
+trf AS (SELECT y, coalesce(a, ma) AS a, coalesce(b, mb) AS b, coalesce(c, mc) AS c FROM tr, fm),
+st AS (SELECT avg(y) AS my, avg(a) AS m1, avg(b) AS m2, avg(c) AS m3,
+              covar_pop(a, a) AS c11, covar_pop(a, b) AS c12, covar_pop(a, c) AS c13,
+              covar_pop(b, b) AS c22, covar_pop(b, c) AS c23, covar_pop(c, c) AS c33,
+              covar_pop(a, y) AS d1, covar_pop(b, y) AS d2, covar_pop(c, y) AS d3 FROM trf),
+dt AS (SELECT *, c11 * (c22 * c33 - c23 * c23) - c12 * (c12 * c33 - c23 * c13) + c13 * (c12 * c23 - c22 * c13) AS dd FROM st),
+beta AS (SELECT *,
+  (d1 * (c22 * c33 - c23 * c23) - c12 * (d2 * c33 - c23 * d3) + c13 * (d2 * c23 - c22 * d3)) / dd AS b1,
+  (c11 * (d2 * c33 - c23 * d3) - d1 * (c12 * c33 - c23 * c13) + c13 * (c12 * d3 - d2 * c13)) / dd AS b2,
+  (c11 * (c22 * d3 - d2 * c23) - c12 * (c12 * d3 - d2 * c13) + d1 * (c12 * c23 - c22 * c13)) / dd AS b3 FROM dt)
+SELECT te.k1, te.k2, te.season, round(te.y, 4) AS y,
+  round((my - b1 * m1 - b2 * m2 - b3 * m3) + b1 * coalesce(te.a, ma) + b2 * coalesce(te.b, mb) + b3 * coalesce(te.c, mc), 4)
+    AS p_line_abc
+FROM te CROSS JOIN fm CROSS JOIN beta"""
+    )
     gaps = [("a0", "b0"), ("a0", "c0"), ("b0", "c0")]
     q["temperature_gap"] = with_obs(
         "x AS (SELECT 1) "

@@ -235,6 +235,16 @@ def q_per_season_line(spark, sf):
     return rounded(pred.select("k1", "k2", "season", "y", "p_line_a"), 4)
 
 
+def q_linear_abc(spark, sf):
+    """Least-squares line on all three (mean-filled) features, fitted on training rows, test scored."""
+    obs = prepared(spark, sf)
+    train, test = train_test(obs)
+    fill = fit_mean(train, flows.FEATURES)
+    base = LinearBase("line_abc", flows.FEATURES)
+    pred = base.fit(fill.transform(train), "fold", flows.FOLDS).predict(fill.transform(test))
+    return rounded(pred.select("k1", "k2", "season", "y", base.col), 4)
+
+
 def q_out_of_fold(spark, sf):
     oof, _, _, _ = flows.linear_stack(spark, sf)
     return rounded(oof.select("k1", "k2", "season", "fold", "y", "p_season_mean", "p_line_a"), 4)
@@ -319,6 +329,7 @@ def queries() -> dict[str, Query]:
         "boosted_c": _boosted("C"),
         "per_season": q_per_season,
         "per_season_line": q_per_season_line,
+        "linear_abc": q_linear_abc,
         "out_of_fold": q_out_of_fold,
         "fit_stack": q_fit_stack,
         "predict_stack": q_predict_stack,
