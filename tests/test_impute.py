@@ -152,3 +152,20 @@ def test_iterative_fallback_by_passes_equals_statistics(spark):
     for (r1, j1, a1, b1), (r2, j2, a2, b2) in zip(fast.steps, slow.steps):
         assert (r1, j1) == (r2, j2)
         assert a1 == pytest.approx(a2, abs=1e-9) and b1 == pytest.approx(b2, abs=1e-9)
+
+
+def test_iterative_collinear_columns_with_and_without_ridge(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300) + 4
+    X = np.column_stack([x, 2 * x, x + rng.normal(scale=0.5, size=300)])
+    X[rng.random(X.shape) < 0.15] = np.nan
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in X[i]]) for i in range(len(X))]
+    df = spark.createDataFrame(rows, "id int, x0 double, x1 double, x2 double")
+    cols = ["x0", "x1", "x2"]
+    for ridge in (0.0, 1e-3):
+        out = fit_iterative(df, cols, rounds=3, ridge=ridge).transform(df).toPandas()
+        assert out[cols].notna().all().all()
+        # x1 = 2 x0 exactly, so a row missing only x1 is filled close to 2 x0
+        only_x1 = np.isnan(X[:, 1]) & ~np.isnan(X[:, 0])
+        got = out.sort_values("id")["x1"].to_numpy()[only_x1]
+        assert np.allclose(got, 2 * X[only_x1, 0], atol=0.05)
