@@ -332,6 +332,11 @@ SELECT te.k1, te.k2, te.season, round(te.y, 4) AS y,
 FROM te CROSS JOIN fm CROSS JOIN beta"""
     )
     gaps = [("a0", "b0"), ("a0", "c0"), ("b0", "c0")]
+    q["temperature_gap_rows"] = with_obs(
+        "x AS (SELECT 1) SELECT k1, k2, season, "
+        + ", ".join(f"{r(f'{x} - {y}')} AS gap_{x}_{y}" for x, y in gaps)
+        + " FROM obs"
+    )
     q["temperature_gap"] = with_obs(
         "x AS (SELECT 1) "
         + " UNION ALL ".join(

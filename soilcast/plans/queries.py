@@ -26,7 +26,7 @@ from soilcast.operators.impute import (
     normalise_missing,
 )
 from soilcast.operators.models import LinearBase, boosted_base
-from soilcast.operators.scoring import leaderboard, regression_metrics, temperature_gap
+from soilcast.operators.scoring import gap_columns, leaderboard, regression_metrics, temperature_gap
 from soilcast.operators.stack import fit_per_season, stack_weights
 from soilcast.plans import flows
 from soilcast.plans.flows import TRUTH, prepared, train_test
@@ -295,6 +295,11 @@ def q_tree_grid(spark, sf):
     return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
 
 
+def q_temperature_gap_rows(spark, sf):
+    gaps = gap_columns(_obs(spark, sf), ["a0", "b0", "c0"])
+    return rounded(gaps.select("k1", "k2", "season", "gap_a0_b0", "gap_a0_c0", "gap_b0_c0"))
+
+
 def q_temperature_gap(spark, sf):
     return rounded(temperature_gap(_obs(spark, sf), ["a0", "b0", "c0"], by=["season"]))
 
@@ -336,6 +341,7 @@ def queries() -> dict[str, Query]:
         "regression_metrics": q_regression_metrics,
         "leaderboard": q_leaderboard,
         "temperature_gap": q_temperature_gap,
+        "temperature_gap_rows": q_temperature_gap_rows,
         "scenario_grid": q_scenario_grid,
         "scenario_grid_common": q_scenario_grid_common,
         "best_models": q_best_models,
