@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soilcast.operators.joins import join_fitted
-from soilcast.session import materialize
+from soilcast.session import fit_parallelism, materialize
 
 ALL = -1  # fit on every training row
 
@@ -207,7 +207,7 @@ class MLBase:
         """
         subsets = {f: train.filter(F.col(fold) != f) for f in range(k)}
         subsets[ALL] = train
-        n = parallelism or len(subsets)
+        n = parallelism or fit_parallelism(train.sparkSession, len(subsets))
         with ThreadPoolExecutor(max_workers=n) as pool:
             futures = {f: pool.submit(inheritable_thread_target(train.sparkSession)(self.fit_one), d) for f, d in subsets.items()}
             models = {f: fut.result() for f, fut in futures.items()}

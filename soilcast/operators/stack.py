@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soilcast.functions.season import SEASONS
+from soilcast.session import fit_parallelism
 
 
 def out_of_fold(train: DataFrame, fold: str, bases: list, k: int) -> tuple[DataFrame, list]:
@@ -25,7 +26,7 @@ def out_of_fold(train: DataFrame, fold: str, bases: list, k: int) -> tuple[DataF
 
     Every training row appears exactly once, predicted by the fit that excluded its fold.
     """
-    with ThreadPoolExecutor(max_workers=max(1, len(bases))) as pool:
+    with ThreadPoolExecutor(max_workers=fit_parallelism(train.sparkSession, len(bases))) as pool:
         fitted = list(pool.map(inheritable_thread_target(train.sparkSession)(lambda b: b.fit(train, fold, k)), bases))
     out = train
     for f in fitted:
@@ -115,7 +116,7 @@ def fit_per_season(
         return fitter.fit_groups(train, season).oof(test)
     counts = {r[season]: r["n"] for r in train.groupBy(season).agg(F.count(F.lit(1)).alias("n")).collect()}
     fit_levels = [lv for lv in levels if counts.get(lv, 0) > 0]
-    with ThreadPoolExecutor(max_workers=max(1, len(fit_levels))) as pool:
+    with ThreadPoolExecutor(max_workers=fit_parallelism(train.sparkSession, len(fit_levels))) as pool:
         fit_one = inheritable_thread_target(train.sparkSession)(lambda lv: fitter.fit_one(train.filter(F.col(season) == lv)))
         models = dict(zip(fit_levels, pool.map(fit_one, fit_levels)))
     parts = []

@@ -13,7 +13,7 @@ from soilcast.operators.impute import fit_mean
 from soilcast.operators.models import GroupMeanBase, LinearBase
 from soilcast.operators.scoring import leaderboard, on_common_rows, regression_metrics, to_long
 from soilcast.operators.stack import fit_stack, out_of_fold, predict_stack
-from soilcast.session import materialize, shared_dir
+from soilcast.session import fit_parallelism, materialize, shared_dir
 from soilcast.sources.observations import observations
 
 KEYS = ["k1", "k2"]
@@ -175,7 +175,7 @@ def tree_grid(spark: SparkSession, sf_dir: str, configs=("A",)) -> DataFrame:
         pred = model.transform(encode_season(tef)).drop(base.vec)
         return to_long(pred, KEYS, {base.name: base.col}, s)
 
-    with ThreadPoolExecutor(max_workers=len(jobs)) as pool:
+    with ThreadPoolExecutor(max_workers=fit_parallelism(spark, len(jobs))) as pool:
         longs = list(pool.map(inheritable_thread_target(spark)(run), jobs))
     long = longs[0]
     for x in longs[1:]:

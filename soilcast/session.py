@@ -86,3 +86,13 @@ def materialize(df: DataFrame, name: str, how: str | None = None) -> DataFrame:
     if how == "cache":
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     raise ValueError(f"materialize: unknown mode {how!r}")
+
+
+def fit_parallelism(spark: SparkSession, wanted: int) -> int:
+    """How many independent model fits to run at once: ``soilcast.fit.parallelism`` caps ``wanted``.
+
+    Each running tree fit caches its own binned copy of its training rows, so on large data a
+    cluster sets this low (1 = one fit at a time) to bound executor memory.
+    """
+    cap = spark.conf.get("soilcast.fit.parallelism", None)
+    return max(1, min(wanted, int(cap))) if cap else max(1, wanted)

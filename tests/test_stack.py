@@ -151,3 +151,22 @@ def test_materialize_modes_give_same_leaderboard(spark, how):
     finally:
         spark.conf.unset("soilcast.materialize")
     assert default == other
+
+
+def test_fit_parallelism_cap(spark):
+    from soilcast.session import fit_parallelism
+
+    assert fit_parallelism(spark, 4) == 4
+    spark.conf.set("soilcast.fit.parallelism", "1")
+    try:
+        assert fit_parallelism(spark, 4) == 1
+        obs = flows.prepared(spark, SF_SMALL)
+        train, test = flows.train_test(obs)
+        from soilcast.operators.impute import fit_mean
+
+        trf = fit_mean(train, ["a", "b", "c"]).transform(train)
+        gbt = boosted_base("A", ["a", "b", "c"], maxIter=2, maxDepth=2)
+        oof, _ = out_of_fold(trf, "fold", [gbt], 3)
+        assert oof.count() == trf.count()
+    finally:
+        spark.conf.unset("soilcast.fit.parallelism")
