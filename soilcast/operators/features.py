@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soilcast.functions.season import SEASONS
+from soilcast.functions.season import METEO, SEASONS, season_of
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
@@ -20,6 +20,17 @@ def _bucket(df: DataFrame, key: str, mod: int) -> Column:
     return F.pmod(k, F.lit(mod)).cast("int")
 
 
+def assign_season(df: DataFrame, ts: str, mapping=METEO, out: str = "season") -> DataFrame:
+    """Adds the season label of ``ts`` (NULL for a NULL date or an unmapped month)."""
+    return df.withColumn(out, season_of(ts, mapping))
+
+
+def select_season(df: DataFrame, seasons, season: str = "season") -> DataFrame:
+    """Rows of one or more seasons (a filter Catalyst can push below projections)."""
+    seasons = [seasons] if isinstance(seasons, str) else list(seasons)
+    return df.filter(F.col(season).isin(*seasons))
+
+
 def with_split(df: DataFrame, key: str, mod: int = 5, hold: int = 0, out: str = "split") -> DataFrame:
     """Adds ``split`` = 'test' where pmod(key, mod) = hold, else 'train'."""
     return df.withColumn(out, F.when(_bucket(df, key, mod) == hold, "test").otherwise("train"))

@@ -14,9 +14,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from soilcast.functions.season import season_of
 from soilcast.operators import eda
-from soilcast.operators.features import assemble_features, assign_fold, encode_season, with_split
+from soilcast.operators.features import (
+    assemble_features,
+    assign_fold,
+    assign_season,
+    encode_season,
+    select_season,
+    with_split,
+)
 from soilcast.operators.impute import (
     complete_cases,
     fit_iterative,
@@ -67,12 +73,12 @@ def q_write_results(spark, sf):
 def q_assign_season(spark, sf):
     schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderdate", T.TimestampNTZType())])
     orders = read_checked(spark, f"{sf}/orders.parquet", schema)
-    return orders.withColumn("season", season_of("o_orderdate"))
+    return assign_season(orders, "o_orderdate")
 
 
 def q_select_season(spark, sf):
     obs = _obs(spark, sf)
-    return rounded(obs.filter(F.col("season").isin("summer", "winter")).select("k1", "k2", "season", "y"))
+    return rounded(select_season(obs, ["summer", "winter"]).select("k1", "k2", "season", "y"))
 
 
 def q_normalise_missing(spark, sf):

@@ -29,3 +29,13 @@ def test_normalise_nan_next_to_null(spark):
     assert got == {1: None, 2: None, 3: None, 4: 5.0}
     kept = {r.id: r.x for r in normalise_missing(df, ["x"]).collect()}
     assert kept[3] == -999.0 and kept[1] is None and not (isinstance(kept[1], float) and math.isnan(kept[1]))
+
+
+def test_assign_and_select_season(spark):
+    from soilcast.operators.features import assign_season, select_season
+
+    df = spark.createDataFrame([(1, dt.datetime(2020, 1, 5)), (2, dt.datetime(2020, 7, 5)), (3, None)], "id int, d timestamp_ntz")
+    out = assign_season(df, "d")
+    assert {r.id: r.season for r in out.collect()} == {1: "winter", 2: "summer", 3: None}
+    assert [r.id for r in select_season(out, "summer").collect()] == [2]
+    assert sorted(r.id for r in select_season(out, ["summer", "winter"]).collect()) == [1, 2]
