@@ -236,3 +236,8 @@ def boosted(config: str, **overrides) -> GBTRegressor:
 def boosted_base(config: str, features: list[str], y: str = "y", **overrides) -> MLBase:
     """A boosted-tree base learner; predictions land in ``p_gbt_<config>``."""
     return MLBase(f"gbt_{config}", boosted(config, **overrides), features, y)
+
+
+def fit_boosted(df: DataFrame, features: list[str], y: str = "y", config: str = "A", **overrides) -> PipelineModel:
+    """One boosted-tree model (assembler + GBT); ``transform`` adds ``p_gbt_<config>``."""
+    return boosted_base(config, features, y, **overrides).fit_one(df)

@@ -170,3 +170,15 @@ def test_fit_parallelism_cap(spark):
         assert oof.count() == trf.count()
     finally:
         spark.conf.unset("soilcast.fit.parallelism")
+
+
+def test_fit_boosted_predicts_every_row(spark):
+    from soilcast.operators.impute import fit_mean
+    from soilcast.operators.models import fit_boosted
+
+    obs = flows.prepared(spark, SF_SMALL)
+    train, test = flows.train_test(obs)
+    fill = fit_mean(train, ["a", "b", "c"])
+    model = fit_boosted(fill.transform(train), ["a", "b", "c"], "y", "C", maxIter=3)
+    out = model.transform(fill.transform(test))
+    assert out.filter(F.col("p_gbt_C").isNull()).count() == 0 and out.count() == test.count()
