@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soilcast.functions.season import SEASONS
-from soilcast.session import fit_parallelism
+from soilcast.session import fit_cap, fit_parallelism
 
 
 def out_of_fold(train: DataFrame, fold: str, bases: list, k: int) -> tuple[DataFrame, list]:
@@ -26,7 +26,10 @@ def out_of_fold(train: DataFrame, fold: str, bases: list, k: int) -> tuple[DataF
 
     Every training row appears exactly once, predicted by the fit that excluded its fold.
     """
-    with ThreadPoolExecutor(max_workers=fit_parallelism(train.sparkSession, len(bases))) as pool:
+    # With a cap set, bases run one after another and each base's own fits share the cap, so the
+    # total number of concurrent fits stays within it.
+    n = 1 if fit_cap(train.sparkSession) else len(bases)
+    with ThreadPoolExecutor(max_workers=max(1, n)) as pool:
         fitted = list(pool.map(inheritable_thread_target(train.sparkSession)(lambda b: b.fit(train, fold, k)), bases))
     out = train
     for f in fitted:

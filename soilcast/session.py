@@ -94,5 +94,11 @@ def fit_parallelism(spark: SparkSession, wanted: int) -> int:
     Each running tree fit caches its own binned copy of its training rows, so on large data a
     cluster sets this low (1 = one fit at a time) to bound executor memory.
     """
+    cap = fit_cap(spark)
+    return max(1, min(wanted, cap)) if cap else max(1, wanted)
+
+
+def fit_cap(spark: SparkSession) -> int | None:
+    """The ``soilcast.fit.parallelism`` setting, or None when unset."""
     cap = spark.conf.get("soilcast.fit.parallelism", None)
-    return max(1, min(wanted, int(cap))) if cap else max(1, wanted)
+    return int(cap) if cap else None

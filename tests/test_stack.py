@@ -165,9 +165,30 @@ def test_fit_parallelism_cap(spark):
         from soilcast.operators.impute import fit_mean
 
         trf = fit_mean(train, ["a", "b", "c"]).transform(train)
-        gbt = boosted_base("A", ["a", "b", "c"], maxIter=2, maxDepth=2)
-        oof, _ = out_of_fold(trf, "fold", [gbt], 3)
+        import threading
+
+        from soilcast.operators.models import MLBase
+
+        running, peak, lock = [0], [0], threading.Lock()
+
+        class Counting(MLBase):
+            def fit_one(self, train):
+                with lock:
+                    running[0] += 1
+                    peak[0] = max(peak[0], running[0])
+                try:
+                    return super().fit_one(train)
+                finally:
+                    with lock:
+                        running[0] -= 1
+
+        def base(name):
+            g = boosted_base("A", ["a", "b", "c"], maxIter=2, maxDepth=2)
+            return Counting(name, g.estimator, g.features)
+
+        oof, _ = out_of_fold(trf, "fold", [base("g1"), base("g2")], 3)
         assert oof.count() == trf.count()
+        assert peak[0] == 1
     finally:
         spark.conf.unset("soilcast.fit.parallelism")
 
