@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +59,26 @@ def reserved(df: DataFrame, wanted: str) -> str:
         n += 1
         name = f"{wanted}_{n}"
     return name
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers of this application the package, once."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent.parent
+    bundle = Path(tempfile.mkdtemp()) / f"{package.name}.zip"  # the driver serves it to all executors
+    with zipfile.ZipFile(bundle, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(bundle))
+    _SHIPPED.add(sc.applicationId)
+
+
+def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with the package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

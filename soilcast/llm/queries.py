@@ -7,14 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, mixing, quality
-from .common import read, stored
+from . import bpe, fingerprints, language, minhash, mixing, quality, repeats, token_files, toxicity, warc
+from .common import read, scratch, stored
 
 #: Mixing: weights of the sources in code point order, repeating, and the share of all words.
 MIX_WEIGHTS = [3, 1, 2]
 MIX_SHARE = 1.5
 #: Ids divisible by this are the queries of searches.
 QUERY_EVERY = 50
+#: Rows whose crc32 of the id leaves 0 on division by this are held out.
+FOLDS = 5
+#: Tokens: the vocabulary, and the id that ends a document.
+VOCABULARY = "word_bpe_49k.json"
+END_ID = 1
+
+
+def vocabulary(name: str = VOCABULARY) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def held_out(doc_id: str = "doc_id"):
+    """A NULL id is not held out."""
+    return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % FOLDS == 0, F.lit(False))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +99,68 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "class_id", "class_size")
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch(spark, "tokens")
+    token_files.write_tokens(docs, vocabulary(), folder, END_ID)
+    return token_files.read_digests(spark, folder)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = scratch(spark, "warc")
+    warc.write_archives(warc.record_chunks(warc.with_roles(pages)), folder)
+    return warc.read_records(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scores, _ = toxicity.score_documents(docs, labels, ~held_out())
+    return scores.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = vocabulary()
+    out = bpe.digests(bpe.decode(bpe.encode(docs, path), path))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    dicts = language.dictionaries(docs.where(~held_out()).select("lang", "text"))
+    out = language.identify(docs.select("doc_id", "text"), dicts)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from corpus_pipeline import run
+
     return {
+        "pipeline": run,
         "op1_quality_rules": op1_quality_rules,
         "op2_mixing": op2_mixing,
+        "op3_minhash": op3_minhash,
+        "op4_token_files": op4_token_files,
         "op5_simhash": op5_simhash,
+        "op6_warc": op6_warc,
+        "op7_toxicity": op7_toxicity,
+        "op8_repeats": op8_repeats,
+        "op9_bpe": op9_bpe,
+        "op10_language": op10_language,
     }
