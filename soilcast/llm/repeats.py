@@ -7,13 +7,15 @@ Which strings of ``width`` bytes start in more than one place of a corpus is dec
    (two hashes, a document and a position), so the corpus shrinks to a row per 75 bytes or so. Equal
    windows have equal minimizers: runs with a minimizer of their own hold nothing repeated, and
    runs equal to another run as a whole are repeated as a whole.
-2. What is left are runs at the edges of repeats. Their bytes are gathered by minimizer and
-   searched by threshold-bounded interval expansion: a suffix array and its Burrows-Wheeler transform, in
-   which breadth-first backward extension sets the common prefixes of neighbours in increasing order
-   and stops at ``width``; places not reached share ``width`` bytes or more.
-
-A minimizer met in more than ``GROUP`` different runs is no task's group: its windows are counted one by
-one, hashed, as rows.
+2. What is left are runs at the edges of repeats. Their bytes are fetched, and their windows sorted
+   by the half of the window that lies mostly on one side of the minimizer: equal windows share the
+   minimizer and the bytes on that side, ``width - (width - GRAM) / 2`` or so in all. Windows with such a core
+   in common are searched by threshold-bounded interval expansion: a suffix array and its Burrows-Wheeler
+   transform, in which breadth-first backward extension sets the common prefixes of neighbours in
+   increasing order and stops at ``width``; places not reached share ``width`` bytes or more.
+
+A core met in more than ``GROUP`` different stretches is no task's group: its windows are counted one by one,
+hashed, as rows.
 """
 
 from __future__ import annotations
@@ -83,8 +85,8 @@ def _least(v: np.ndarray, w: int) -> np.ndarray:
 
 def _runs(data: np.ndarray, ends: np.ndarray, width: int, gram: int, hasher: _Hasher) -> tuple[np.ndarray, ...]:
     """Runs of windows with one minimizer in texts laid end to end: text, first and last window start
-    (in ``data``), and the two hashes."""
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    (in ``data``), the minimizer's distance from the first, and the two hashes."""
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint64, np.uint64))
     if len(data) < width:
         return none
     one, two = hasher.prefixes(data, 0), hasher.prefixes(data, 1)
@@ -104,12 +106,12 @@ def _runs(data: np.ndarray, ends: np.ndarray, width: int, gram: int, hasher: _Ha
     last = np.append(first[1:], len(starts)) - 1
     lo, hi, m = starts[first], starts[last], where[first]
     shape = ((m - lo) * 4096 + (hi - lo)).astype(np.uint64)
-    return text[first], lo, hi, grams[m], _mixed(hasher.of(two, lo, hi + width, 1) + shape * _STEP)
+    return text[first], lo, hi, m - lo, grams[m], _mixed(hasher.of(two, lo, hi + width, 1) + shape * _STEP)
 
 
 def window_runs(docs: DataFrame, doc_key: str, check: str, bytes_col: str, width: int, gram: int) -> DataFrame:
-    """``gram``, ``run`` (hashes), ``doc`` (``doc_key``), ``place``: first window start in bits 8 to 39, the number of
-    further windows in the low 8, ``check`` above."""
+    """``gram``, ``run`` (hashes), ``doc`` (``doc_key``), ``place``: the number of further windows in the low 8 bits, the
+    minimizer's distance from the first window's start in the next 8, that start in 32, ``check`` in 15."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(PIECE + width)
@@ -118,10 +120,10 @@ def window_runs(docs: DataFrame, doc_key: str, check: str, bytes_col: str, width
             data = np.frombuffer(b"".join(p[3] for p in parts), np.uint8)
             sizes = np.array([len(p[3]) for p in parts])
             ends = np.cumsum(sizes)
-            text, lo, hi, g, r = _runs(data, ends, width, gram, hasher)
+            text, lo, hi, m, g, r = _runs(data, ends, width, gram, hasher)
             begin = np.array([p[2] for p in parts], np.int64) - (ends - sizes)  # place in the document
             key = np.array([p[0] for p in parts], np.int64)[text]
-            place = (np.array([p[1] for p in parts], np.int64)[text] << 40) | ((lo + begin[text]) << 8) | (hi - lo)
+            place = (np.array([p[1] for p in parts], np.int64)[text] << 48) | ((lo + begin[text]) << 16) | (m << 8) | (hi - lo)
             return pa.RecordBatch.from_arrays(
                 [pa.array(g.view(np.int64)), pa.array(r.view(np.int64)), pa.array(key), pa.array(place)], ["gram", "run", "doc", "place"]
             )
@@ -218,8 +220,8 @@ def repeated_places(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def _search(edges: DataFrame, width: int) -> DataFrame:
-    """Repeated windows of the runs in ``edges`` (``gram``, ``doc``, ``place``, ``alone``, ``data``), which hold all
-    different runs of their minimizers: ``doc``, ``place`` (of single windows laid together)."""
+    """Repeated windows of the stretches in ``edges`` (``core``, ``doc``, ``place`` (check, start), ``alone``, ``data``), which
+    hold all different stretches of their cores: ``doc``, ``place`` (as a run of windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows: list[tuple]) -> pa.RecordBatch:
@@ -239,73 +241,97 @@ def _search(edges: DataFrame, width: int) -> DataFrame:
                 marks = np.flatnonzero(np.diff(np.concatenate([[0], hit[s : s + len(raw) - width + 1], [0]]).astype(np.int8)))
                 for lo, hi in zip(marks[::2].tolist(), marks[1::2].tolist(), strict=True):
                     docs.append(doc)
-                    places.append((place & ~0xFF) + (lo << 8) | (hi - lo - 1))
+                    places.append((place & ~0xFFFF) + (lo << 16) | (hi - lo - 1))
             return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(places, pa.int64())], ["doc", "place"])
 
-        held, size, gram = [], 0, None
+        held, size, core = [], 0, None
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("gram", "doc", "place", "alone", "data")), strict=True):
-                if size >= TEXT and r[0] != gram:
+            for r in zip(*(b.column(c).to_pylist() for c in ("core", "doc", "place", "alone", "data")), strict=True):
+                if size >= TEXT and r[0] != core:
                     yield found(held)
                     held, size = [], 0
                 held.append(r)
                 size += len(r[4]) + 1
-                gram = r[0]
+                core = r[0]
         if held:
             yield found(held)
 
-    rows = edges.select("gram", "doc", "place", "alone", "data").repartition("gram").sortWithinPartitions("gram")
+    rows = edges.select("core", "doc", "place", "alone", "data").repartition("core").sortWithinPartitions("core")
     return map_batches(rows, run, "doc long, place long")
 
 
 def _search_by_window(edges: DataFrame, width: int) -> DataFrame:
-    """The same for minimizers with very many different runs: each window is a row, counted by its hash."""
-    n = F.col("place").bitwiseAND(F.lit(0xFF)).cast("int")
+    """The same for cores with very many different stretches: each window is a row, counted by its hash."""
+    n = F.octet_length("data") - width
     each = edges.select("doc", "place", "alone", "data", F.explode(F.sequence(F.lit(0), n)).alias("k"))
     window = F.substring("data", F.col("k") + 1, F.lit(width))
-    each = each.select(
-        "doc", "alone", F.shiftright("place", 8).alias("at"), "k", F.xxhash64(window).alias("w1"), F.crc32(window).alias("w2")
-    )
+    each = each.select("doc", "alone", "place", "k", F.xxhash64(window).alias("w1"), F.crc32(window).alias("w2"))
     twice = each.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     hits = each.where("alone").join(twice, ["w1", "w2"])
-    return hits.select("doc", F.shiftleft(F.col("at") + F.col("k"), 8).alias("place"))
+    start = F.shiftright("place", 16) + F.col("k")
+    return hits.select("doc", F.shiftleft(start, 16).alias("place"))
+
+
+def _one_of_each(rows: DataFrame, key: str, content: list[str], carry: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that equal another (same ``key`` and ``content``), and, for each ``key`` with several contents of which one occurs
+    once, one row of each content: ``kinds`` (contents of the key), ``alone`` (it occurs once)."""
+    kinds = rows.groupBy(key, *content).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place", *carry)).alias("one"))
+    kinds = stored(kinds, "repeats-kinds")
+    whole = rows.join(stored(kinds.where("n > 1").select(key, *content), "repeats-whole"), [key, *content])
+    sizes = kinds.groupBy(key).agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("n") == 1).alias("any_alone"))
+    edges = kinds.join(sizes.where("kinds > 1 AND any_alone"), key).select(key, "kinds", (F.col("n") == 1).alias("alone"), "one.*")
+    return whole.select("doc", "place"), edges
 
 
 def repeated_windows(docs: DataFrame, doc_key: str, check: str, bytes_col: str, width: int = WIDTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """``doc``, ``place`` of all windows of ``width`` bytes that also start elsewhere, as runs."""
     if not 0 < gram <= width or width - gram >= 256:
         raise ValueError("the minimizer must fit the width, with fewer than 256 places in it")
-    runs = window_runs(docs, doc_key, check, bytes_col, width, gram)
+    runs = stored(window_runs(docs, doc_key, check, bytes_col, width, gram), "repeats-runs")
     grams = runs.groupBy("gram").agg(
         F.count(F.lit(1)).alias("n"), F.min("run").alias("least"), F.max("run").alias("most")
     )
     shared = grams.where("n > 1").select("gram", (F.col("least") == F.col("most")).alias("alike"))
-    met = stored(runs.join(shared, "gram"), "repeats-met")
+    met = stored(runs.join(stored(shared, "repeats-shared"), "gram"), "repeats-met")
     alike = met.where("alike").select("doc", "place")
-    mixed = met.where("NOT alike").drop("alike")
-    # Of equal runs one stands for all; runs met once are at an edge.
-    kinds = mixed.groupBy("gram", "run").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "place")).alias("one")
-    )
-    whole = mixed.join(kinds.where("n > 1").select("gram", "run"), ["gram", "run"]).select("doc", "place")
-    sizes = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.col("n") == 1).alias("any_alone"))
-    edges = kinds.join(sizes.where("any_alone"), "gram").select(
-        "gram", "kinds", (F.col("n") == 1).alias("alone"), "one.doc", "one.place"
-    )
-    row = F.struct("place", "gram", "kinds", "alone")
+    whole, edges = _one_of_each(met.where("NOT alike").drop("alike"), "gram", ["run"], [])
+
+    row = F.struct("place", "alone")
     wanted = edges.groupBy("doc").agg(F.collect_list(row).alias("wanted"))  # runs of one document
     d = docs.select(F.col(doc_key).alias("doc"), F.col(check).alias("_check"), F.col(bytes_col).alias("_bytes"))
     fetched = d.join(wanted, "doc").select("doc", "_check", "_bytes", F.explode("wanted").alias("w"))
-    start = F.shiftright(F.col("w.place").bitwiseAND(F.lit((1 << 40) - 1)), 8)
-    more = F.col("w.place").bitwiseAND(F.lit(0xFF))
-    data = F.substring("_bytes", (start + 1).cast("int"), (more + width).cast("int"))
-    fetched = fetched.where(F.shiftright("w.place", 40) == F.col("_check")).select(
-        "w.gram", "w.kinds", "w.alone", "doc", "w.place", data.alias("data")
-    )
-    fetched = stored(fetched, "repeats-edges")
-    found = _search(fetched.where(F.col("kinds") <= group), width)
-    hot = _search_by_window(fetched.where(F.col("kinds") > group), width)
-    return alike.unionByName(whole).unionByName(found).unionByName(hot)
+    fetched = fetched.where(F.shiftright("w.place", 48) == F.col("_check"))
+    start = F.shiftright(F.col("w.place"), 16).bitwiseAND(F.lit((1 << 32) - 1))
+    more = F.col("w.place").bitwiseAND(F.lit(0xFF)).cast("int")
+    before = F.shiftright("w.place", 8).bitwiseAND(F.lit(0xFF)).cast("int")
+    data = F.substring("_bytes", (start + 1).cast("int"), more + width)
+    fetched = fetched.select("doc", "w.place", "w.alone", more.alias("more"), before.alias("before"), data.alias("data"))
+    # Windows that begin ``half`` bytes or more before the minimizer, and the others.
+    half = -(-(width - gram) // 2)
+    left_last = F.least(F.col("more"), F.col("before") - half)
+    left = fetched.where(F.col("before") >= half).select(
+        "doc", "place", "alone", left_last.alias("last"), F.lit(0).alias("first"),
+        F.substring("data", F.col("before") - half + 1, F.lit(gram + half)).alias("core"), "data",
+    )
+    right_first = F.greatest(F.lit(0), F.col("before") - half + 1)
+    right = fetched.where(F.col("more") >= right_first).select(
+        "doc", "place", "alone", F.col("more").alias("last"), right_first.alias("first"),
+        F.substring("data", F.col("before") + 1, F.lit(width - half + 1)).alias("core"), "data",
+    )
+    both = left.unionByName(right).where("last >= first")
+    at = F.shiftright("place", 16) + F.col("first")
+    stretch = F.substring("data", F.col("first") + 1, F.col("last") - F.col("first") + width)
+    # Of equal stretches one is searched; they are repeated as a whole.
+    stretches = both.select(
+        "doc", F.shiftleft(at, 16).bitwiseOR((F.col("last") - F.col("first")).cast("long")).alias("place"), "alone",
+        F.xxhash64("core").alias("core"), stretch.alias("data"),
+    ).withColumns({"c1": F.xxhash64("data"), "c2": F.crc32("data")})
+    stretches = stored(stretches, "repeats-edges")
+    again, left_over = _one_of_each(stretches, "core", ["c1", "c2"], ["data"])
+    left_over = stored(left_over, "repeats-searched")
+    found = _search(left_over.where(F.col("kinds") <= group), width)
+    hot = _search_by_window(left_over.where(F.col("kinds") > group), width)
+    return alike.unionByName(whole).unionByName(again).unionByName(found).unionByName(hot)
 
 
 def remove_repeats(
@@ -327,18 +353,18 @@ def remove_repeats(
     """
     added = ("n_bytes", "spans", "kept")
     keep = [c for c in df.columns if c not in added]
-    key, check, raw, marks = (reserved(df, c) for c in ("_doc", "_check", "_raw", "_marks"))
+    key, check, raw, marks, hit = (reserved(df, c) for c in ("_doc", "_check", "_raw", "_marks", "_hit"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    # A row's key has 88 bits, 64 to join on and 24 to check with.
+    # A row's key has 79 bits, 64 to join on and 15 to check with.
     rows = df.select(
         *keep,
         F.xxhash64(F.col(id_col), text).alias(key),
-        F.crc32(F.encode(F.concat(text, F.coalesce(F.col(id_col).cast("string"), F.lit("-"))), "UTF-8")).bitwiseAND(F.lit((1 << 23) - 1)).alias(check),
+        F.crc32(F.encode(F.concat(text, F.coalesce(F.col(id_col).cast("string"), F.lit("-"))), "UTF-8")).bitwiseAND(F.lit((1 << 15) - 1)).alias(check),
         F.encode(text, "UTF-8").alias(raw),
     )
     places = repeated_windows(rows, key, check, raw, width, gram, group)
-    marked = places.groupBy("doc").agg(F.collect_set("place").alias(marks))  # windows of one document
-    joined = rows.join(marked, F.col(key) == F.col("doc"), "left").drop("doc", key)
+    marked = places.groupBy(F.col("doc").alias(hit)).agg(F.collect_set("place").alias(marks))  # windows of one document
+    joined = rows.join(marked, F.col(key) == F.col(hit), "left").drop(hit, key)
     spans_type = "array<struct<start:long,end:long>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,10 +388,10 @@ def remove_repeats(
 
 
 def _spans(places: list[int], check: int, width: int) -> list[tuple[int, int]]:
-    p = np.array([x for x in places if x >> 40 == check], np.int64)
+    p = np.array([x for x in places if x >> 48 == check], np.int64)
     if not len(p):
         return []
-    lo = (p & ((1 << 40) - 1)) >> 8
+    lo = (p >> 16) & ((1 << 32) - 1)
     hi = lo + (p & 0xFF) + width
     order = np.argsort(lo, kind="stable")
     lo, hi = lo[order], np.maximum.accumulate(hi[order])
