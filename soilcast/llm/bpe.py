@@ -15,6 +15,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,17 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, reserved, stored
 
-#: Pieces whose ids a worker keeps; the memory this takes is bounded by it.
-CACHED_PIECES = 400_000
+#: Pieces, and words, whose ids a worker keeps; the memory this takes is bounded by it.
+CACHED_PIECES = 500_000
+#: Rows handed on at a time.
+SLICE = 1024
 #: Symbols above which an unsplit word is encoded by halves.
 LEAF = 1024
 #: Characters above which a text is cut into rows.
 LONG_CHARS = 1 << 16
 _CHUNK = 1 << 20
+#: Marks that end a word and that no contraction begins with.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _MARK = "\x01"
 _LOADED: dict[tuple[str, int], "Encoder"] = {}
 
@@ -51,6 +56,7 @@ class Symbols:
 
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
+        self._spaced = None
         used = {c for t in model["vocab"] for c in t}
         free = (chr(c) for c in range(0xF0000, 0xFFFFE) if chr(c) not in used)
         ends = sorted({t[: -len(self.suffix)][-1:] for t in model["vocab"] if self.suffix and t.endswith(self.suffix)})
@@ -59,6 +65,9 @@ class Symbols:
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.tokenizer = Tokenizer(BPE(vocab, [(self._plain(a), self._plain(b)) for a, b in pairs]))
         self.text_of = {i: t for t, i in vocab.items()}
+        ends = set(self.end_of.values())
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t[-1:] in ends]] = True
 
     def _plain(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix) and (body := token[: -len(self.suffix)]):
@@ -71,6 +80,20 @@ class Symbols:
     def encode(self, symbols: str) -> list[int]:
         return self.tokenizer.encode(symbols, add_special_tokens=False).ids
 
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word (given as symbols, without spaces), all in one call."""
+        from tokenizers.pre_tokenizers import WhitespaceSplit
+
+        if self._spaced is None:
+            self._spaced = type(self.tokenizer)(self.tokenizer.model)
+            self._spaced.pre_tokenizer = WhitespaceSplit()
+        ids = np.asarray(self._spaced.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        if len(ends) != len(words):
+            raise RuntimeError("words were not encoded one by one")
+        raw = ids.tobytes()
+        return [raw[s:e] for s, e in zip([0, *ends], ends, strict=False)]
+
     def join(self, a: list[int], b: list[int]) -> list[int]:
         """The encoding of the text of ``a`` followed by that of ``b``, from their encodings."""
         if not a or not b:
@@ -104,7 +127,9 @@ class Encoder:
         self.special = [t["content"] for t in self.spec.get("added_tokens") or []]
         self.vocab_size = self.tokenizer.get_vocab_size()
         self._symbols: Symbols | None = None
-        self.cache: dict[str, bytes] = {"": b""}
+        self.table, self.hasher = _Table(), _Hasher()
+        self.cores: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
         own = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         a, b, mark = own("Ab1,"), own("c'd"), own(_MARK)
         #: White space only separates: a text is the sum of its pieces.
@@ -113,6 +138,15 @@ class Encoder:
         self.mark = mark[0] if self.by_pieces and len(mark) == 1 and own(f"Ab1, {_MARK} c'd") == a + mark + b else None
         names = json.dumps(self.spec.get("normalizer") or {})
         self.lowers = '"Lowercase"' in names and not re.search(r'"(NFKC|NFKD|NFD|StripAccents)"', names)
+        #: Lower-case Latin-1 letters and the symbols they are; a run of them is a word of its own.
+        self.letters: dict[int, str] = {}
+        if self.by_pieces and self.lowers and self.spec["model"].get("end_of_word_suffix"):
+            small = [c for c in map(chr, range(256)) if c.isalpha() and c == c.lower()]
+            split = {c: self.tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in small}
+            self.letters = {ord(c): s[0][0] for c, s in split.items() if len(s) == 1}
+            run = "".join(map(chr, self.letters))
+            if own(f"x{run}.,") != [*np.frombuffer(self._letter_runs([f"x{run}"])[0], "<u4").tolist(), *own(".,")]:
+                self.letters = {}
 
     @property
     def symbols(self) -> Symbols:
@@ -123,12 +157,15 @@ class Encoder:
     def _has_special(self, text: str) -> bool:
         return any(s in text for s in self.special)
 
-    def pieces(self, text: str) -> list[str]:
+    def lowered(self, text: str) -> str:
         if self.lowers and not self._has_special(text) and (text.isascii() or _latin1(text)):
             # Within Latin-1 lower case here is the normaliser's; it must not make a special token.
             low = text.lower()
-            text = text if self._has_special(low) else low
-        return text.replace("\n", " ").split(" ")
+            return text if self._has_special(low) else low
+        return text
+
+    def pieces(self, text: str) -> list[str]:
+        return self.lowered(text).replace("\n", " ").split(" ")
 
     def words(self, piece: str) -> list[str]:
         """Symbol strings of the words of a piece, as the normaliser and the splitter make them."""
@@ -144,13 +181,43 @@ class Encoder:
             out += self.symbols.tree(w, self.leaf)
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        cache, together = self.cache, []
-        for p in new:
+    def _letter_runs(self, runs: list[str]) -> list[bytes]:
+        symbols = [r if r.isascii() else r.translate(self.letters) for r in runs]
+        return self.symbols.encode_words([self.symbols.of_word(w) for w in symbols])
+
+    def _known_letters(self, run: str) -> bool:
+        return run.isalpha() and len(run) <= self.leaf and (run.isascii() or self.letters.keys() >= set(map(ord, run))) and run == run.lower()
+
+    def _ids_of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of distinct pieces, those that are letters with marks behind them by their words."""
+        if len(self.cores) > CACHED_PIECES:
+            self.cores = dict(islice(self.cores.items(), CACHED_PIECES // 2))
+        if len(self.tails) > CACHED_PIECES // 10:
+            self.tails = {"": b""}
+        cores, tails, found = self.cores, self.tails, {}
+        rest = pieces
+        if self.letters:
+            special = [p for p in pieces if "<" in p and self._has_special(p)]
+            split = [(p, p.rstrip(_TAIL)) for p in pieces]
+            runs = list({c for _, c in split if c not in cores and self._known_letters(c)})
+            for k in range(0, len(runs), 512):
+                cores.update(zip(runs[k : k + 512], self._letter_runs(runs[k : k + 512]), strict=True))
+            rest = special
+            for p, c in split:
+                ids = cores.get(c) if c else (b"" if len(p) <= self.leaf else None)
+                if ids is None:
+                    rest.append(p)
+                    continue
+                tail = p[len(c) :]
+                if tail not in tails:
+                    tails[tail] = self._one(tail)
+                found[p] = ids + tails[tail]
+        together = []
+        for p in rest:
             if len(p) > self.leaf:
-                cache[p] = np.asarray(self.long_piece(p), "<u4").tobytes()
+                found[p] = np.asarray(self.long_piece(p), "<u4").tobytes()
             elif self.mark is None or _MARK in p or self._has_special(p):
-                cache[p] = np.asarray(self.tokenizer.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+                found[p] = self._one(p)
             else:
                 together.append(p)
         for k in range(0, len(together), 8192):
@@ -163,33 +230,144 @@ class Encoder:
             raw = ids.tobytes()
             starts = [0, *(4 * (at + 1)).tolist()]
             ends = [*(4 * at).tolist(), len(raw)]
-            for p, s, e in zip(part, starts, ends, strict=True):
-                cache[p] = raw[s:e]
+            found.update((p, raw[s:e]) for p, s, e in zip(part, starts, ends, strict=True))
+        return [found[p] for p in pieces]
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; none for NULL."""
-        texts = [t or "" for t in texts]
+    def _one(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other (unsigned 32-bit), and where each text's end; none for NULL."""
         if not self.by_pieces:
-            for t in texts:
-                yield np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-            return
-        at = 0
+            got = [self.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+            return np.array([i for g in got for i in g], "<u4"), np.cumsum([len(g) for g in got], dtype=np.int64)
+        parts, ends, total, at = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], 0, 0
         while at < len(texts):
             some, n = [], 0
             while at < len(texts) and n < _CHUNK:
-                some.append(self.pieces(texts[at]))
-                n += len(texts[at]) + 1
+                some.append(self.lowered(texts[at] or "").encode("utf-8"))
+                n += len(some[-1]) + 1
                 at += 1
-            if len(self.cache) > CACHED_PIECES:
-                self.cache = {"": b""}
-            new: set[str] = set()
-            for ps in some:
-                new.update(ps)
-            new.difference_update(self.cache)
-            self._learn(list(new))
-            get = self.cache.__getitem__
-            for ps in some:
-                yield b"".join(map(get, ps))
+            ids, stops = self._encode_pieces(some)
+            parts.append(ids)
+            ends.append(stops + total)
+            total += len(ids)
+        return np.concatenate(parts), np.concatenate(ends)
+
+    def _encode_pieces(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+        inside = (data != 32) & (data != 10)
+        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+        start, end = edge[::2], edge[1::2]
+        entry = self.table.find(self.hasher.of(data, start, end))
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            self.table.shrink(CACHED_PIECES)
+            hashes = self.hasher.of(data, start, end)
+            found = self.table.find(hashes)
+            new = np.flatnonzero(found < 0)
+            fresh, first = np.unique(hashes[new], return_index=True)
+            raw = data.tobytes()
+            pieces = [raw[s:e].decode("utf-8") for s, e in zip(start[new[first]].tolist(), end[new[first]].tolist(), strict=True)]
+            self.table.add(fresh, self._ids_of(pieces))
+            entry = self.table.find(hashes)
+        size = self.table.size[entry]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        shift = np.repeat(self.table.begin[entry] - (stop - size), size)
+        ids = self.table.ids[np.arange(total) + shift]
+        text_end = np.cumsum([len(r) + 1 for r in raws])
+        pieces_before = np.searchsorted(start, text_end)
+        return ids, np.concatenate([[0], stop])[pieces_before]
+
+    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        ids, ends = self.encode_all(texts)
+        raw = ids.tobytes()
+        for s, e in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+            yield raw[4 * s : 4 * e]
+
+
+class _Hasher:
+    """64-bit hashes of stretches of bytes."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def of(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        base = 0x9E3779B97F4A7C15
+        if len(data) >= len(self.up):
+            up = np.full(2 * len(data) + 1, base, np.uint64)
+            down = np.full(2 * len(data) + 1, pow(base, -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=sums[1:])
+        h = (sums[end] - sums[start]) * self.down[start]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h ^ (h >> np.uint64(32))) | np.uint64(1)
+
+
+class _Table:
+    """Ids by hash of the piece: an open-addressing table that is searched for many pieces at once. Two of a
+    million pieces have one hash with a probability of 1 in 10 million."""
+
+    def __init__(self, bits: int = 18):
+        self.hashes, self.entries = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
+        self.known = np.zeros(0, np.uint64)
+        self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        mask = np.uint64(len(self.hashes) - 1)
+        slot = (h >> np.uint64(20)) & mask
+        out = np.full(len(h), -1, np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            there = self.hashes[slot]
+            same = there == h
+            out[todo[same]] = self.entries[slot[same]]
+            more = ~same & (there != 0)
+            todo, h, slot = todo[more], h[more], (slot[more] + np.uint64(1)) & mask
+        return out
+
+    def add(self, fresh: np.ndarray, ids: list[bytes]) -> None:
+        """Entries for distinct hashes that the table lacks."""
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        self.known = np.concatenate([self.known, fresh])
+        bits = len(self.hashes)
+        while 3 * len(self.known) > bits:
+            bits *= 2
+        if bits > len(self.hashes):
+            self.hashes, self.entries = np.zeros(bits, np.uint64), np.full(bits, -1, np.int64)
+            self._place(self.known, np.arange(len(self.known)))
+        else:
+            self._place(fresh, np.arange(len(self.known) - len(fresh), len(self.known)))
+
+    def _place(self, h: np.ndarray, entry: np.ndarray) -> None:
+        mask = np.uint64(len(self.hashes) - 1)
+        slot = (h >> np.uint64(20)) & mask
+        while len(h):
+            free = np.flatnonzero(self.hashes[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.hashes[slot[won]], self.entries[slot[won]] = h[won], entry[won]
+            rest = np.ones(len(h), bool)
+            rest[won] = False
+            h, entry, slot = h[rest], entry[rest], (slot[rest] + np.uint64(1)) & mask
+
+    def shrink(self, most: int) -> None:
+        """Keep the first half of more than ``most`` entries: frequent pieces are met early."""
+        n = most // 2
+        if len(self.known) > most:
+            known, begin, size = self.known[:n], self.begin[:n], self.size[:n]
+            ids = self.ids[: int(begin[-1] + size[-1])]
+            self.__init__()
+            self.begin, self.size, self.ids, self.known = begin, size, ids, known
+            self.add(np.zeros(0, np.uint64), [])
 
 
 def _latin1(text: str) -> bool:
@@ -200,12 +378,20 @@ def _latin1(text: str) -> bool:
     return True
 
 
-def _id_lists(raws: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *(len(r) // 4 for r in raws)])
-    values = np.frombuffer(b"".join(raws), "<u4").astype("int32")
-    if ends[-1] >= 1 << 31:
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, SLICE):
+            yield b.slice(k, SLICE)
+
+
+def _id_lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    if len(ids) >= 1 << 31:
         raise ValueError("a batch holds 2**31 ids or more; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int32)))
+
+
+def _raw_lists(raws: list[bytes]) -> pa.Array:
+    return _id_lists(np.frombuffer(b"".join(raws), "<u4"), np.cumsum([len(r) // 4 for r in raws], dtype=np.int64))
 
 
 def _encode_rows(df: DataFrame, text_col: str, path: str, leaf: int, out_col: str) -> DataFrame:
@@ -213,9 +399,9 @@ def _encode_rows(df: DataFrame, text_col: str, path: str, leaf: int, out_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, leaf)
-        for b in batches:
-            raws = list(enc.encode(b.column(text_col).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), _id_lists(raws)], [*rest, out_col])
+        for b in sliced(batches):
+            got = _id_lists(*enc.encode_all(b.column(text_col).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), got], [*rest, out_col])
 
     return map_batches(df, run, df.select(*rest, F.lit(None).cast("array<int>").alias(out_col)).schema)
 
@@ -276,7 +462,7 @@ def _encode_long(df: DataFrame, text_col: str, path: str, leaf: int, out_col: st
             for is_raw, text in zip(b.column(raw).to_pylist(), b.column(part).to_pylist(), strict=True):
                 out.append(np.asarray(enc.symbols.tree(text, leaf), "<u4").tobytes() if is_raw else next(enc.encode([text])))
             names = [c for c in b.schema.names if c != part]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), _id_lists(out)], [*names, out_col])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), _raw_lists(out)], [*names, out_col])
 
     # Rows of one text go to different tasks.
     spread = cut.repartition(F.col(row), F.col(seg), F.col(node))
@@ -294,7 +480,7 @@ def _encode_long(df: DataFrame, text_col: str, path: str, leaf: int, out_col: st
                     ids = enc.symbols.join(ids, h["ids"])
                 out.append(np.asarray(ids, "<u4").tobytes())
             names = [c for c in b.schema.names if c != out_col]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), _id_lists(out)], [*names, out_col])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), _raw_lists(out)], [*names, out_col])
 
     other = [c for c in rest if c != row]
     while most > 1:  # one level of the tree: neighbouring halves of a word meet in one row
@@ -345,8 +531,9 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = encoder(path).tokenizer
-        for b in batches:
+        for b in sliced(batches):
             ids = b.column(ids_col)
+            # Offsets of a slice still point into all values.
             at, values = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)
             texts = [tok.decode(values[s:e].tolist(), skip_special_tokens=False) for s, e in zip(at, at[1:], strict=False)]
             names = b.schema.names

@@ -20,15 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import LEAF, encoder
+from .bpe import LEAF, sliced, encoder
 from .common import map_batches, scratch, stored
 
 #: Greatest code length in bits.
-LIMIT = 20
+LIMIT = 18
 #: Ids between two checkpoints of a block.
 EVERY = 256
 #: Ids after which a block is closed; a document never leaves its block.
-BLOCK_IDS = 1 << 17
+BLOCK_IDS = 1 << 18
 
 BLOCKS = (
     "shard int, block long, start long, doc_ids array<long>, n_tokens array<int>, checkpoints array<int>, "
@@ -70,6 +70,8 @@ class Codebook:
     """Canonical codes: shorter first, then by id."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, limit: int = LIMIT):
+        if not 1 <= limit <= 25 or len(ids) and int(np.max(ids)) >= 1 << 27:
+            raise ValueError("codes of at most 25 bits for ids below 2**27")
         order = np.lexsort((ids, lengths))
         self.ids, self.lengths, self.limit = np.asarray(ids)[order].astype(np.int64), np.asarray(lengths)[order].astype(np.int64), limit
         width = np.left_shift(np.int64(1), limit - self.lengths)  # of each code in the decoding table
@@ -95,30 +97,30 @@ class Codebook:
         word, room = at >> 6, 64 - (at & 63)
         over = size - room  # bits that do not fit the word they begin in
         value = codes[ids]
-        fits = over <= 0
-        high = np.where(fits, value << np.where(fits, -over, 0).astype(np.uint64), value >> np.where(fits, 0, over).astype(np.uint64))
+        high = value << np.maximum(-over, 0).view(np.uint64)
+        spill = np.flatnonzero(over > 0)
+        high[spill] = value[spill] >> over[spill].view(np.uint64)
         if len(ids):
             first = np.flatnonzero(np.diff(word, prepend=-1))
             words[word[first]] = np.add.reduceat(high, first)  # bits of different codes never overlap
-            spill = np.flatnonzero(~fits)
-            words[word[spill] + 1] += value[spill] << (64 - over[spill]).astype(np.uint64)
+            words[word[spill] + 1] += value[spill] << (64 - over[spill]).view(np.uint64)
         return words.astype(">u8").tobytes()[: (n_bits + 7) // 8], n_bits, at[::every]
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n: int, every: int = EVERY) -> np.ndarray:
         """The ``n`` ids of a block, all checkpoints read side by side."""
         if self._decode is None:
-            table = np.repeat((self.ids << 8) | self.lengths, self._width)
-            self._decode = np.concatenate([table, np.full((1 << self.limit) - len(table), 1, np.int64)])
+            table = np.repeat((self.ids << 5) | self.lengths, self._width)
+            self._decode = np.concatenate([table, np.full((1 << self.limit) - len(table), 1)]).astype(np.uint32)
         raw = np.frombuffer(payload + b"\0" * 8, np.uint8).astype(np.uint32)
         window = (raw[:-3] << 24) | (raw[1:-2] << 16) | (raw[2:-1] << 8) | raw[3:]
         top, mask = 32 - self.limit, (1 << self.limit) - 1
-        bit = np.asarray(checkpoints, np.int64)
+        bit = np.array(checkpoints, np.int64)
         out = np.empty((every, len(bit)), np.uint32)
         for k in range(min(every, n)):
             byte = np.minimum(bit >> 3, len(window) - 1)
             entry = self._decode[(window[byte] >> (top - (bit & 7)).astype(np.uint32)) & mask]
-            out[k] = entry >> 8
-            bit = bit + (entry & 255)
+            out[k] = entry >> 5
+            bit += entry & 31
         return out.T.reshape(-1)[:n]
 
 
@@ -135,14 +137,14 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, at = encoder(path, leaf), TaskContext.get().partitionId(), 0
         small = max(enc.vocab_size, end_id + 1) <= 1 << 16
-        end = np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            raws = [r + end for r in enc.encode(b.column("text").to_pylist())]
-            n = np.array([len(r) // 4 for r in raws], np.int64)
+        for b in sliced(batches):
+            ids, ends = enc.encode_all(b.column("text").to_pylist())
+            ids = np.insert(ids, ends, end_id).astype("<u2" if small else "<u4")
+            n = np.diff(ends, prepend=0) + 1
             starts = at + np.cumsum(n) - n
+            raw, cut = ids.tobytes(), (np.cumsum(n) * ids.itemsize).tolist()
+            raws = [raw[s:e] for s, e in zip([0, *cut], cut, strict=False)]
             at += int(n.sum())
-            if small:
-                raws = [np.frombuffer(r, "<u4").astype("<u2").tobytes() for r in raws]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard] * len(n), pa.int32()), pa.array(starts), b.column("doc_id"), pa.array(n), pa.array(raws, pa.binary())],
                 ["shard", "at", "doc_id", "n_tokens", "raw"],
@@ -165,11 +167,11 @@ def id_counts(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, np.int64)
         for b in batches:
-            for raw, n in zip(b.column("raw").to_pylist(), b.column("n_tokens").to_pylist(), strict=True):
-                got = np.bincount(_unpack(raw, n))
-                if len(got) > len(total):
-                    total = np.pad(total, (0, len(got) - len(total)))
-                total[: len(got)] += got
+            raws, n = b.column("raw").to_pylist(), b.column("n_tokens").to_numpy()
+            got = np.bincount(_unpack(b"".join(raws), int(n.sum())))
+            if len(got) > len(total):
+                total = np.pad(total, (0, len(got) - len(total)))
+            total[: len(got)] += got
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64)), pa.array(total[used])], ["id", "n"])
 
