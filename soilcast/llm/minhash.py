@@ -7,8 +7,9 @@ components.
 
 A bucket's nodes are not all paired. They are first compared with one of them; a bucket left with
 several classes is small and compared in full, or its nodes get a bound from the shingles that no other of them
-has, which no pair of too different texts passes: then the most typical node, and what still lies
-in different classes within the bounds, is compared. No bucket or partner is dropped.
+has, which no pair of too different texts passes: they are compared with the most typical node, and what
+still lies in different classes within the bounds is compared block by block, so that only links become rows.
+No bucket or partner is dropped.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BANDS = 24
 ROWS = 4
 #: Nodes up to which a bucket with several classes is compared in full.
 SMALL = 16
+#: Nodes in a block of a larger bucket.
+BLOCK = 256
 _BATCH = 1 << 20
 
 
@@ -123,14 +126,16 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     """Bucket rows with their class, of the buckets that hold several: adds ``label``, ``members``."""
     labels = components(links)
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rows = stored(rows, "near-labelled")
     seen = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"))
-    return rows.join(seen.where("lo <> hi").select("key", "members"), "key")
+    # Written, so that a join can split a bucket with very many rows.
+    return rows.join(stored(seen.where("lo <> hi").select("key", "members"), "near-several"), "key")
 
 
 def near_links(buckets: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, small: int = SMALL) -> DataFrame:
     """Links (``a``, ``b``) that connect just the nodes which links between any two nodes of a bucket
     connect. ``buckets``: ``key``, ``node``, two rows or more per key; ``sets``: ``node``, ``shingles``."""
-    firsts = buckets.groupBy("key").agg(F.min("node").alias("first"))
+    firsts = stored(buckets.groupBy("key").agg(F.min("node").alias("first")), "near-firsts")
     star = buckets.join(firsts, "key").where("node <> first").select(*_pair(F.col("node"), F.col("first"))).distinct()
     links = stored(_verified(star, sets, threshold), "near-star")
 
@@ -154,12 +159,57 @@ def near_links(buckets: DataFrame, sets: DataFrame, threshold: float = THRESHOLD
     star = many.join(typical, "key").where("node <> first").select(*_pair(F.col("node"), F.col("first")))
     links = stored(links.unionByName(_verified(pairs.unionByName(star).distinct(), sets, threshold)), "near-links")
 
-    rest = stored(_labelled(many.drop("label", "members"), links), "near-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    bound = F.least("x.common", "y.common") >= need * (F.col("x.size") + F.col("y.size")) - 1e-9
-    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.label") != F.col("y.label"))
-    pairs = x.join(y, apart & bound).select(*_pair(F.col("x.node"), F.col("y.node"))).distinct()
-    return links.unionByName(_verified(pairs, sets, threshold))
+    rest = _labelled(many.drop("label", "members"), links)
+    return links.unionByName(_by_blocks(rest, sets, threshold))
+
+
+def _by_blocks(rest: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between nodes of a bucket (``key``) with different ``label``. A bucket is dealt into blocks of about ``BLOCK``
+    nodes by hash; each pair of blocks is one row, whose shared shingles are counted by a matrix product."""
+    blocks = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK).cast("long")).alias("block")
+    node = F.struct("node", "label", "shingles")
+    held = rest.join(sets, "node").select("key", blocks, node.alias("node")).groupBy("key", "block").agg(
+        F.collect_list("node").alias("nodes"), F.min("node.label").alias("lo"), F.max("node.label").alias("hi")
+    )
+    held = stored(held, "near-blocks")
+    x, y = held.alias("x"), held.alias("y")
+    several = F.least("x.lo", "y.lo") != F.greatest("x.hi", "y.hi")
+    both = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") <= F.col("y.block")) & several)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                one, two = (b.column(c)[k].as_py() for c in ("one", "two"))
+                i, j = _similar([r["shingles"] for r in one], [r["shingles"] for r in two], threshold)
+                la, lb = (np.array([r["label"] for r in z]) for z in (one, two))
+                na, nb = (np.array([r["node"] for r in z]) for z in (one, two))
+                apart = la[i] != lb[j]
+                yield pa.RecordBatch.from_arrays([pa.array(na[i[apart]]), pa.array(nb[j[apart]])], ["a", "b"])
+
+    rows = both.select(F.col("x.nodes").alias("one"), F.col("y.nodes").alias("two"))
+    return map_batches(rows, run, "a long, b long")
+
+
+def _similar(one: list[bytes], two: list[bytes], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indices of the pairs of sets that are similar enough."""
+    a, b = ([np.frombuffer(s, "<u4") for s in z] for z in (one, two))
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    na, nb = np.array([len(s) for s in a]), np.array([len(s) for s in b])
+    common = np.zeros((len(a), len(b)), np.float32)
+    for k in range(0, len(shared), 4096):  # the product in strips of bounded width
+        strip = shared[k : k + 4096]
+        common += _member(a, strip) @ _member(b, strip).T
+    ok = common >= threshold * (na[:, None] + nb[None, :] - common) - 1e-4
+    return np.nonzero(ok & (na[:, None] > 0))
+
+
+def _member(sets: list[np.ndarray], values: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(values)), np.float32)
+    for i, s in enumerate(sets):
+        at = np.searchsorted(values, s)
+        at[at == len(values)] = 0
+        out[i, at[values[at] == s]] = 1
+    return out
 
 
 def _as_ints(col: str) -> Column:
@@ -194,7 +244,7 @@ def near_duplicates(
     texts = stored(texts.where(F.size("bands") > 0).withColumn("node", F.monotonically_increasing_id()), "near-texts")
     keyed = texts.select("node", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    buckets = stored(keyed.join(shared, "key"), "near-buckets")
+    buckets = stored(keyed.join(stored(shared, "near-shared"), "key"), "near-buckets")
     asked = buckets.select("node").distinct().join(texts.select("node", t1, t2, "_id"), "node")
     same = [F.col(f"d.{c}") == F.col(f"a.{c}") for c in (t1, t2)] + [F.col(f"d.{id_col}").eqNullSafe(F.col("a._id"))]
     picked = docs.alias("d").join(asked.alias("a"), same).select("a.node", f"d.{text}")
