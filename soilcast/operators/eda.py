@@ -12,24 +12,27 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from soilcast.functions.numeric import nan_to_null
+from soilcast.operators.joins import join_fitted
 from soilcast.session import materialize
 
 
-
 def _long(agg: DataFrame, by: list[str], records: list[Column]) -> DataFrame:
     """One output row per struct in ``records`` for each aggregated row."""
     return agg.select(*by, F.inline(F.array(*records)))
 
 
+def _present(df: DataFrame, c: str) -> Column:
+    """The column with NaN read as missing, as everywhere."""
+    return nan_to_null(c) if dict(df.dtypes)[c] in ("double", "float") else F.col(c)
+
+
 def missing_profile(df: DataFrame, cols: list[str], by: list[str] = ("season",)) -> DataFrame:
     """by…, column, n, n_missing, share_missing (NULL or NaN counts as missing)."""
     by = list(by)
     aggs = [F.count(F.lit(1)).alias("_n")]
     for i, c in enumerate(cols):
-        miss = F.col(c).isNull()
-        if dict(df.dtypes)[c] in ("double", "float"):
-            miss = miss | F.isnan(c)
-        aggs.append(F.sum(miss.cast("long")).alias(f"_m{i}"))
+        aggs.append(F.sum(_present(df, c).isNull().cast("long")).alias(f"_m{i}"))
     agg = df.groupBy(*by).agg(*aggs)
     recs = [
         F.struct(
@@ -58,7 +61,7 @@ def numeric_summary(df: DataFrame, cols: list[str], by: list[str] = ("season",),
     }
     if moments:
         stats.update({"skewness": F.skewness, "kurtosis": F.kurtosis})
-    aggs = [fn(c).alias(f"_{s}{i}") for i, c in enumerate(cols) for s, fn in stats.items()]
+    aggs = [fn(_present(df, c)).alias(f"_{s}{i}") for i, c in enumerate(cols) for s, fn in stats.items()]
     agg = df.groupBy(*by).agg(*aggs)
     recs = [
         F.struct(F.lit(c).alias("column"), *[F.col(f"_{s}{i}").alias(s) for s in stats])
@@ -68,8 +71,8 @@ def numeric_summary(df: DataFrame, cols: list[str], by: list[str] = ("season",),
 
 
 def _melt(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
-    """by…, column, v for every non-NULL cell of ``cols``."""
-    recs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]
+    """by…, column, v for every cell of ``cols`` that is neither NULL nor NaN."""
+    recs = [F.struct(F.lit(c).alias("column"), _present(df, c).cast("double").alias("v")) for c in cols]
     return df.select(*by, F.inline(F.array(*recs))).filter(F.col("v").isNotNull())
 
 
@@ -108,7 +111,8 @@ def quantile_summary(
     # (merging only neighbours, so ranges stay contiguous). Materialised so that both uses below see
     # the same partitions: the partition id is part of the result.
     by_range = counts.repartitionByRange(*([partitions] if partitions else []), *keys, "v")
-    ranged = materialize(by_range, "quantile_ranges").withColumn("_pid", F.spark_partition_id())
+    # The range number is stored with the rows: a written table is read in other partitions.
+    ranged = materialize(by_range.withColumn("_pid", F.spark_partition_id()), "quantile_ranges")
     # Rows per (partition, group) and the offset of each partition within its group.
     sub = ranged.groupBy("_pid", *keys).agg(F.sum("cnt").alias("_sub"))
     w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,7 +125,7 @@ def quantile_summary(
     )
     w_local = Window.partitionBy("_pid", *keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     # offsets has at most (partitions + groups) rows; AQE broadcasts it when it is measured small.
-    ranked = ranged.join(offsets, ["_pid", *keys]).select(
+    ranked = join_fitted(ranged, offsets, ["_pid", *keys], "inner").select(
         *keys, "v", "_n", (F.col("_off") + F.sum("cnt").over(w_local) - F.col("cnt")).alias("_start"), "cnt"
     )
     # Wanted order statistics per group and prob: positions floor(h) and ceil(h), 0-based.
@@ -160,8 +164,9 @@ def correlations(df: DataFrame, cols: list[str], by: list[str] = ("season",)) ->
     pairs = list(combinations(cols, 2))
     aggs = []
     for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs += [F.count(F.when(both, F.lit(1))).alias(f"_n{i}"), F.corr(a, b).alias(f"_r{i}")]
+        x, y = _present(df, a), _present(df, b)
+        both = x.isNotNull() & y.isNotNull()
+        aggs += [F.count(F.when(both, F.lit(1))).alias(f"_n{i}"), F.corr(x, y).alias(f"_r{i}")]
     agg = df.groupBy(*by).agg(*aggs)
     recs = [
         F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"_n{i}").alias("n"), F.col(f"_r{i}").alias("r"))

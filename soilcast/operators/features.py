@@ -37,8 +37,9 @@ def with_split(df: DataFrame, key: str, mod: int = 5, hold: int = 0, out: str =
 
 
 def split_train_test(df: DataFrame, key: str, mod: int = 5, hold: int = 0) -> tuple[DataFrame, DataFrame]:
-    b = _bucket(df, key, mod)
-    return df.filter(b != hold), df.filter(b == hold)
+    """(training rows, held-out rows) by the rule of ``with_split``; a NULL key is a training row."""
+    held = F.coalesce(_bucket(df, key, mod) == hold, F.lit(False))
+    return df.filter(~held), df.filter(held)
 
 
 def assign_fold(df: DataFrame, key: str, k: int = 3, out: str = "fold") -> DataFrame:

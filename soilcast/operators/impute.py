@@ -96,6 +96,7 @@ class IterativeFill:
     cols: list[str]
     means: list[float]
     steps: list[tuple[int, int, float, list[float]]]
+    empty: list[str] = field(default_factory=list)  # asked for, but never observed: stay as they are
 
     def coefficients(self) -> list[tuple[int, str, str, float]]:
         """(round, column, term, value) on the data's own scale; term 'intercept' or a predictor name."""
@@ -107,24 +108,39 @@ class IterativeFill:
         return out
 
     def transform(self, df: DataFrame, suffix: str = "") -> DataFrame:
-        """Replays the fitted steps as narrow projections (rounds × columns of them, no shuffle)."""
-        z = [f"_z{j}" for j in range(len(self.cols))]
-        out = df.withColumns(
-            {z[j]: F.coalesce(F.col(c) - F.lit(m), F.lit(0.0)) for j, (c, m) in enumerate(zip(self.cols, self.means))}
-        )
-        for _, j, alpha, beta in self.steps:
+        """Replays the fitted steps as a few narrow projections (no shuffle); a column that was never observed
+        keeps its gaps."""
+        p = range(len(self.cols))
+        z = [f"_z{j}" for j in p]
+        out = df.withColumns({z[j]: F.coalesce(F.col(self.cols[j]) - F.lit(self.means[j]), F.lit(0.0)) for j in p})
+        out = _replay(out, self.cols, z, self.steps)
+        filled = {f"{c}{suffix}": F.col(z[j]) + F.lit(m) for j, (c, m) in enumerate(zip(self.cols, self.means))}
+        return out.withColumns(filled | {f"{c}{suffix}": F.col(c) for c in self.empty}).drop(*z)
+
+
+CHAIN = 16  # steps in one projection; each refers to the ones before it
+
+
+def _replay(df: DataFrame, cols: list[str], z: list[str], steps) -> DataFrame:
+    """``df`` with the current values ``z`` moved on by ``steps``, ``CHAIN`` of them per projection, in which later
+    columns refer to earlier ones."""
+    out = df
+    for start in range(0, len(steps), CHAIN):
+        now, added = list(z), []
+        for i, (_, j, alpha, beta) in enumerate(steps[start : start + CHAIN]):
             pred = F.lit(alpha)
             for k, b in enumerate(beta):
                 if k != j and b != 0.0:
-                    pred = pred + F.lit(b) * F.col(z[k])
-            out = out.withColumn(z[j], F.when(F.col(self.cols[j]).isNull(), pred).otherwise(F.col(z[j])))
-        out = out.withColumns(
-            {f"{c}{suffix}": F.col(z[j]) + F.lit(m) for j, (c, m) in enumerate(zip(self.cols, self.means))}
-        )
-        return out.drop(*z)
+                    pred = pred + F.lit(b) * F.col(now[k])
+            name = f"_s{start + i}"
+            added.append(F.when(F.col(cols[j]).isNull(), pred).otherwise(F.col(now[j])).alias(name))
+            now[j] = name
+        kept = [c for c in out.columns if c not in z]
+        out = out.select("*", *added).select(*kept, *[F.col(n).alias(c) for n, c in zip(now, z)])
+    return out
 
 
-MAX_PATTERNS = 50_000  # missingness patterns whose statistics may come to the driver
+MAX_PATTERN_COLS = 12  # columns for which 2**p patterns' statistics may come to the driver
 
 
 def fit_iterative(
@@ -133,54 +149,80 @@ def fit_iterative(
     rounds: int = 5,
     tol: float | None = None,
     ridge: float = 0.0,
-    max_patterns: int = MAX_PATTERNS,
+    method: str = "passes",
 ) -> IterativeFill:
-    """Chained linear regressions fitted from sufficient statistics, never by re-scanning the data.
+    """Chained linear regressions.
 
     Start: every gap at its column mean. Each round, column by column, regress the column on the
-    current values of all others over rows where it is observed, then refill its gaps.
+    current values of all others over rows where it is observed, then refill its gaps. Observed cells
+    never change; a column that is never observed is left out and keeps its gaps.
 
-    Within one missingness pattern every current value is an affine map of the row's observed
-    (centred) values, so each regression's cross-products follow from per-pattern counts, sums and
-    second moments. Those come from ONE aggregation with at most 2^p groups (partial aggregation
-    before the shuffle); all rounds then run on the driver on p×p matrices. Observed cells never change.
+    ``method`` is the caller's choice, the result is the same:
 
-    If more than ``max_patterns`` patterns occur (many columns, scattered gaps), their statistics are
-    not brought to the driver; the same fit is computed exactly by one aggregation per round and
-    column over the data instead (``_fit_iterative_by_passes``).
+    * ``passes`` (any number of columns): one aggregation over the data per (round, column). A round's values
+      are written, so each pass replays one round at most;
+    * ``patterns`` (``MAX_PATTERN_COLS`` columns at most): within one missingness pattern every current value
+      is an affine map of the row's observed values, so all regressions follow from counts, sums and second
+      moments per pattern. ONE aggregation with at most 2^p groups, then p×p matrices on the driver.
     """
+    if method not in ("passes", "patterns"):
+        raise ValueError(f"fit_iterative: unknown method {method!r}")
+    if method == "patterns" and len(cols) > MAX_PATTERN_COLS:
+        raise ValueError(f"method 'patterns' takes {MAX_PATTERN_COLS} columns at most, got {len(cols)}; use 'passes'")
     mrow = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    cols = [c for c in cols if mrow[c] is not None]  # a never-observed column is left as it is (NULL)
-    p = len(cols)
+    empty = [c for c in cols if mrow[c] is None]
+    cols = [c for c in cols if mrow[c] is not None]
     means = [float(mrow[c]) for c in cols]
-    if p == 0:
-        return IterativeFill([], [], [])
+    if not cols:
+        return IterativeFill([], [], [], empty)
+    fit = _fit_by_patterns if method == "patterns" else _fit_by_passes
+    return IterativeFill(cols, means, fit(df, cols, means, rounds, tol, ridge), empty)
+
+
+def _solve_step(G, h, ridge: float, others: list[int], p: int):
+    """(intercept, coefficients over all columns) of one regression."""
+    if ridge:
+        G[1:, 1:] += ridge * np.eye(p - 1)
+    coef = np.linalg.lstsq(G, h, rcond=None)[0]
+    beta = np.zeros(p)
+    beta[others] = coef[1:]
+    return float(coef[0]), beta
+
+
+class _Progress:
+    """The fitted steps, and the largest change of a coefficient since the round before."""
+
+    def __init__(self):
+        self.steps, self.prev, self.delta = [], {}, 0.0
+
+    def add(self, rnd: int, j: int, alpha: float, beta) -> None:
+        vec = np.concatenate([[alpha], beta])
+        change = float(np.max(np.abs(vec - self.prev[j]))) if j in self.prev else float("inf")
+        self.delta = max(self.delta, change)
+        self.prev[j] = vec
+        self.steps.append((rnd, j, alpha, [float(x) for x in beta]))
+
+
+def _fit_by_patterns(df, cols, means, rounds, tol, ridge) -> list:
+    p = len(cols)
     u = [F.coalesce(F.col(c) - F.lit(m), F.lit(0.0)) for c, m in zip(cols, means)]
     pattern = sum((F.col(c).isNull().cast("int") * (1 << j) for j, c in enumerate(cols)), F.lit(0))
     aggs = [F.count(F.lit(1)).alias("n")]
     aggs += [F.sum(u[i]).alias(f"s{i}") for i in range(p)]
     aggs += [F.sum(u[i] * u[k]).alias(f"m{i}_{k}") for i in range(p) for k in range(i, p)]
-    grouped = df.groupBy(pattern.alias("pat")).agg(*aggs)
-    stats = grouped.limit(max_patterns + 1).collect()  # at most 2^p rows, and never above the bound
-    if len(stats) > max_patterns:
-        return _fit_iterative_by_passes(df, cols, means, rounds, tol, ridge)
-
     pats = []
-    for r in stats:
+    for r in df.groupBy(pattern.alias("pat")).agg(*aggs).collect():  # at most 2**MAX_PATTERN_COLS rows
         miss = np.array([(r["pat"] >> j) & 1 == 1 for j in range(p)])
         s = np.array([r[f"s{i}"] for i in range(p)], dtype=float)
         M = np.zeros((p, p))
         for i in range(p):
             for k in range(i, p):
                 M[i, k] = M[k, i] = r[f"m{i}_{k}"]
-        A = np.diag((~miss).astype(float))
-        b = np.zeros(p)
-        pats.append({"n": float(r["n"]), "miss": miss, "s": s, "M": M, "A": A, "b": b})
+        pats.append({"n": float(r["n"]), "miss": miss, "s": s, "M": M, "A": np.diag((~miss).astype(float)), "b": np.zeros(p)})
 
-    steps: list[tuple[int, int, float, list[float]]] = []
-    prev: dict[int, np.ndarray] = {}
+    done = _Progress()
     for rnd in range(1, rounds + 1):
-        delta = 0.0
+        done.delta = 0.0
         for j in range(p):
             others = [k for k in range(p) if k != j]
             G = np.zeros((p, p))  # [1, z_others] cross-products, intercept first
@@ -190,78 +232,51 @@ def fit_iterative(
                     continue
                 A, b, n, s, M = pt["A"][others], pt["b"][others], pt["n"], pt["s"], pt["M"]
                 Sz = A @ s + n * b
-                Szz = A @ M @ A.T + np.outer(A @ s, b) + np.outer(b, A @ s) + n * np.outer(b, b)
                 G[0, 0] += n
                 G[0, 1:] += Sz
                 G[1:, 0] += Sz
-                G[1:, 1:] += Szz
+                G[1:, 1:] += A @ M @ A.T + np.outer(A @ s, b) + np.outer(b, A @ s) + n * np.outer(b, b)
                 h[0] += s[j]
                 h[1:] += A @ M[:, j] + b * s[j]
-            if G[0, 0] == 0:  # column never observed: stays at its start value
-                continue
-            if ridge:
-                G[1:, 1:] += ridge * np.eye(p - 1)
-            coef = np.linalg.lstsq(G, h, rcond=None)[0]
-            alpha, beta_o = float(coef[0]), coef[1:]
-            beta = np.zeros(p)
-            beta[others] = beta_o
+            alpha, beta = _solve_step(G, h, ridge, others, p)
             for pt in pats:
                 if pt["miss"][j]:
-                    pt["A"][j] = beta_o @ pt["A"][others]
-                    pt["b"][j] = alpha + beta_o @ pt["b"][others]
-            vec = np.concatenate([[alpha], beta])
-            if j in prev:
-                delta = max(delta, float(np.max(np.abs(vec - prev[j]))))
-            else:
-                delta = float("inf")
-            prev[j] = vec
-            steps.append((rnd, j, alpha, [float(x) for x in beta]))
-        if tol is not None and delta < tol:
+                    pt["A"][j] = beta[others] @ pt["A"][others]
+                    pt["b"][j] = alpha + beta[others] @ pt["b"][others]
+            done.add(rnd, j, alpha, beta)
+        if tol is not None and done.delta < tol:
             break
-    return IterativeFill(list(cols), means, steps)
+    return done.steps
 
 
-def _fit_iterative_by_passes(df, cols, means, rounds, tol, ridge) -> IterativeFill:
-    """The chained-regression fit with one aggregation per (round, column) over the data.
-
-    Each pass replays the steps fitted so far as projections and sums the (p)² cross-products of
-    [1, current others] and the column over rows where it is observed. Same result as the
-    pattern-statistics fit; used when the patterns are too many for the driver.
-    """
+def _fit_by_passes(df, cols, means, rounds, tol, ridge) -> list:
     p = len(cols)
-    steps: list[tuple[int, int, float, list[float]]] = []
-    prev: dict[int, np.ndarray] = {}
-    z = [f"_zc{j}" for j in range(p)]
+    z = [f"_z{j}" for j in range(p)]
+    start = {z[j]: F.coalesce(F.col(cols[j]) - F.lit(means[j]), F.lit(0.0)) for j in range(p)}
+    state = df.select(*cols).withColumns(start)
+    done = _Progress()
     for rnd in range(1, rounds + 1):
-        delta = 0.0
+        done.delta = 0.0
         for j in range(p):
             others = [k for k in range(p) if k != j]
-            cur = IterativeFill(cols, means, steps).transform(df.filter(F.col(cols[j]).isNotNull()), suffix="_zc")
-            cur = cur.withColumns({z[k]: F.col(f"{cols[k]}_zc") - F.lit(means[k]) for k in range(p)})
+            now = _replay(state.filter(F.col(cols[j]).isNotNull()), cols, z, [s for s in done.steps if s[0] == rnd])
             xs = [F.lit(1.0)] + [F.col(z[k]) for k in others]
-            yj = F.col(z[j])
-            aggs = [F.sum(xs[a] * xs[b]).alias(f"g{a}_{b}") for a in range(p) for b in range(a, p)]
-            aggs += [F.sum(xs[a] * yj).alias(f"h{a}") for a in range(p)]
-            row = cur.agg(*aggs).first()
-            if row["g0_0"] is None:
-                continue
-            G = np.zeros((p, p))
+            sums = [F.sum(x).alias(f"t{a}") for a, x in enumerate(xs)] + [F.sum(xs[a] * xs[b]).alias(f"g{a}_{b}") for a in range(1, p) for b in range(a, p)]
+            sums += [F.sum(x * F.col(z[j])).alias(f"h{a}") for a, x in enumerate(xs)]
+            row = now.agg(*sums).first()
+            G, h = np.zeros((p, p)), np.array([row[f"h{a}"] for a in range(p)], dtype=float)
             for a in range(p):
-                for b in range(a, p):
-                    G[a, b] = G[b, a] = row[f"g{a}_{b}"]
-            h = np.array([row[f"h{a}"] for a in range(p)])
-            if ridge:
-                G[1:, 1:] += ridge * np.eye(p - 1)
-            coef = np.linalg.lstsq(G, h, rcond=None)[0]
-            beta = np.zeros(p)
-            beta[others] = coef[1:]
-            vec = np.concatenate([[coef[0]], beta])
-            delta = max(delta, float(np.max(np.abs(vec - prev[j])))) if j in prev else float("inf")
-            prev[j] = vec
-            steps.append((rnd, j, float(coef[0]), [float(x) for x in beta]))
-        if tol is not None and delta < tol:
+                G[0, a] = G[a, 0] = row[f"t{a}"]
+                for b in range(max(a, 1), p):
+                    if a:
+                        G[a, b] = G[b, a] = row[f"g{a}_{b}"]
+            alpha, beta = _solve_step(G, h, ridge, others, p)
+            done.add(rnd, j, alpha, beta)
+        if tol is not None and done.delta < tol:
             break
-    return IterativeFill(list(cols), means, steps)
+        if rnd < rounds:
+            state = materialize(_replay(state, cols, z, [s for s in done.steps if s[0] == rnd]), "iterative_round")
+    return done.steps
 
 
 def hide_cells(

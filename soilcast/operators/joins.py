@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Broadcast only up to this many rows (tens of MB for a few double columns); measured on the
-# materialised table, never estimated.
-MAX_BROADCAST_ROWS = 500_000
-
 
-def join_fitted(df: DataFrame, fitted: DataFrame, on, how: str = "left", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join a fitted table whose row count is data dependent.
+def join_fitted(df: DataFrame, fitted: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join a fitted table whose row count is data dependent; NULL keys meet NULL keys.
 
-    ``fitted`` should be materialised (``soilcast.session.materialize``) so that counting it is cheap
-    and the join reads the same rows. It is broadcast only when the count is within ``max_rows``;
-    otherwise the join stays a shuffle join (sort-merge; AQE may still split skewed keys).
+    ``fitted`` should be written (``soilcast.session.materialize``), so that Spark knows its size in bytes and
+    chooses the join by it; no hint and no extra job.
     """
-    n = fitted.count()
-    side = F.broadcast(fitted) if n <= max_rows else fitted
-    return df.join(side, on, how)
+    keys = [on] if isinstance(on, str) else list(on)
+    right = fitted.select(*[F.col(k).alias(f"_on_{k}") for k in keys], *[c for c in fitted.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    return df.join(right, same, how).drop(*[f"_on_{k}" for k in keys])

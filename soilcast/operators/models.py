@@ -3,9 +3,8 @@
 Two kinds, one interface (``fit(train, fold, k)`` → a fitted object with ``oof`` and ``predict``):
 
 * sufficient-statistic bases (``LinearBase``, ``GroupMeanBase``): all k out-of-fold fits and the
-  fit on all training rows come from ONE grouped aggregation. Each row is fanned out to the fits it
-  belongs to (every other fold, plus "all") before the partial aggregate, so the shuffle carries
-  only (k+1) × statistics rows whatever the data size.
+  fit on all training rows come from ONE aggregation by fold; the statistics of a fit are those of its
+  folds, merged.
 * ``MLBase``: any ``pyspark.ml`` regressor (e.g. the boosted-tree configs below); k+1 distributed fits.
 """
 
@@ -43,6 +42,14 @@ def _solve(n, mx, my, cxx, cxy):
     return float(my - float(np.dot(beta, mx))), [float(b) for b in beta]
 
 
+def _merged(parts):
+    """Moments of the union of disjoint sets of rows."""
+    n = sum(p[0] for p in parts)
+    mean = sum(p[0] * p[1] for p in parts) / n
+    cov = sum(p[0] * (p[2] + np.outer(p[1] - mean, p[1] - mean)) for p in parts) / n
+    return n, mean, cov
+
+
 @dataclass
 class LinearFit:
     base: "LinearBase"
@@ -88,21 +95,37 @@ class LinearBase:
         out += [F.covar_pop(x, y).alias(f"cy{i}") for i, x in enumerate(xs)]
         return out
 
-    def _params(self, r):
+    def _moments(self, r):
+        """(n, means, population covariances) of the features and the target, the target last."""
         m = len(self.features)
-        cxx = np.zeros((m, m))
+        mean = np.array([*(r[f"mx{i}"] for i in range(m)), r["my"]], dtype=float)
+        cov = np.zeros((m + 1, m + 1))
         for i in range(m):
             for j in range(i, m):
-                cxx[i, j] = cxx[j, i] = r[f"c{i}_{j}"]
-        return _solve(r["n"], np.array([r[f"mx{i}"] for i in range(m)]), r["my"], cxx, [r[f"cy{i}"] for i in range(m)])
+                cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
+            cov[i, m] = cov[m, i] = r[f"cy{i}"]
+        return float(r["n"]), mean, cov
+
+    def _from_moments(self, n, mean, cov):
+        return _solve(n, mean[:-1], mean[-1], cov[:-1, :-1], cov[:-1, -1])
+
+    def _params(self, r):
+        return self._from_moments(*self._moments(r))
 
     def _usable(self, df: DataFrame) -> DataFrame:
         return df.na.drop(subset=[*self.features, self.y])
 
     def fit(self, train: DataFrame, fold: str, k: int) -> LinearFit:
-        fan = self._usable(train).select(F.explode(fold_targets(fold, k)).alias("_t"), *self.features, self.y)
-        rows = fan.groupBy("_t").agg(*self._aggs()).collect()  # ≤ k+1 rows
-        return LinearFit(self, fold, {r["_t"]: self._params(r) for r in rows})
+        """All fits from one aggregation by fold: the moments of a fit are those of its folds, merged."""
+        own = F.when(F.col(fold).between(0, k - 1), F.col(fold)).otherwise(F.lit(k)).alias("_f")
+        rows = self._usable(train).groupBy(own).agg(*self._aggs()).collect()  # ≤ k+1 rows
+        parts = {r["_f"]: self._moments(r) for r in rows}
+        fits = {}
+        for target in [*range(k), ALL]:
+            merged = [m for f, m in parts.items() if f != target]
+            if merged:
+                fits[target] = self._from_moments(*_merged(merged))
+        return LinearFit(self, fold, fits)
 
     def fit_groups(self, train: DataFrame, group: str) -> LinearFit:
         """One fit per value of a bounded grouping column (e.g. season), in one aggregation."""
@@ -146,11 +169,12 @@ class GroupMeanBase:
         return f"p_{self.name}"
 
     def fit(self, train: DataFrame, fold: str, k: int) -> GroupMeanFit:
-        fan = train.filter(F.col(self.y).isNotNull()).select(
-            F.explode(fold_targets(fold, k)).alias("_t"), *self.by, self.y
+        own = train.filter(F.col(self.y).isNotNull()).groupBy(fold, *self.by).agg(
+            F.sum(self.y).alias("_s"), F.count(F.lit(1)).alias("_c")
         )
-        sums = fan.groupBy("_t", *self.by).agg(F.sum(self.y).alias("_s"), F.count(F.lit(1)).alias("_c"))
-        sums = materialize(sums, "group_sums")  # one pass over the rows; the fallback is derived from it
+        # One pass over the rows; a fit's sums are those of its folds, added up from the small table.
+        fan = own.select(F.explode(fold_targets(fold, k)).alias("_t"), *self.by, "_s", "_c")
+        sums = materialize(fan.groupBy("_t", *self.by).agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c")), "group_sums")
         means = sums.select("_t", *self.by, (F.col("_s") / F.col("_c")).alias("_gm"))
         overall = materialize(sums.groupBy("_t").agg((F.sum("_s") / F.sum("_c")).alias("_om")), "overall_means")
         return GroupMeanFit(self, fold, means, overall)
@@ -169,12 +193,9 @@ class MLFit:
     def _apply(self, model: PipelineModel, df: DataFrame) -> DataFrame:
         return model.transform(df).drop(self.base.vec)
 
-    def oof(self, df: DataFrame) -> DataFrame:
-        parts = [self._apply(m, df.filter(F.col(self.fold) == f)) for f, m in self.models.items() if f != ALL]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    def fold_model(self, held: int, df: DataFrame) -> DataFrame:
+        """Rows of the fold ``held`` with the prediction of the fit that excluded it."""
+        return self._apply(self.models[held], df)
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self._apply(self.models[ALL], df)
@@ -200,12 +221,12 @@ class MLBase:
         return self.pipeline().fit(train)
 
     def fit(self, train: DataFrame, fold: str, k: int, parallelism: int | None = None) -> MLFit:
-        """k out-of-fold fits and the fit on all rows, submitted concurrently from driver threads.
+        """k out-of-fold fits and the fit on all rows.
 
-        The fits are independent; each is a chain of small distributed jobs (one per tree level),
-        so running them side by side keeps the executors busy, as ``CrossValidator(parallelism)`` does.
+        The fits are independent chains of small distributed jobs; ``soilcast.fit.parallelism`` (default 1)
+        tells how many run side by side, each with its own cached copy of the training rows.
         """
-        subsets = {f: train.filter(F.col(fold) != f) for f in range(k)}
+        subsets = {f: train.filter(~F.col(fold).eqNullSafe(F.lit(f))) for f in range(k)}
         subsets[ALL] = train
         n = parallelism or fit_parallelism(train.sparkSession, len(subsets))
         with ThreadPoolExecutor(max_workers=n) as pool:

@@ -3,12 +3,14 @@
 ``out_of_fold``   base predictions for training rows from fits that did not see their fold
 ``fit_stack``     meta-learner over the out-of-fold predictions
 ``predict_stack`` bases refit on all training rows, then the meta-learner, on new rows
-``fit_per_season``one model per season; predictions unioned
+``fit_seasons``   one model per season, from a base or a whole ``Stack``; ``fit_per_season`` scores with it
 """
 
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark import inheritable_thread_target
@@ -18,23 +20,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soilcast.functions.season import SEASONS
-from soilcast.session import fit_cap, fit_parallelism
+from soilcast.session import fit_parallelism
 
 
 def out_of_fold(train: DataFrame, fold: str, bases: list, k: int) -> tuple[DataFrame, list]:
     """(training rows + one ``p_<base>`` column per base, fitted bases).
 
-    Every training row appears exactly once, predicted by the fit that excluded its fold.
+    Every training row appears exactly once, predicted by the fit that excluded its fold. A row whose fold is
+    NULL (or none of the k) takes part in every fit and has NULL predictions. Bases are fitted one after
+    another; a base's own fits share the limit of ``fit_parallelism``. The rows are read once per fold,
+    however many bases there are.
     """
-    # With a cap set, bases run one after another and each base's own fits share the cap, so the
-    # total number of concurrent fits stays within it.
-    n = 1 if fit_cap(train.sparkSession) else len(bases)
-    with ThreadPoolExecutor(max_workers=max(1, n)) as pool:
-        fitted = list(pool.map(inheritable_thread_target(train.sparkSession)(lambda b: b.fit(train, fold, k)), bases))
+    fitted = [b.fit(train, fold, k) for b in bases]
     out = train
     for f in fitted:
-        out = f.oof(out)
-    return out, fitted
+        if not hasattr(f, "fold_model"):
+            out = f.oof(out)
+    by_fold = [f for f in fitted if hasattr(f, "fold_model")]
+    if not by_fold:
+        return out, fitted
+    cols = out.columns + [f.base.col for f in by_fold]
+    parts = []
+    for h in range(k):
+        part = out.filter(F.col(fold) == h)
+        for f in by_fold:
+            part = f.fold_model(h, part)
+        parts.append(part.select(*cols))
+    rest = out.filter(~F.coalesce(F.col(fold).between(0, k - 1), F.lit(False)))
+    parts.append(rest.withColumns({f.base.col: F.lit(None).cast("double") for f in by_fold}).select(*cols))
+    return reduce(DataFrame.unionByName, parts), fitted
 
 
 class LeastSquaresModel:
@@ -106,32 +120,62 @@ def predict_stack(df: DataFrame, fitted: list, meta_model) -> DataFrame:
     return out.drop("_meta_x") if "_meta_x" in out.columns else out
 
 
+class Stack:
+    """A whole stack as one fitter: out-of-fold bases, meta-learner, prediction in ``col``."""
+
+    def __init__(self, bases: list, fold: str, k: int, y: str = "y", meta=None, col: str = "prediction"):
+        self.bases, self.fold, self.k, self.y, self.meta, self.col = bases, fold, k, y, meta, col
+
+    def fit_one(self, train: DataFrame) -> "StackModel":
+        oof, fitted = out_of_fold(train, self.fold, self.bases, self.k)
+        return StackModel(fitted, fit_stack(oof, [b.col for b in self.bases], self.y, self.meta, self.col))
+
+
+@dataclass
+class StackModel:
+    fitted: list
+    meta: object
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return predict_stack(df, self.fitted, self.meta)
+
+
+@dataclass
+class SeasonFit:
+    """One fitted model per season; ``transform`` scores each row by its season's model in column ``col``. Rows of a
+    season without a model, or of none, have a NULL prediction."""
+
+    models: dict
+    season: str
+    col: str
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        keep = [*df.columns, self.col]
+        empty = F.lit(None).cast("double")
+        parts = [m.transform(df.filter(F.col(self.season) == s)).select(*keep) for s, m in self.models.items()]
+        known = F.coalesce(F.col(self.season).isin(*self.models), F.lit(False)) if self.models else F.lit(False)
+        parts.append(df.filter(~known).withColumn(self.col, empty).select(*keep))
+        return reduce(DataFrame.unionByName, parts)
+
+
+def fit_seasons(train: DataFrame, fitter, season: str = "season", levels=SEASONS) -> SeasonFit:
+    """One model per season of ``levels`` that has training rows, from any fitter with ``fit_one`` (an ``MLBase``, a
+    ``Stack``). ``soilcast.fit.parallelism`` of them run side by side."""
+    counts = {r[season]: r["n"] for r in train.filter(F.col(season).isin(*levels)).groupBy(season).agg(F.count(F.lit(1)).alias("n")).collect()}
+    fit_levels = [lv for lv in levels if counts.get(lv, 0) > 0]
+    with ThreadPoolExecutor(max_workers=fit_parallelism(train.sparkSession, max(1, len(fit_levels)))) as pool:
+        fit_one = inheritable_thread_target(train.sparkSession)(lambda lv: fitter.fit_one(train.filter(F.col(season) == lv)))
+        return SeasonFit(dict(zip(fit_levels, pool.map(fit_one, fit_levels))), season, fitter.col)
+
+
 def fit_per_season(
     train: DataFrame, test: DataFrame, fitter, season: str = "season", levels=SEASONS
 ) -> DataFrame:
     """Test rows scored by the model of their own season, in column ``fitter.col``.
 
-    Sufficient-statistic fitters fit every season in one grouped aggregation. Other fitters run one
-    distributed fit per season level, submitted concurrently (a bounded set: the levels of the
-    mapping); a season without training rows gets no model and its test rows a NULL prediction.
+    Sufficient-statistic fitters fit every season in one grouped aggregation, other fitters run one distributed
+    fit per season level (``fit_seasons``, which also gives the fitted models).
     """
     if hasattr(fitter, "fit_groups"):
         return fitter.fit_groups(train, season).oof(test)
-    counts = {r[season]: r["n"] for r in train.groupBy(season).agg(F.count(F.lit(1)).alias("n")).collect()}
-    fit_levels = [lv for lv in levels if counts.get(lv, 0) > 0]
-    with ThreadPoolExecutor(max_workers=fit_parallelism(train.sparkSession, len(fit_levels))) as pool:
-        fit_one = inheritable_thread_target(train.sparkSession)(lambda lv: fitter.fit_one(train.filter(F.col(season) == lv)))
-        models = dict(zip(fit_levels, pool.map(fit_one, fit_levels)))
-    parts = []
-    for lv in levels:
-        rows = test.filter(F.col(season) == lv)
-        if lv in models:
-            parts.append(models[lv].transform(rows).drop(fitter.vec))
-        else:
-            parts.append(rows.withColumn(fitter.col, F.lit(None).cast("double")))
-    other = test.filter(~F.col(season).isin(*levels) | F.col(season).isNull())
-    parts.append(other.withColumn(fitter.col, F.lit(None).cast("double")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return fit_seasons(train, fitter, season, levels).transform(test)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from soilcast.operators.features import assign_fold, with_split
-from soilcast.operators.impute import fit_mean
-from soilcast.operators.models import GroupMeanBase, LinearBase
+from soilcast.operators.features import assign_fold, encode_season, with_split
+from soilcast.operators.impute import complete_cases, fit_iterative, fit_mean, keep_missing
+from soilcast.operators.models import GroupMeanBase, LinearBase, boosted_base
 from soilcast.operators.scoring import leaderboard, on_common_rows, regression_metrics, to_long
 from soilcast.operators.stack import fit_stack, out_of_fold, predict_stack
 from soilcast.session import fit_parallelism, materialize, shared_dir
@@ -79,14 +80,12 @@ def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common
     (those without a gap); the leaderboard carries ``n`` so the difference stays visible, and
     ``common_rows`` scores every treatment on the test rows all of them predict.
     """
-    from soilcast.operators.impute import complete_cases, fit_iterative
-
     obs = prepared(spark, sf_dir)
     train, test = train_test(obs)
     treated = {
         "mean": (fit_mean(train, GRID_COLS),),
         "mean_by_season": (fit_mean(train, GRID_COLS, by=["season"]),),
-        "iterative": (fit_iterative(train, GRID_COLS, rounds=GRID_ROUNDS),),
+        "iterative": (fit_iterative(train, GRID_COLS, rounds=GRID_ROUNDS, method="patterns"),),
         "complete_cases": None,
     }
     def run(item):
@@ -100,8 +99,8 @@ def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common
         meta = fit_stack(oof, [b.col for b in bases], "y")
         return to_long(predict_stack(tef, fitted, meta), KEYS, LINEAR_MODELS, scen)
 
-    # Treatments are independent: their small fitting jobs are submitted concurrently.
-    with ThreadPoolExecutor(max_workers=len(treated)) as pool:
+    # Treatments are independent; one limit holds for the whole flow.
+    with ThreadPoolExecutor(max_workers=fit_parallelism(spark, len(treated))) as pool:
         longs = list(pool.map(inheritable_thread_target(spark)(run), treated.items()))
     long = longs[0]
     for x in longs[1:]:
@@ -111,68 +110,71 @@ def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common
     return leaderboard(regression_metrics(long), k=k)
 
 
-def tree_stack(spark: SparkSession, sf_dir: str, configs=("A", "B", "C"), features=None) -> DataFrame:
-    """The stacked hybrid of boosted trees: configs A, B, C as bases, least-squares meta.
+SEASON_FLAGS = ["is_winter", "is_spring", "is_summer", "is_autumn"]
+TREATMENTS = ("mean", "keep_missing", "iterative", "complete_cases")
 
-    Mean-filled scenario with season indicators. Returns the long predictions of every base and
-    the stack on the test rows.
-    """
-    from soilcast.operators.features import encode_season
-    from soilcast.operators.models import boosted_base
 
-    features = features or ["a", "b", "c", "is_winter", "is_spring", "is_summer", "is_autumn"]
-    obs = prepared(spark, sf_dir)
-    train, test = train_test(obs)
-    fill = fit_mean(train, FEATURES)
-    trf = materialize(encode_season(fill.transform(train)), "tree_train")
-    tef = encode_season(fill.transform(test))
-    bases = [boosted_base(c, features) for c in configs]
+def treated(train: DataFrame, test: DataFrame, treatment: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(training rows, test rows, features) under a missing-data treatment fitted on the training rows, with season
+    indicators. ``keep_missing`` fills nothing (indicator and placeholder, for trees); ``complete_cases`` drops rows with a gap."""
+    feats = list(FEATURES)
+    if treatment == "mean":
+        fit = fit_mean(train, FEATURES).transform
+    elif treatment == "iterative":
+        fit = fit_iterative(train, FEATURES, rounds=GRID_ROUNDS, method="patterns").transform
+    elif treatment == "keep_missing":
+        feats += [f"{c}_missing" for c in FEATURES]
+        fit = lambda df: keep_missing(df, FEATURES)
+    elif treatment == "complete_cases":
+        fit = lambda df: complete_cases(df, FEATURES)
+    else:
+        raise ValueError(f"unknown treatment {treatment!r}")
+    return encode_season(fit(train)), encode_season(fit(test)), feats + SEASON_FLAGS
+
+
+def tree_stack(
+    spark: SparkSession, sf_dir: str, configs=("A", "B", "C"), treatment: str = "mean", obs: DataFrame | None = None, meta=None, **overrides
+) -> DataFrame:
+    """The stacked hybrid of boosted trees under one treatment: ``configs`` as bases, least-squares meta (or ``meta``).
+
+    Returns the long predictions of every base and the stack on the test rows, scenario = treatment. ``overrides``
+    replace settings of the tree configs.
+    """
+    obs = obs if obs is not None else prepared(spark, sf_dir)
+    trf, tef, features = treated(*train_test(obs), treatment)
+    trf = materialize(trf, "tree_train")
+    bases = [boosted_base(c, features, **overrides) for c in configs]
     oof, fitted = out_of_fold(trf, "fold", bases, FOLDS)
     oof = materialize(oof, "tree_oof")
-    meta = fit_stack(oof, [b.col for b in bases], "y")
+    meta = fit_stack(oof, [b.col for b in bases], "y", meta)
     pred = predict_stack(tef, fitted, meta)
     models = {b.name: b.col for b in bases}
     models["stack"] = "prediction"
-    return to_long(pred, KEYS, models, "mean")
+    return to_long(pred, KEYS, models, treatment)
+
+
+def hybrid_grid(spark: SparkSession, sf_dir: str, configs=("A", "B", "C"), **overrides) -> DataFrame:
+    """Every tree config and their stacked hybrid under every treatment, in one table of long predictions.
+    Treatments run one after another, over one prepared table."""
+    obs = prepared(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [tree_stack(spark, sf_dir, configs, t, obs, **overrides) for t in TREATMENTS])
 
 
 def tree_grid(spark: SparkSession, sf_dir: str, configs=("A",)) -> DataFrame:
     """Boosted trees under every treatment: mean fill, keep-missing (indicator + placeholder; trees
     only), iterative fill and complete cases. Long test predictions, scenario = treatment.
 
-    All fits are independent and submitted concurrently.
+    The fits are independent; one limit (``fit_parallelism``) holds for all.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    from pyspark import inheritable_thread_target
-
-    from soilcast.operators.features import encode_season
-    from soilcast.operators.impute import complete_cases, fit_iterative, keep_missing
-    from soilcast.operators.models import boosted_base
-
-    seasons = ["is_winter", "is_spring", "is_summer", "is_autumn"]
-    obs = prepared(spark, sf_dir)
-    train, test = train_test(obs)
-    mean_fill = fit_mean(train, FEATURES)
-    iter_fill = fit_iterative(train, FEATURES, rounds=GRID_ROUNDS)
-    scen = {
-        "mean": (mean_fill.transform(train), mean_fill.transform(test), FEATURES),
-        "keep_missing": (
-            keep_missing(train, FEATURES),
-            keep_missing(test, FEATURES),
-            FEATURES + [f"{c}_missing" for c in FEATURES],
-        ),
-        "iterative": (iter_fill.transform(train), iter_fill.transform(test), FEATURES),
-        "complete_cases": (complete_cases(train, FEATURES), complete_cases(test, FEATURES), FEATURES),
-    }
+    train, test = train_test(prepared(spark, sf_dir))
+    scen = {t: treated(train, test, t) for t in TREATMENTS}
     jobs = [(s, c) for s in scen for c in configs]
 
     def run(job):
         s, c = job
         trf, tef, feats = scen[s]
-        base = boosted_base(c, feats + seasons)
-        model = base.fit_one(encode_season(trf))
-        pred = model.transform(encode_season(tef)).drop(base.vec)
+        base = boosted_base(c, feats)
+        pred = base.fit_one(trf).transform(tef).drop(base.vec)
         return to_long(pred, KEYS, {base.name: base.col}, s)
 
     with ThreadPoolExecutor(max_workers=fit_parallelism(spark, len(jobs))) as pool:

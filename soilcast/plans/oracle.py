@@ -74,7 +74,7 @@ def linear_stack_sql(pre: str, trf: str, tef: str, scenario: str) -> str:
 
 MET = """
 met AS (
-  SELECT scenario, model, season, count(*) AS n,
+  SELECT scenario, model, season, CASE WHEN grouping(season) = 1 THEN 'all' ELSE 'season' END AS level, count(*) AS n,
          sqrt(avg((prediction - y) * (prediction - y))) AS rmse,
          avg(abs(prediction - y)) AS mae,
          1e0 - sum((prediction - y) * (prediction - y)) / (count(*) * var_pop(y)) AS r2
@@ -123,10 +123,10 @@ def grid_sql(common_rows: bool = False) -> str:
     else:
         parts.append("long AS (" + " UNION ALL ".join(longs) + ")")
     parts.append(MET.strip())
-    return with_obs(",\n".join(parts) + f" SELECT {{cols}}, rank() OVER (PARTITION BY season ORDER BY round(rmse, 6)) AS rk FROM met")
+    return with_obs(",\n".join(parts) + f" SELECT {{cols}}, rank() OVER (PARTITION BY level, season ORDER BY round(rmse, 6)) AS rk FROM met")
 
 
-MET_COLS = f"scenario, model, season, n, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('r2')} AS r2"
+MET_COLS = f"scenario, model, season, level, n, {r('rmse')} AS rmse, {r('mae')} AS mae, {r('r2')} AS r2"
 
 
 def _iterative(cols: tuple[str, str] = ("a", "b"), rounds: int = 3) -> str:
@@ -167,7 +167,13 @@ def _mean_fills(cols=("a", "b", "c")) -> str:
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     obs_cols = "k1, k2, ts, season, " + ", ".join(r(c) + f" AS {c}" for c in ["a0", "b0", "c0", "a", "b", "c", "y"])
-    q["load_observations"] = with_obs(f"x AS (SELECT 1) SELECT {obs_cols} FROM obs")
+    q["observations"] = with_obs(f"x AS (SELECT 1) SELECT {obs_cols} FROM obs")
+    q["load_observations"] = (
+        "SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity, l_discount, l_tax, "
+        "CASE WHEN month(l_shipdate) IN (12, 1, 2) THEN 'winter' WHEN month(l_shipdate) IN (3, 4, 5) THEN 'spring' "
+        "WHEN month(l_shipdate) IN (6, 7, 8) THEN 'summer' WHEN month(l_shipdate) IN (9, 10, 11) THEN 'autumn' END AS season "
+        "FROM lineitem"
+    )
     q["assign_season"] = (
         "SELECT o_orderkey, o_orderdate, CASE WHEN month(o_orderdate) IN (12, 1, 2) THEN 'winter' "
         "WHEN month(o_orderdate) IN (3, 4, 5) THEN 'spring' WHEN month(o_orderdate) IN (6, 7, 8) THEN 'summer' "
@@ -279,6 +285,11 @@ def oracle_sql() -> dict[str, str]:
     )
     q["imputation_error"] = with_obs(body + " " + " UNION ALL ".join(err))
     # Features and splits
+    feats = [f"coalesce({c}, m_{c})" for c in "abc"]
+    feats += [f"CASE WHEN season = '{s}' THEN 1e0 ELSE 0e0 END" for s in ["winter", "spring", "summer", "autumn"]]
+    q["assemble_features"] = with_obs(
+        _mean_fills() + " SELECT k1, k2, " + ", ".join(f"round({x}, 6) AS x{i}" for i, x in enumerate(feats)) + " FROM obs, gm"
+    )
     q["encode_season"] = with_obs(
         "x AS (SELECT 1) SELECT k1, k2, season, "
         + ", ".join(f"CASE WHEN season = '{s}' THEN 1e0 ELSE 0e0 END AS is_{s}" for s in ["winter", "spring", "summer", "autumn"])
@@ -300,7 +311,7 @@ def oracle_sql() -> dict[str, str]:
     q["write_results"] = q["predict_stack"]
     q["regression_metrics"] = with_obs(LINEAR_STACK + f" SELECT {MET_COLS} FROM met")
     q["leaderboard"] = with_obs(
-        LINEAR_STACK + f" SELECT {MET_COLS}, rank() OVER (PARTITION BY season ORDER BY round(rmse, 6)) AS rk FROM met"
+        LINEAR_STACK + f" SELECT {MET_COLS}, rank() OVER (PARTITION BY level, season ORDER BY round(rmse, 6)) AS rk FROM met"
     )
     q["scenario_grid"] = grid_sql().replace("{cols}", MET_COLS)
     q["scenario_grid_common"] = grid_sql(common_rows=True).replace("{cols}", MET_COLS)

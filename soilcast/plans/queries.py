@@ -21,7 +21,7 @@ from soilcast.operators.features import (
     assign_season,
     encode_season,
     select_season,
-    with_split,
+    split_train_test,
 )
 from soilcast.operators.impute import (
     complete_cases,
@@ -37,7 +37,7 @@ from soilcast.operators.stack import fit_per_season, stack_weights
 from soilcast.plans import flows
 from soilcast.plans.flows import TRUTH, prepared, train_test
 from soilcast.session import shared_dir
-from soilcast.sources.observations import read_checked
+from soilcast.sources.observations import LINEITEM_SCHEMA, load_observations, read_checked
 from soilcast.sources.sinks import write_results
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,12 @@ def _obs(spark, sf):
 
 
 def q_load_observations(spark, sf):
+    """The operator itself on the line items: keys, time, target and features, NaN to NULL, season."""
+    keys, features = ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"]
+    return load_observations(spark, f"{sf}/lineitem.parquet", LINEITEM_SCHEMA, keys, "l_shipdate", "l_quantity", features)
+
+
+def q_observations(spark, sf):
     return rounded(_obs(spark, sf).drop("split", "fold"))
 
 
@@ -142,14 +148,14 @@ def q_complete_cases(spark, sf):
 def q_impute_iterative(spark, sf):
     obs = prepared(spark, sf)
     train, _ = train_test(obs)
-    fill = fit_iterative(train, ["a", "b"], rounds=3)
+    fill = fit_iterative(train, ["a", "b"], rounds=3, method="patterns")
     return rounded(fill.transform(obs).select("k1", "k2", "a", "b"), 4)
 
 
 def q_iterative_coefficients(spark, sf):
     obs = prepared(spark, sf)
     train, _ = train_test(obs)
-    fill = fit_iterative(train, ["a", "b"], rounds=3)
+    fill = fit_iterative(train, ["a", "b"], rounds=3, method="patterns")
     schema = "round int, column string, term string, value double"
     return rounded(spark.createDataFrame(fill.coefficients(), schema), 4)
 
@@ -161,7 +167,7 @@ def q_imputation_error(spark, sf):
     fills = {
         "mean": fit_mean(train, cols),
         "mean_by_season": fit_mean(train, cols, by=["season"]),
-        "iterative": fit_iterative(train, cols, rounds=3),
+        "iterative": fit_iterative(train, cols, rounds=3, method="patterns"),
     }
     return rounded(imputation_error(obs, cols, TRUTH, fills), 4)
 
@@ -174,7 +180,7 @@ def q_imputation_error_all(spark, sf):
     fills = {
         "mean": fit_mean(train, cols),
         "mean_by_season": fit_mean(train, cols, by=["season"]),
-        "iterative": fit_iterative(train, cols, rounds=5),
+        "iterative": fit_iterative(train, cols, rounds=5, method="patterns"),
     }
     return rounded(imputation_error(obs, cols, TRUTH, fills), 4)
 
@@ -192,12 +198,14 @@ def q_assemble_features(spark, sf):
     train, _ = train_test(obs)
     filled = encode_season(fit_mean(train, ["a", "b", "c"]).transform(obs))
     cols = ["a", "b", "c", "is_winter", "is_spring", "is_summer", "is_autumn"]
-    return assemble_features(filled, cols, "x").select("k1", "k2", vector_to_array("x").alias("x"))
+    x = vector_to_array("x")
+    return rounded(assemble_features(filled, cols, "x").select("k1", "k2", *[x[i].alias(f"x{i}") for i in range(len(cols))]))
 
 
 def q_split_train_test(spark, sf):
-    obs = with_split(_obs(spark, sf).drop("split"), "k1", flows.SPLIT_MOD, flows.SPLIT_HOLD)
-    return obs.select("k1", "k2", "split")
+    train, test = split_train_test(_obs(spark, sf).drop("split"), "k1", flows.SPLIT_MOD, flows.SPLIT_HOLD)
+    both = train.withColumn("split", F.lit("train")).unionByName(test.withColumn("split", F.lit("test")))
+    return both.select("k1", "k2", "split")
 
 
 def q_assign_fold(spark, sf):
@@ -296,6 +304,12 @@ def q_tree_stack(spark, sf):
     return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
 
 
+def q_hybrid_grid(spark, sf):
+    """Tree configs and their stacked hybrid under every treatment, ranked (few boosting rounds: 48 fits)."""
+    lb = leaderboard(regression_metrics(flows.hybrid_grid(spark, sf, maxIter=3)))
+    return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
+
+
 def q_tree_grid(spark, sf):
     lb = leaderboard(regression_metrics(flows.tree_grid(spark, sf)))
     return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
@@ -313,6 +327,7 @@ def q_temperature_gap(spark, sf):
 def queries() -> dict[str, Query]:
     return {
         "load_observations": q_load_observations,
+        "observations": q_observations,
         "write_results": q_write_results,
         "assign_season": q_assign_season,
         "select_season": q_select_season,
@@ -353,4 +368,5 @@ def queries() -> dict[str, Query]:
         "best_models": q_best_models,
         "tree_stack": q_tree_stack,
         "tree_grid": q_tree_grid,
+        "hybrid_grid": q_hybrid_grid,
     }

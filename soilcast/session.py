@@ -66,16 +66,14 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str, how: str | None = None) -> DataFrame:
     """Reuse a derived table across the jobs of a flow.
 
-    ``how`` (default: session setting ``soilcast.materialize``, else ``checkpoint``):
-    * ``checkpoint``: reliable checkpoint into the shared folder. The plan runs with adaptive
-      execution, so the stored partitions follow the data size (a cached plan keeps the raw shuffle
-      partition count: 200 partitions for a few thousand rows, or far too few at 100 TB). Lineage is
-      cut, and an executor loss re-runs no upstream shuffle;
-    * ``table``: the same through a parquet table in the shared folder (column pruning for later reads);
+    ``how`` (default: session setting ``soilcast.materialize``, else ``table``):
+    * ``table``: a parquet table in the shared folder. Later reads prune columns and push filters down, joins
+      know its size in bytes, lineage is cut, and an executor loss re-runs no upstream shuffle;
+    * ``checkpoint``: reliable checkpoint into the shared folder (whole rows, no statistics);
     * ``cache``: persist in memory and on local disk; a lost block is recomputed from lineage.
     """
     spark = df.sparkSession
-    how = how or spark.conf.get("soilcast.materialize", "checkpoint")
+    how = how or spark.conf.get("soilcast.materialize", "table")
     if how == "checkpoint":
         shared_dir(spark)
         return df.checkpoint(eager=True)
@@ -89,16 +87,9 @@ def materialize(df: DataFrame, name: str, how: str | None = None) -> DataFrame:
 
 
 def fit_parallelism(spark: SparkSession, wanted: int) -> int:
-    """How many independent model fits to run at once: ``soilcast.fit.parallelism`` caps ``wanted``.
+    """How many independent model fits to run at once: ``soilcast.fit.parallelism`` (default 1), ``wanted`` at most.
 
-    Each running tree fit caches its own binned copy of its training rows, so on large data a
-    cluster sets this low (1 = one fit at a time) to bound executor memory.
+    Each running tree fit caches its own binned copy of its training rows, so more than one at a time is for
+    data of which several copies fit the executors.
     """
-    cap = fit_cap(spark)
-    return max(1, min(wanted, cap)) if cap else max(1, wanted)
-
-
-def fit_cap(spark: SparkSession) -> int | None:
-    """The ``soilcast.fit.parallelism`` setting, or None when unset."""
-    cap = spark.conf.get("soilcast.fit.parallelism", None)
-    return int(cap) if cap else None
+    return max(1, min(wanted, int(spark.conf.get("soilcast.fit.parallelism", "1"))))

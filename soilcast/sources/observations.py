@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from soilcast.functions.numeric import nan_to_null
 from soilcast.functions.season import season_of
 
 LINEITEM_SCHEMA = T.StructType(
@@ -59,13 +60,17 @@ def load_observations(
     target: str,
     features: list[str],
 ) -> DataFrame:
-    """Observation table with keys, time, target and features only; season is added from ``ts``."""
+    """Observation table with keys, time, target and features only; season is added from ``ts``.
+
+    NaN in the target or a feature becomes NULL, the one missing marker of all operators.
+    """
     wanted = [*keys, ts, target, *features]
     unknown = [c for c in wanted if c not in schema.fieldNames()]
     if unknown:
         raise ValueError(f"columns not in schema: {unknown}")
     df = read_checked(spark, path, T.StructType([schema[c] for c in dict.fromkeys(wanted)]))
-    return df.withColumn("season", season_of(ts))
+    floats = [c for c in dict.fromkeys([target, *features]) if isinstance(schema[c].dataType, (T.DoubleType, T.FloatType))]
+    return df.withColumns({c: nan_to_null(c) for c in floats}).withColumn("season", season_of(ts))
 
 
 def plant_observations(lineitem: DataFrame) -> DataFrame:

@@ -139,7 +139,7 @@ def test_hide_cells_scores_only_hidden_cells(spark):
     assert err[("iterative", "b")].mae < 0.5 * err[("mean", "b")].mae
 
 
-def test_iterative_fallback_by_passes_equals_statistics(spark):
+def test_iterative_methods_agree(spark):
     rng = np.random.default_rng(11)
     X = rng.normal(size=(500, 3)) @ np.array([[1.0, 0.7, 0.1], [0.0, 1.0, 0.5], [0.0, 0.0, 1.0]]) + 3
     X[rng.random(X.shape) < 0.25] = np.nan
@@ -147,7 +147,7 @@ def test_iterative_fallback_by_passes_equals_statistics(spark):
     df = spark.createDataFrame(rows, "id int, x0 double, x1 double, x2 double")
     cols = ["x0", "x1", "x2"]
     fast = fit_iterative(df, cols, rounds=3)
-    slow = fit_iterative(df, cols, rounds=3, max_patterns=1)
+    slow = fit_iterative(df, cols, rounds=3, method="passes")
     assert len(fast.steps) == len(slow.steps) == 9
     for (r1, j1, a1, b1), (r2, j2, a2, b2) in zip(fast.steps, slow.steps):
         assert (r1, j1) == (r2, j2)

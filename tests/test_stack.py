@@ -156,7 +156,9 @@ def test_materialize_modes_give_same_leaderboard(spark, how):
 def test_fit_parallelism_cap(spark):
     from soilcast.session import fit_parallelism
 
-    assert fit_parallelism(spark, 4) == 4
+    assert fit_parallelism(spark, 4) == 1  # one fit at a time unless the session asks for more
+    spark.conf.set("soilcast.fit.parallelism", "3")
+    assert fit_parallelism(spark, 4) == 3 and fit_parallelism(spark, 2) == 2
     spark.conf.set("soilcast.fit.parallelism", "1")
     try:
         assert fit_parallelism(spark, 4) == 1
