@@ -24,7 +24,7 @@ def _fails(x: str) -> str:
     n_words = f"(length({x}) - length(replace({x}, ' ', '')) + 1)"
     shouts = _count(x, "!")
     return f"""(regexp_matches({x}, '{_WORD}') AND (
-        NOT regexp_matches({x}, {_text(quality.LINE_END)})
+        NOT regexp_matches({x}, {_text(quality.PAUSE)})
         OR {_count(x, quality.SYMBOLS)} > 0.1::DOUBLE * length({x})
         OR ({shouts} > 2 AND {shouts} > 0.3::DOUBLE * {n_words})
         OR {_count(x, quality.SEPARATORS)} > 2

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, reserved, words
 
-#: A line ends as prose does with one of these, closing quotes or brackets apart.
-LINE_END = r"""[.!?:;,…。！？]["'”’»)\]]*[\x20\x09-\x0D]*\z"""
+#: Prose has one of these behind a word, closing quotes or brackets apart.
+PAUSE = r"""[.!?:;,…。！？]["'”’»)\]]*([\x20\x09-\x0D]|\z)"""
 #: Marks between menu entries.
 SEPARATORS = ("|", "»", "›", "•", "·", ">")
 #: Characters of markup and noise.
@@ -49,7 +49,7 @@ def _count(text: Column, chars) -> Column:
 def line_fails(line: Column, max_symbols: float = 0.1, max_separators: int = 2, max_shouts: float = 0.3) -> Column:
     """The line rules; true when one of them fails.
 
-    * punctuation: no sentence end on the line, more than ``max_symbols`` of its characters are
+    * punctuation: no pause or sentence end on the line, more than ``max_symbols`` of its characters are
       markup symbols, or more than ``max_shouts`` exclamation marks a word;
     * navigation: more than ``max_separators`` menu separators;
     * boilerplate: it holds one of the ``BOILERPLATE`` phrases.
@@ -63,7 +63,7 @@ def line_fails(line: Column, max_symbols: float = 0.1, max_separators: int = 2,
     for p in BOILERPLATE:
         phrase = phrase | F.contains(lowered, F.lit(p))
     punctuation = (
-        ~F.rlike(line, F.lit(LINE_END))
+        ~F.rlike(line, F.lit(PAUSE))
         | (_count(line, SYMBOLS) > max_symbols * F.length(line))
         | ((shouts > 2) & (shouts > max_shouts * n_words))
     )
