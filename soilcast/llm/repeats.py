@@ -34,9 +34,9 @@ GRAM = 50
 #: Different runs with one minimizer that are searched together at most.
 GROUP = 2000
 #: Bytes searched at a time.
-TEXT = 1 << 20
+TEXT = 1 << 19
 #: Bytes hashed at a time; longer texts are read in pieces.
-PIECE = 2 << 20
+PIECE = 1 << 19
 
 _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))  # odd, so they have inverses modulo 2**64
