@@ -62,10 +62,12 @@ def reserved(df: DataFrame, wanted: str) -> str:
 
 
 _SHIPPED: set[str] = set()
+#: Rows that a Python worker is given at a time, where the session does not say otherwise: whole texts are long rows.
+BATCH_ROWS = 1000
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers of this application the package, once."""
+    """Give the Python workers of this application the package, once, and batches of ``BATCH_ROWS`` rows."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -75,10 +77,32 @@ def ship(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     sc.addPyFile(str(bundle))
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     _SHIPPED.add(sc.applicationId)
 
 
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``df.mapInArrow`` with the package at hand in the workers."""
+    """``df.mapInArrow`` with the package at hand in the workers, which give back what memory they no longer use."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def lean(batches):
+        for k, b in enumerate(run(batches)):
+            yield b
+            if k % 64 == 63:
+                release_memory()
+        release_memory()
+
+    return df.mapInArrow(lean, schema)
+
+
+def release_memory() -> None:
+    """Return freed memory to the system: workers are kept for later stages, and allocators would hold it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)

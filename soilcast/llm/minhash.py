@@ -34,7 +34,7 @@ ROWS = 4
 SMALL = 16
 #: Nodes in a block of a larger bucket.
 BLOCK = 256
-_BATCH = 1 << 20
+_BATCH = 1 << 18
 
 
 def _batches(raws: list[bytes]) -> Iterator[tuple[int, int]]:
