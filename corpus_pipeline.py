@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` of every document of the mix."""
     path = vocabulary()
-    out = bpe.digests(bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path))
+    out = bpe.digests(bpe.encode(docs.select("doc_id", "text"), path, decoded_col="decoded"))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 

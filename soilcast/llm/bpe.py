@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, reserved, stored
 
-#: Pieces, and words, whose ids a worker keeps; the memory this takes is bounded by it.
-CACHED_PIECES = 500_000
+#: Pieces, and letter runs, whose ids a worker keeps; the memory this takes is bounded by them.
+CACHED_PIECES = 400_000
+CACHED_RUNS = 200_000
 #: Rows handed on at a time.
 SLICE = 1024
 #: Symbols above which an unsplit word is encoded by halves.
@@ -190,8 +191,8 @@ class Encoder:
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces, those that are letters with marks behind them by their words."""
-        if len(self.cores) > CACHED_PIECES:
-            self.cores = dict(islice(self.cores.items(), CACHED_PIECES // 2))
+        if len(self.cores) > CACHED_RUNS:
+            self.cores = dict(islice(self.cores.items(), CACHED_RUNS // 2))
         if len(self.tails) > CACHED_PIECES // 10:
             self.tails = {"": b""}
         cores, tails, found = self.cores, self.tails, {}
@@ -394,16 +395,26 @@ def _raw_lists(raws: list[bytes]) -> pa.Array:
     return _id_lists(np.frombuffer(b"".join(raws), "<u4"), np.cumsum([len(r) // 4 for r in raws], dtype=np.int64))
 
 
-def _encode_rows(df: DataFrame, text_col: str, path: str, leaf: int, out_col: str) -> DataFrame:
+def _decoded(tokenizer, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    starts = [0, *ends.tolist()]
+    return pa.array(
+        [tokenizer.decode(ids[s:e].tolist(), skip_special_tokens=False) for s, e in zip(starts, starts[1:], strict=False)], pa.string()
+    )
+
+
+def _encode_rows(df: DataFrame, text_col: str, path: str, leaf: int, out_col: str, decoded_col: str | None) -> DataFrame:
     rest = [c for c in df.columns if c != text_col]
+    added = [out_col, decoded_col] if decoded_col else [out_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, leaf)
         for b in sliced(batches):
-            got = _id_lists(*enc.encode_all(b.column(text_col).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), got], [*rest, out_col])
+            ids, ends = enc.encode_all(b.column(text_col).to_pylist())
+            got = [_id_lists(ids, ends)] + ([_decoded(enc.tokenizer, ids, ends)] if decoded_col else [])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *got], [*rest, *added])
 
-    return map_batches(df, run, df.select(*rest, F.lit(None).cast("array<int>").alias(out_col)).schema)
+    kinds = [F.lit(None).cast(t).alias(c) for c, t in zip(added, ("array<int>", "string"), strict=False)]
+    return map_batches(df, run, df.select(*rest, *kinds).schema)
 
 
 def _cut(df: DataFrame, text_col: str, path: str, leaf: int, cols: list[str]) -> DataFrame:
@@ -507,20 +518,22 @@ def encode(
     out_col: str = "ids",
     leaf: int = LEAF,
     long_chars: int = LONG_CHARS,
+    decoded_col: str | None = None,
 ) -> DataFrame:
     """``df`` without its text and with ``out_col``, the ids (array of int) of every whole text under the
     tokenizer file at ``path``, without special tokens being added.
 
     NULL and empty texts have no ids. Rows are independent: repeats, ties and NULLs elsewhere pass
-    through. A column of ``df`` named ``out_col`` is replaced.
+    through. ``decoded_col`` adds the decoding of the ids (see ``decode``) in the same pass. Columns of ``df`` with
+    these names are replaced.
     """
-    if out_col in df.columns:
-        df = df.drop(out_col)
+    df = df.drop(*[c for c in (out_col, decoded_col) if c and c in df.columns])
     text = F.coalesce(F.col(text_col), F.lit(""))
     long = F.length(text) > long_chars
     df = df.withColumn(text_col, text)
-    short = _encode_rows(df.where(~long), text_col, path, leaf, out_col)
-    return short.unionByName(_encode_long(df.where(long), text_col, path, leaf, out_col))
+    short = _encode_rows(df.where(~long), text_col, path, leaf, out_col, decoded_col)
+    joined = _encode_long(df.where(long), text_col, path, leaf, out_col)
+    return short.unionByName(decode(joined, path, out_col, decoded_col) if decoded_col else joined)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

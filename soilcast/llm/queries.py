@@ -137,7 +137,7 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     path = vocabulary()
-    out = bpe.digests(bpe.decode(bpe.encode(docs, path), path))
+    out = bpe.digests(bpe.encode(docs, path, decoded_col="decoded"))
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
