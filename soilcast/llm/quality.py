@@ -108,15 +108,17 @@ def text_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
     names = {k: reserved(df, k) for k in ("_words", "_hashes", "_sorted", "_linelist")}
     w, h, s, ln = names.values()
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = df.withColumn(w, words(F.col(text_col)))
-    out = out.withColumn(ln, F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
+    full_lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    # Generated, so that a later filter on a count is not rewritten into the loops over windows.
+    out = df.select("*", F.inline(F.array(F.struct(words(F.col(text_col)).alias(w), full_lines.alias(ln)))))
     starts = F.when(F.size(w) >= WINDOW, F.sequence(F.lit(0), F.size(w) - WINDOW)).otherwise(
         F.array().cast("array<int>")
     )
     out = out.withColumn(h, F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
     # Only texts with a repeated window sort their windows.
     pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    out = out.withColumn(s, F.when(F.size(F.array_distinct(h)) < F.size(h), pairs))
+    ordered = F.when(F.size(F.array_distinct(h)) < F.size(h), pairs)
+    out = out.select("*", F.inline(F.array(F.struct(ordered.alias(s)))))
     same = lambda j, x: F.coalesce(F.get(s, j)["h"] == x["h"], F.lit(False))
     twice = F.filter(s, lambda x, j: same(j - 1, x) | same(j + 1, x))
     covered = F.aggregate(
