@@ -1,9 +1,9 @@
 """Near-duplicates by ProbMinHash signatures of weighted word shingles, banding and verification.
 
 Equal texts are one node each. Signatures agree register by register with the probability Jaccard
-similarity, an element weighing 1 + ln(times); nodes that agree in a whole band are compared. Links are pairs
-whose distinct shingles have a Jaccard similarity of ``threshold`` or more, and classes are the connected
-components.
+similarity, an element weighing 1 + ln(times), and 1 in a second group of bands; nodes that agree in a whole band
+are compared. Links are pairs whose distinct shingles have a Jaccard similarity of ``threshold`` or more, which the
+second group estimates however often a shingle repeats, and classes are the connected components.
 
 A bucket's nodes are not all paired. They are first compared with one of them; a bucket left with
 several classes is small and compared in full, or its nodes get a bound from the shingles that no other of them
@@ -27,7 +27,7 @@ from .shingles import Shingler, overlap, prob_minhash
 
 SHINGLE = 5
 THRESHOLD = 0.8
-#: A pair of similarity 0.8 misses all bands with a probability of 4e-6.
+#: Per group. A pair of similarity 0.8 misses all bands of weight 1 with a probability of 4e-6.
 BANDS = 24
 ROWS = 4
 #: Nodes up to which a bucket with several classes is compared in full.
@@ -62,7 +62,9 @@ def _band_keys(best: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(texts: DataFrame, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """``texts`` without its text and with ``bands`` (keys; none for a text without words) and ``n_shingles``."""
+    """``texts`` without its text and with ``bands`` (keys; none for a text without words) and ``n_shingles``.
+
+    A text has ``bands`` keys from weights 1 + ln(times), and those from weight 1 that differ: none if no shingle repeats."""
     keep = [c for c in texts.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,10 +75,18 @@ def signatures(texts: DataFrame, text_col: str, shingle: int, bands: int, rows:
                 owner, element, times = make.of(raws[start:end])
                 n = end - start
                 count = np.bincount(owner, minlength=n)
-                best = prob_minhash(owner, element, 1.0 + np.log(times), n, bands * rows)
-                keys = _band_keys(best, rows)[count > 0].view(np.int64).reshape(-1)
-                ends = np.concatenate([[0], np.cumsum((count > 0) * bands)]).astype(np.int32)
-                cols = [pa.ListArray.from_arrays(pa.array(ends), pa.array(keys)), pa.array(count.astype(np.int64))]
+                keys = _band_keys(prob_minhash(owner, element, 1.0 + np.log(times), n, bands * rows), rows)
+                plain = keys.copy()
+                again = np.bincount(owner[times > 1], minlength=n) > 0
+                if again.any():
+                    of = again[owner]
+                    at = (np.cumsum(again) - 1)[owner[of]]
+                    best = prob_minhash(at, element[of], np.ones(len(at)), int(again.sum()), bands * rows)
+                    plain[again] = _band_keys(best, rows)
+                there = np.concatenate([np.broadcast_to(count[:, None] > 0, keys.shape), plain != keys], axis=1)
+                held = np.concatenate([keys, plain], axis=1)[there].view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(there.sum(axis=1))]).astype(np.int32)
+                cols = [pa.ListArray.from_arrays(pa.array(ends), pa.array(held)), pa.array(count.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, n) for c in (b.column(x) for x in keep)), *cols], [*keep, "bands", "n_shingles"])
 
     shape = texts.select(*keep, F.lit(None).cast("array<long>").alias("bands"), F.lit(0).cast("long").alias("n_shingles")).schema

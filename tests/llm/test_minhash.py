@@ -58,6 +58,19 @@ def test_classes_against_brute_force(spark, small):
     assert all(r.class_size == sizes[r.class_id] for r in got.values())
 
 
+@pytest.mark.parametrize("times", [3, 30])
+def test_links_where_the_differing_passage_repeats(spark, times):
+    """Pairs of set Jaccard 0.8 and little more, one text with a passage of its own that repeats."""
+    rows = []
+    for g in range(80):
+        base = " ".join(f"w{g}x{k}" for k in range(164))
+        own = " ".join(f"o{g}x{k}" for k in range(36))
+        rows += [(2 * g, base), (2 * g + 1, " ".join([base, *[own] * times]))]
+    expected = classes(rows)
+    assert all(expected[2 * g + 1] == 2 * g for g in range(80))
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs(spark, rows)).collect()} == expected
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 1 << 62, 200).astype(np.uint64), None
