@@ -57,3 +57,17 @@ def test_hybrid_under_every_treatment(spark):
     got = {(r.scenario, r.model): r.n for r in long.groupBy("scenario", "model").agg(F.count("prediction").alias("n")).collect()}
     assert {s for s, _ in got} == set(flows.TREATMENTS) and {m for _, m in got} == {"gbt_A", "stack"}
     assert got["mean", "stack"] == got["iterative", "stack"] == got["keep_missing", "stack"] > got["complete_cases", "stack"] > 0
+
+
+def test_registered_hybrid_uses_the_whole_configs(spark, monkeypatch):
+    from soilcast.plans import queries
+
+    seen = []
+
+    def grid(spark, sf, **overrides):
+        seen.append(overrides)
+        return spark.createDataFrame([("mean", "stack", "s", 1.0, 2.0)], "scenario string, model string, season string, y double, prediction double")
+
+    monkeypatch.setattr(flows, "hybrid_grid", grid)
+    queries.q_hybrid_grid(spark, "")
+    assert seen == [{}]
