@@ -33,34 +33,50 @@ def letters_only(text: str) -> bytes:
 
 
 def training_texts(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
-    """``lang``, ``text``: for each language ``sample_texts`` texts at most, those with the least hash.
+    """``lang``, ``text``: for each language ``sample_texts`` different texts at most, those with the least hash.
 
-    Only languages and hashes are ranked (each task keeps its first ``sample_texts`` per language
-    before anything is shuffled); texts are fetched for the chosen hashes.
+    Only languages and hashes are shuffled, copies made one before they are ranked (each task then keeps its
+    first ``sample_texts`` per language); texts are fetched for the chosen hashes.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
     rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
     w = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").withColumn("at", F.row_number().over(w)).where(F.col("at") <= sample_texts)
-    chosen = stored(chosen.select("lang", "h").distinct(), "language-sample")
+    chosen = rows.select("lang", "h").distinct().withColumn("at", F.row_number().over(w)).where(F.col("at") <= sample_texts)
+    chosen = stored(chosen.select("lang", "h"), "language-sample")
     return rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.max("text").alias("text"))
 
 
+def _level(sizes: list[int], room: int) -> int:
+    """The most that each may give so that all together fit into ``room``."""
+    for k, size in enumerate(sorted(sizes)):
+        share = room // (len(sizes) - k)
+        if size > share:
+            return share
+        room -= size
+    return max(sizes)
+
+
 def dictionaries(
     labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, dictionary_bytes: int = DICTIONARY_BYTES
 ) -> dict[str, bytes]:
     """Raw-content dictionaries of the languages in ``labelled`` (``lang``, ``text``), the one with the most
-    rows first (ties: by name). NULL languages and texts without letters teach nothing. Driver memory: languages times
-    ``dictionary_bytes``, and one text more each."""
+    rows first (ties: by name). All sampled texts are in: short ones whole, of longer ones equally long beginnings, so
+    that a dictionary is full where there is text enough. NULL languages and texts without letters teach nothing. Driver
+    memory: ``sample_texts`` times ``dictionary_bytes`` a language at most."""
     texts = training_texts(labelled, sample_texts)
-    w = Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
-    held = texts.withColumn("held", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
-    held = held.where(F.col("held") < 2 * dictionary_bytes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raws = [letters_only(t)[:dictionary_bytes] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(raws, pa.binary())], ["lang", "h", "raw"])
+
+    found: dict[str, list[bytes]] = {}
+    for r in map_batches(texts.select("lang", "h", "text"), run, "lang string, h long, raw binary").orderBy("lang", "h").toLocalIterator():
+        found.setdefault(r["lang"], []).append(bytes(r["raw"]))
     content: dict[str, bytes] = {}
-    for r in held.orderBy("lang", "h").select("lang", "text").toLocalIterator():
-        have = content.get(r["lang"], b"")
-        if len(have) < dictionary_bytes:
-            content[r["lang"]] = (have + letters_only(r["text"]) + b" ")[:dictionary_bytes]
+    for lang, raws in found.items():
+        most = _level([len(x) + 1 for x in raws], dictionary_bytes)
+        content[lang] = b"".join(x[: max(most - 1, 0)] + b" " for x in raws)[:dictionary_bytes]
     rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {k: content[k] for k in sorted(content, key=lambda k: (-rows[k], k))}
 

@@ -24,6 +24,19 @@ def test_dictionaries_are_bounded_and_repeatable(spark):
     assert set(a) == {"en", "de", "fr", "es"} and all(0 < len(x) <= 5000 for x in a.values())
 
 
+def test_copies_and_long_texts_leave_room(spark):
+    """One text copied 5000 times among 200, and one long enough to fill a dictionary alone."""
+    by_hash = [r.text for r in spark.range(200).selectExpr("concat('wort', translate(id, '0123456789', 'abcdefghij'), ' ende') AS text").orderBy(F.xxhash64("text")).collect()]
+    few = spark.createDataFrame([("de", t) for t in by_hash], "lang string, text string")
+    many = few.unionByName(spark.range(5000).select(F.lit("de").alias("lang"), F.lit(by_hash[2]).alias("text")))
+    assert language.training_texts(many).count() == language.training_texts(few).count() == language.SAMPLE_TEXTS
+    assert language.dictionaries(many) == language.dictionaries(few)
+    first = spark.range(1000).selectExpr("concat('lang', translate(id, '0123456789', 'abcdefghij'), repeat(' lang', 3000)) AS text").orderBy(F.xxhash64("text")).first().text
+    rows = few.unionByName(spark.createDataFrame([("de", first)], "lang string, text string"))
+    raw = language.dictionaries(rows, dictionary_bytes=4000)["de"]
+    assert 3990 <= len(raw) <= 4000 and sum(language.letters_only(t) + b" " in raw for t in by_hash) == language.SAMPLE_TEXTS - 1
+
+
 def test_awkward_rows(spark):
     dicts = {"a": b"lorem ipsum dolor sit amet " * 40, "b": b"quick brown fox jumps over " * 40}
     df = clashing(awkward(spark), "score", "_letters", "rejected").unionByName(clashing(docs(spark, [(70, "quick brown fox jumps"), (71, "12 3!"), (72, "lorem ipsum")]), "score", "_letters", "rejected"))
