@@ -68,13 +68,15 @@ def source_cuts(
     ranges = groups.groupBy("source", "range").agg(F.sum("group_size").alias("range_size"))
     sizes = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     targets = source_targets(sizes, weights, share, max_epochs)
+    # Of the rounded target: what is left is always less than an epoch.
+    words = F.round("target").cast("long")
     targets = targets.withColumn(
         "epochs",
-        F.when(F.col("source_size") > 0, F.least(F.lit(max_epochs), F.floor(F.col("target") / F.col("source_size"))))
+        F.when(F.col("source_size") > 0, F.least(F.lit(max_epochs), F.floor(words / F.col("source_size"))))
         .otherwise(F.lit(0))
         .cast("long"),
     )
-    targets = targets.withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))
+    targets = targets.withColumn("rest", words - F.col("epochs") * F.col("source_size"))
     so_far = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(so_far), F.lit(0)))
     # The range that holds the cut, one per source, then the group in it.

@@ -51,6 +51,12 @@ def test_equal_rows_take_equally(spark):
     assert len({r.taken for r in got}) == 1 and abs(sum(r.taken for r in got) - got[0].target) <= 50
 
 
+def test_targets_just_below_whole_epochs(spark):
+    """Targets 7.875 of 4 words and 2.625 of 3: rounded, they are whole epochs."""
+    df = docs(spark, [(1, "a b", "s"), (2, "c d", "s"), (3, "e f", "t"), (4, "g", "t")])
+    assert {r.doc_id: r.taken for r in mixing.mix(df, [3, 1]).collect()} == {1: 4, 2: 4, 3: 2, 4: 1}
+
+
 def test_documents_of_the_mix(spark):
     rows = [(i, f" a{i}  b{i}\tc{i}\nd{i} ", ["s", "t"][i % 3 == 0]) for i in range(40)]
     df = docs(spark, rows)
