@@ -64,10 +64,13 @@ def reserved(df: DataFrame, wanted: str) -> str:
 _SHIPPED: set[str] = set()
 #: Rows that a Python worker is given at a time, where the session does not say otherwise: whole texts are long rows.
 BATCH_ROWS = 1000
+#: Their bytes at a time, likewise.
+BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers of this application the package, once, and batches of ``BATCH_ROWS`` rows."""
+    """Give the Python workers of this application the package, once, and batches of ``BATCH_ROWS`` rows and
+    ``BATCH_BYTES`` bytes: where the session has Spark's defaults, its settings are changed, as Spark has none for a single plan."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -79,6 +82,8 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(str(bundle))
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     _SHIPPED.add(sc.applicationId)
 
 

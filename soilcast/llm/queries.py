@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, language, minhash, mixing, quality, repeats, token_files, toxicity, warc
+from . import alignment, bpe, fingerprints, language, minhash, mixing, negatives, quality, repeats, token_counts, token_files, toxicity, warc
 from .common import read, scratch, stored
 
 #: Mixing: weights of the sources in code point order, repeating, and the share of all words.
@@ -20,6 +20,13 @@ FOLDS = 5
 #: Tokens: the vocabulary, and the id that ends a document.
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
+#: Vocabularies of the alignment and of the token counts, and the tokens beyond which a text is over the limit.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
+COUNTED = "byte_bpe_50k.json"
+TOKEN_LIMIT = 1024
+#: Hard negatives: components are multiplied by this and rounded down; every so many ids the label is moved by one of so many.
+VECTOR_SCALE = 256
+MOVED_EVERY, LABELS = 7, 10
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -148,6 +155,29 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out, _ = alignment.align(docs, *map(vocabulary, ALIGNED))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A NULL vec_id keeps its label and is no anchor."""
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = rows.where(negatives.usable(rows))
+    label = F.when(F.col("vec_id") % MOVED_EVERY == 0, (F.col("label") + 1) % LABELS).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(VECTOR_SCALE) * x.cast("double")).cast("double"))
+    rows = rows.select("vec_id", whole.alias("embedding"), label.alias("label"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % QUERY_EVERY == 0)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
+    out = token_counts.count_tokens(docs, vocabulary(COUNTED))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
@@ -163,4 +193,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_repeats": op8_repeats,
         "op9_bpe": op9_bpe,
         "op10_language": op10_language,
+        "op11_alignment": op11_alignment,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_token_counts": op13_token_counts,
     }
