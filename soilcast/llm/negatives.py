@@ -205,7 +205,7 @@ def _walk(rows: DataFrame, tiles: DataFrame, blocks: int, width: int, k: int, sa
     tile_cols = {"tile": "long", "uids": "array<long>", "labs": "array<long>", "tx": "binary", "tree_order": "array<int>", "parent": "array<int>", "edge": "array<double>", "windows": "array<array<array<double>>>"}
     row_cols = {"uid": "long", "vec_id": "long", "lab": "long", "x": "array<double>"}
     visits = tiles.withColumnRenamed("x", "tx").select(
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"), *tile_cols, *[void.cast(t).alias(c) for c, t in row_cols.items()]
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), *tile_cols, *[void.cast(t).alias(c) for c, t in row_cols.items()]
     )
     cands = rows.select("block", *[void.cast(t).alias(c) for c, t in tile_cols.items()], *row_cols)
     dealt = cands.unionByName(visits).repartition("block").sortWithinPartitions("block", F.col("tile").asc_nulls_first())

@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 from collections import Counter, defaultdict
 
@@ -23,10 +24,8 @@ def brute(rows):
 
     a_lib, b_lib = Tokenizer.from_file(PATHS[0]), sentencepiece.SentencePieceProcessor(model_file=PATHS[1])
     a_lib.encode_special_tokens = True
-    from tokenizers import decoders
-
     chars = alignment._unbyte()
-    assert decoders.ByteLevel().decode(["Ġé".replace("é", "Ã©")]) == " é" and len(chars) == 256
+    assert len(set(chars.values())) == 256
     each, pairs = [], Counter()
     for _, text in rows:
         a = a_lib.encode(f" {text}", add_special_tokens=False).ids if text else []
@@ -38,10 +37,10 @@ def brute(rows):
             a, b, ab, bb = [], [], [], []
         ae, be = np.cumsum([len(x) for x in ab]).tolist(), np.cumsum([len(x) for x in bb]).tolist()
         cuts = sorted(set(ae) & set(be))
-        groups, s = [], 0
-        for c in cuts:
-            groups.append(([i for i, e in zip(a, ae) if s < e <= c], [i for i, e in zip(b, be) if s < e <= c]))
-            s = c
+        groups = [([], []) for _ in cuts]
+        for side, (ids, ends) in enumerate(((a, ae), (b, be))):
+            for i, e in zip(ids, ends):
+                groups[bisect.bisect_left(cuts, e)][side].append(i)
         links = Counter((x, y) for ga, gb in groups for x in ga for y in gb)
         pairs.update(links.keys())
         text = ";".join(f"{','.join(map(str, ga))}|{','.join(map(str, gb))}" for ga, gb in groups)
@@ -61,10 +60,10 @@ def rows_of(df):
     return sorted((r.doc_id if r.doc_id is not None else -1, *(r[c] for c in names)) for r in df.collect())
 
 
-ROWS = [(k, t) for k, t in enumerate(STRANGE)] + [(100 + k, prose(k, 60)) for k in range(30)] + [(7, "the the the cat"), (None, "the cat"), (200, prose(5, 9000))]
+ROWS = [(k, t) for k, t in enumerate(STRANGE)] + [(100 + k, prose(k, 60)) for k in range(30)] + [(7, "the the the cat"), (None, "the cat"), (200, prose(5, 3000))]
 
 
-@pytest.mark.parametrize("buckets,lot,chunk", [(64, 4_000_000, 1 << 21), (4, 200, 3000), (1, 100, 1000), (8, 10, 200)])
+@pytest.mark.parametrize("buckets,lot,chunk", [(64, 4_000_000, 1 << 21), (4, 200, 3000), (1, 1000, 1000), (2, 300, 200)])
 def test_align_equals_brute_force(spark, monkeypatch, buckets, lot, chunk):
     monkeypatch.setattr(alignment, "FAN_IN", 3)
     expected, pairs = brute(ROWS)
