@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, reserved, stored
+from .common import held, map_batches, reserved, stored
 
 #: Pieces, and letter runs, whose ids a worker keeps; the memory this takes is bounded by them.
-CACHED_PIECES = 400_000
-CACHED_RUNS = 200_000
+CACHED_PIECES = 200_000
+CACHED_RUNS = 100_000
+#: Bytes of a piece that is kept, at most.
+KEPT_BYTES = 256
 #: Rows handed on at a time.
 SLICE = 1024
 #: Symbols above which an unsplit word is encoded by halves.
@@ -37,14 +39,11 @@ _CHUNK = 1 << 20
 #: Marks that end a word and that no contraction begins with.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _MARK = "\x01"
-_LOADED: dict[tuple[str, int], "Encoder"] = {}
 
 
 def encoder(path: str, leaf: int = LEAF) -> "Encoder":
     """The encoder of this process for the tokenizer file at ``path``."""
-    if (path, leaf) not in _LOADED:
-        _LOADED[path, leaf] = Encoder(path, leaf)
-    return _LOADED[path, leaf]
+    return held(("encoder", path, leaf), lambda: Encoder(path, leaf))
 
 
 class Symbols:
@@ -260,23 +259,31 @@ class Encoder:
         inside = (data != 32) & (data != 10)
         edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         start, end = edge[::2], edge[1::2]
-        entry = self.table.find(self.hasher.of(data, start, end))
+        hashes = self.hasher.of(data, start, end)
+        entry = self.table.find(hashes, data, start, end)
         new = np.flatnonzero(entry < 0)
         if len(new):
-            self.table.shrink(CACHED_PIECES)
-            hashes = self.hasher.of(data, start, end)
-            found = self.table.find(hashes)
-            new = np.flatnonzero(found < 0)
-            fresh, first = np.unique(hashes[new], return_index=True)
+            if self.table.shrink(CACHED_PIECES):
+                entry = self.table.find(hashes, data, start, end)
+                new = np.flatnonzero(entry < 0)
             raw = data.tobytes()
-            pieces = [raw[s:e].decode("utf-8") for s, e in zip(start[new[first]].tolist(), end[new[first]].tolist(), strict=True)]
-            self.table.add(fresh, self._ids_of(pieces))
-            entry = self.table.find(hashes)
-        size = self.table.size[entry]
+            pieces = [raw[s:e] for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            place: dict[bytes, int] = {}
+            at = [place.setdefault(p, len(place)) for p in pieces]
+            got = self._ids_of([p.decode("utf-8") for p in place])
+            self.table.add(list(place), hashes[new][np.unique(at, return_index=True)[1]], got)
+            fresh = np.array([len(x) // 4 for x in got], np.int64)
+            fresh_begin = len(self.table.ids) + np.cumsum(fresh) - fresh
+        size = self.table.size[entry] if len(self.table.size) else np.zeros(len(entry), np.int64)
+        begin = self.table.begin[entry] if len(self.table.size) else np.zeros(len(entry), np.int64)
+        pool = self.table.ids
+        if len(new):
+            size[new], begin[new] = fresh[at], fresh_begin[at]
+            pool = np.concatenate([pool, np.frombuffer(b"".join(got), "<u4")])
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
-        shift = np.repeat(self.table.begin[entry] - (stop - size), size)
-        ids = self.table.ids[np.arange(total) + shift]
+        shift = np.repeat(begin - (stop - size), size)
+        ids = pool[np.arange(total) + shift]
         text_end = np.cumsum([len(r) + 1 for r in raws])
         pieces_before = np.searchsorted(start, text_end)
         return ids, np.concatenate([[0], stop])[pieces_before]
@@ -310,16 +317,16 @@ class _Hasher:
 
 
 class _Table:
-    """Ids by hash of the piece: an open-addressing table that is searched for many pieces at once. Two of a
-    million pieces have one hash with a probability of 1 in 10 million."""
+    """Ids by piece: an open-addressing table over hashes that is searched for many pieces at once. A hash only finds
+    the entry; the piece's bytes decide, so pieces with one hash are never taken for each other (the later one is not kept)."""
 
     def __init__(self, bits: int = 18):
-        self.hashes, self.entries = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int64)
+        self.hashes, self.entries = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
         self.known = np.zeros(0, np.uint64)
         self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        self.piece_begin, self.piece_size, self.pieces = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The entry of each hash, or -1."""
+    def _entries(self, h: np.ndarray) -> np.ndarray:
         mask = np.uint64(len(self.hashes) - 1)
         slot = (h >> np.uint64(20)) & mask
         out = np.full(len(h), -1, np.int64)
@@ -332,18 +339,46 @@ class _Table:
             todo, h, slot = todo[more], h[more], (slot[more] + np.uint64(1)) & mask
         return out
 
-    def add(self, fresh: np.ndarray, ids: list[bytes]) -> None:
-        """Entries for distinct hashes that the table lacks."""
-        size = np.array([len(x) // 4 for x in ids], np.int64)
+    def find(self, h: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The entry of each piece (a stretch of ``data``), or -1."""
+        out = self._entries(h)
+        where = np.flatnonzero(out >= 0)
+        entry, size = out[where], (end - start)[where]
+        other = self.piece_size[entry] != size
+        out[where[other]] = -1
+        where, entry, size = where[~other], entry[~other], size[~other]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        step = np.arange(total)
+        own = data[step + np.repeat(start[where] - (stop - size), size)]
+        kept = self.pieces[step + np.repeat(self.piece_begin[entry] - (stop - size), size)]
+        differ = np.flatnonzero(own != kept)
+        if len(differ):
+            out[where[np.searchsorted(stop, differ, side="right")]] = -1
+        return out
+
+    def add(self, pieces: list[bytes], h: np.ndarray, ids: list[bytes]) -> None:
+        """Keep pieces the table lacks: those of ``KEPT_BYTES`` at most whose hash is no other's."""
+        first = np.zeros(len(h), bool)
+        first[np.unique(h, return_index=True)[1]] = True
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        keep = np.flatnonzero(first & (sizes <= KEPT_BYTES) & (self._entries(h) < 0))
+        self._append([pieces[i] for i in keep.tolist()], h[keep], [ids[i] for i in keep.tolist()])
+
+    def _append(self, pieces: list[bytes], fresh: np.ndarray, ids: list[bytes]) -> None:
+        size, psize = (np.array([len(x) // n for x in some], np.int64) for some, n in ((ids, 4), (pieces, 1)))
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
+        self.piece_begin = np.concatenate([self.piece_begin, len(self.pieces) + np.cumsum(psize) - psize])
+        self.piece_size = np.concatenate([self.piece_size, psize])
+        self.pieces = np.concatenate([self.pieces, np.frombuffer(b"".join(pieces), np.uint8)])
         self.known = np.concatenate([self.known, fresh])
         bits = len(self.hashes)
         while 3 * len(self.known) > bits:
             bits *= 2
         if bits > len(self.hashes):
-            self.hashes, self.entries = np.zeros(bits, np.uint64), np.full(bits, -1, np.int64)
+            self.hashes, self.entries = np.zeros(bits, np.uint64), np.full(bits, -1, np.int32)
             self._place(self.known, np.arange(len(self.known)))
         else:
             self._place(fresh, np.arange(len(self.known) - len(fresh), len(self.known)))
@@ -360,15 +395,20 @@ class _Table:
             rest[won] = False
             h, entry, slot = h[rest], entry[rest], (slot[rest] + np.uint64(1)) & mask
 
-    def shrink(self, most: int) -> None:
+    def shrink(self, most: int) -> bool:
         """Keep the first half of more than ``most`` entries: frequent pieces are met early."""
         n = most // 2
-        if len(self.known) > most:
-            known, begin, size = self.known[:n], self.begin[:n], self.size[:n]
-            ids = self.ids[: int(begin[-1] + size[-1])]
-            self.__init__()
-            self.begin, self.size, self.ids, self.known = begin, size, ids, known
-            self.add(np.zeros(0, np.uint64), [])
+        if len(self.known) <= most:
+            return False
+        known, begin, size, pb, ps = self.known[:n], self.begin[:n], self.size[:n], self.piece_begin[:n], self.piece_size[:n]
+        ids, pieces = self.ids[: int(begin[-1] + size[-1])].copy(), self.pieces[: int(pb[-1] + ps[-1])].copy()
+        self.__init__()
+        self.begin, self.size, self.ids, self.known = begin, size, ids, known
+        self.piece_begin, self.piece_size, self.pieces = pb, ps, pieces
+        self._append([], np.zeros(0, np.uint64), [])
+        if 3 * len(known) <= len(self.hashes):
+            self._place(known, np.arange(n))
+        return True
 
 
 def _latin1(text: str) -> bool:

@@ -87,6 +87,19 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+_HELD: dict = {}
+
+
+def held(key, make: Callable):
+    """What ``make`` gives, kept by this process for further tasks with the same ``key``. One thing is kept at a time: workers
+    outlive stages, and the tables of an earlier operator would stay in memory."""
+    if key not in _HELD:
+        _HELD.clear()
+        release_memory()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def map_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
     """``df.mapInArrow`` with the package at hand in the workers, which give back what memory they no longer use."""
     ship(df.sparkSession)

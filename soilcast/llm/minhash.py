@@ -68,7 +68,7 @@ def signatures(texts: DataFrame, text_col: str, shingle: int, bands: int, rows:
     keep = [c for c in texts.columns if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(shingle, 2 * _BATCH)
+        make = Shingler(shingle)
         for b in batches:
             raws = [t.encode("utf-8") for t in b.column(text_col).to_pylist()]
             for start, end in _batches(raws):
@@ -98,7 +98,7 @@ def _shingle_sets(texts: DataFrame, text_col: str, shingle: int) -> DataFrame:
     shingles each, a false match has a probability of 1 in 17,000, and would shift the similarity by 0.001.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(shingle, 2 * _BATCH)
+        make = Shingler(shingle)
         for b in batches:
             raws = [t.encode("utf-8") for t in b.column(text_col).to_pylist()]
             for start, end in _batches(raws):

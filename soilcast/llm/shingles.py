@@ -16,31 +16,49 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+_PLACES = 64
+
+
+def _numbers() -> np.ndarray:
+    """A number for each byte at each of the first places of a word."""
+    return mixed(np.arange(_PLACES * 256, dtype=np.uint64) * _A + _C)
+
+
+_NUMBERS = _numbers()
+
+
+def _byte_numbers(data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    key = (place << 8) + data
+    out = _NUMBERS[np.minimum(key, _PLACES * 256 - 1)]
+    far = np.flatnonzero(place >= _PLACES)  # long words
+    if len(far):
+        out[far] = mixed(key[far].astype(np.uint64) * _A + _C)
+    return out
+
+
 class Shingler:
-    """Hashed shingles of the words ``[^\\x20\\x09-\\x0D]+``."""
+    """Hashed shingles of the words ``[^\\x20\\x09-\\x0D]+``.
 
-    def __init__(self, size: int, capacity: int):
-        self.size = size
-        self._grow(capacity)
+    A word's hash is the sum of a random-like number for each of its bytes at its place in the word, so no structure of the
+    word, such as one that makes polynomials vanish, leads to equal hashes."""
 
-    def _grow(self, capacity: int) -> None:
-        up, down = np.full(capacity + 1, _A), np.full(capacity + 1, _INV)
-        up[0] = down[0] = 1
-        self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    def __init__(self, size: int):
+        self.size = size
 
     def of(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, shingle, times), sorted by both: the distinct shingles of each text. A text with fewer words
         than a shingle has one, of all its words; one without words has none."""
         data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
-        if len(data) >= len(self.up):
-            self._grow(len(data))
         ends = np.cumsum([len(r) + 1 for r in raws])
         word = ~((data == 32) | ((data >= 9) & (data <= 13)))
         edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
         start, end = edge[::2], edge[1::2]
+        place = np.arange(len(data))
+        if len(start):
+            place[start[0] :] -= np.repeat(start, np.diff(np.append(start, len(data))))
         sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + _U(1)) * self.up[: len(data)], out=sums[1:])
-        h = mixed((sums[end] - sums[start]) * self.down[start])
+        np.cumsum(_byte_numbers(data, place), out=sums[1:])
+        h = mixed(sums[end] - sums[start] + (end - start).astype(np.uint64) * _A)
         text = np.searchsorted(ends, start, side="right")
         n = np.bincount(text, minlength=len(raws))
         k = self.size

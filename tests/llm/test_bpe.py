@@ -18,6 +18,17 @@ STRANGE = [
 ]
 
 
+
+
+def thue_morse(n):
+    """Words that any polynomial hash modulo 2**64 takes for each other from 1,024 letters on."""
+    word = "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+STRANGE += [w for n in (512, 1024, 2048) for w in thue_morse(n)]
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
@@ -44,6 +55,28 @@ def test_encoder_is_the_library(library, leaf):
         assert np.frombuffer(raw, "<u4").tolist() == ids_of(library, t), t
 
 
+def test_pieces_with_one_hash_are_told_apart(library, monkeypatch):
+    """Every piece has the same hash: only its bytes tell it from others."""
+    import numpy as np
+
+    monkeypatch.setattr(bpe._Hasher, "of", lambda self, data, start, end: np.full(len(start), 12345 << 20, np.uint64))
+    enc = Encoder(PATH)
+    texts = ["one two three", "three two", "two, one", prose(4, 200)] * 2
+    for t, raw in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(raw, "<u4").tolist() == ids_of(library, t)
+
+
+def test_table_shrinks(library, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(bpe, "CACHED_PIECES", 50)
+    enc = Encoder(PATH)
+    for k in range(12):
+        t = prose(k % 5, 150, vocabulary=90)
+        assert np.frombuffer(next(enc.encode([t])), "<u4").tolist() == ids_of(library, t)
+        assert len(enc.table.known) <= 50 + 90
+
+
 def test_tree_joins_equal_the_whole():
     enc = Encoder(PATH)
     rng = random.Random(2)

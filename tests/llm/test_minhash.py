@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from soilcast.llm import minhash
+from soilcast.llm import minhash, queries
 from soilcast.llm.components import components
 from soilcast.llm.shingles import Shingler, overlap, prob_minhash
 
@@ -88,7 +88,7 @@ def test_signatures_estimate_probability_jaccard():
 
 def test_shingles_against_brute_force():
     texts = ["a b c d e f a b c d e", "", " \t", "one two", "one two", "x" * 500 + " b\x0bc d e f", "é ü ö ä ß é ü ö ä ß"]
-    owner, element, times = Shingler(5, 16).of([t.encode() for t in texts])
+    owner, element, times = Shingler(5).of([t.encode() for t in texts])
     for k, t in enumerate(texts):
         w = words(t)
         grams = [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
@@ -128,3 +128,13 @@ def test_awkward_rows_and_one_per_class(spark):
     assert out.columns == df.columns
     assert sorted((r.doc_id or -1 for r in out.collect())) == [-1, 1, 3, 4, 5, 6, 7, 8, 9]
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.one_per_class(df.limit(0)).count() == 0
+
+
+def test_structured_words_are_different_shingles(spark, tmp_path):
+    """Words that polynomial hashes take for each other are documents of their own."""
+    from .test_bpe import thue_morse
+
+    rows = [(10 * k + j, w) for k, n in enumerate((1024, 2048)) for j, w in enumerate(thue_morse(n))]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_minhash(spark, str(tmp_path)).collect()
+    assert len({r.class_id for r in got}) == 4 and {r.class_size for r in got} == {1}
