@@ -21,6 +21,8 @@ from .common import map_batches, reserved, stored
 DICTIONARY_BYTES = 96 << 10
 #: Texts sampled for a dictionary at most.
 SAMPLE_TEXTS = 128
+#: Parts of a language that are ranked by themselves first.
+PARTS = 256
 #: Share of the best size by which the next language must be larger.
 MARGIN = 0.01
 LEVEL = 7
@@ -35,17 +37,25 @@ def letters_only(text: str) -> bytes:
 def training_texts(labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
     """``lang``, ``text``: for each language ``sample_texts`` different texts at most, those with the least hash.
 
-    Only languages and hashes are shuffled, copies made one before they are ranked (each task then keeps its
-    first ``sample_texts`` per language); texts are fetched for the chosen hashes.
+    Only languages and hashes are shuffled, copies made one before they are ranked, first in parts of each
+    language, so that no task ranks a whole one; texts are fetched for the chosen hashes.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
     rows = rows.select("lang", "text", F.xxhash64("text").alias("h"))
-    w = Window.partitionBy("lang").orderBy("h")
-    chosen = rows.select("lang", "h").distinct().withColumn("at", F.row_number().over(w)).where(F.col("at") <= sample_texts)
+    chosen = rows.select("lang", "h").distinct().withColumn("part", F.pmod(F.xxhash64(F.lit(3), "h"), F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        w = Window.partitionBy(*by).orderBy("h")
+        chosen = chosen.withColumn("at", F.row_number().over(w)).where(F.col("at") <= sample_texts)
     chosen = stored(chosen.select("lang", "h"), "language-sample")
     return rows.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.max("text").alias("text"))
 
 
+def _turned(raw: bytes, h: int) -> bytes:
+    """``raw`` from the word nearest to a place chosen by ``h`` on, its beginning put behind its end."""
+    at = raw.find(b" ", h % max(1, len(raw))) + 1
+    return raw if not at else raw[at:] + b" " + raw[: at - 1]
+
+
 def _level(sizes: list[int], room: int) -> int:
     """The most that each may give so that all together fit into ``room``."""
     for k, size in enumerate(sorted(sizes)):
@@ -60,23 +70,24 @@ def dictionaries(
     labelled: DataFrame, sample_texts: int = SAMPLE_TEXTS, dictionary_bytes: int = DICTIONARY_BYTES
 ) -> dict[str, bytes]:
     """Raw-content dictionaries of the languages in ``labelled`` (``lang``, ``text``), the one with the most
-    rows first (ties: by name). All sampled texts are in: short ones whole, of longer ones equally long beginnings, so
-    that a dictionary is full where there is text enough. NULL languages and texts without letters teach nothing. Driver
+    rows first (ties: by name). All sampled texts are in: short ones whole, of longer ones equally long stretches from a
+    place chosen by hash, so that a dictionary is full where there is text enough. NULL languages and texts without letters teach nothing. Driver
     memory: ``sample_texts`` times ``dictionary_bytes`` a language at most."""
     texts = training_texts(labelled, sample_texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raws = [letters_only(t)[:dictionary_bytes] for t in b.column("text").to_pylist()]
+            raws = [letters_only(t) for t in b.column("text").to_pylist()]
+            raws = [r if len(r) <= dictionary_bytes else _turned(r, h)[:dictionary_bytes] for r, h in zip(raws, b.column("h").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("h"), pa.array(raws, pa.binary())], ["lang", "h", "raw"])
 
-    found: dict[str, list[bytes]] = {}
+    found: dict[str, list[tuple[bytes, int]]] = {}
     for r in map_batches(texts.select("lang", "h", "text"), run, "lang string, h long, raw binary").orderBy("lang", "h").toLocalIterator():
-        found.setdefault(r["lang"], []).append(bytes(r["raw"]))
+        found.setdefault(r["lang"], []).append((bytes(r["raw"]), r["h"]))
     content: dict[str, bytes] = {}
     for lang, raws in found.items():
-        most = _level([len(x) + 1 for x in raws], dictionary_bytes)
-        content[lang] = b"".join(x[: max(most - 1, 0)] + b" " for x in raws)[:dictionary_bytes]
+        most = max(_level([len(x) + 1 for x, _ in raws], dictionary_bytes) - 1, 0)
+        content[lang] = b"".join((x if len(x) <= most else _turned(x, h)[:most]) + b" " for x, h in raws)[:dictionary_bytes]
     rows = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {k: content[k] for k in sorted(content, key=lambda k: (-rows[k], k))}
 
@@ -93,11 +104,9 @@ def identify(
     Of the languages, the one with the least compressed size wins (ties: the first of ``dicts``); ``score`` is
     0.5 where the next one is equally good and nears 1 as it gets worse; ``rejected`` tells that the next
     one is larger by less than the ``margin`` share. A NULL text and one without a letter are ``und``
-    with score 0, rejected. With a single language its score is 1. Columns of ``df`` with these
-    names are replaced.
+    with score 0, rejected, and so are all texts if ``dicts`` is empty. With a single language its score is 1. An empty table gives an
+    empty one. Columns of ``df`` with these names are replaced.
     """
-    if not dicts:
-        raise ValueError("no language has training text")
     names = list(dicts)
     keep = [c for c in df.columns if c not in ("lang_pred", "score", "rejected")]
     letters = reserved(df, "_letters")
@@ -118,7 +127,7 @@ def identify(
         for b in batches:
             preds, scores, rejected = [], [], []
             for text, has in zip(b.column(text_col).to_pylist(), b.column(letters).to_pylist(), strict=True):
-                if not has:
+                if not has or not names:
                     preds.append(UNDETERMINED)
                     scores.append(0.0)
                     rejected.append(True)

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from soilcast.llm import language, queries
@@ -46,5 +45,33 @@ def test_awkward_rows(spark):
     assert got[70].lang_pred == "b" and got[72].lang_pred == "a" and not got[70].rejected and got[6].lang_pred in dicts
     assert language.identify(df.limit(0), dicts).count() == 0
     assert {r.score for r in language.identify(docs(spark, [(1, "abc")]), {"a": b"abc"}).collect()} == {1.0}
-    with pytest.raises(ValueError):
-        language.identify(df, {})
+    for some in (df, df.limit(0)):
+        none = language.identify(some, {}).collect()
+        assert {(r.lang_pred, r.score, r.rejected) for r in none} <= {("und", 0.0, True)} and len(none) == some.count()
+
+
+def test_query_without_training_data(spark, tmp_path):
+    df = awkward(spark)
+    df.limit(0).write.parquet(f"{tmp_path}/a/documents.parquet")
+    assert queries.op10_language(spark, f"{tmp_path}/a").count() == 0
+    df.withColumn("lang", F.lit(None).cast("string")).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert {(r.lang_pred, r.score) for r in queries.op10_language(spark, f"{tmp_path}/b").collect()} == {("und", 0.0)}
+
+
+def test_sizes_and_sample_equal_brute_force(spark):
+    import zstandard as zstd
+
+    rows = [(k, f"{w} " * (k % 5 + 1) + str(k)) for k, w in enumerate(["alpha beta", "gamma delta", "eins zwei drei", "vier funf", "uno dos"] * 10)]
+    df = docs(spark, rows).withColumn("lang", F.when(F.col("doc_id") % 5 < 2, "g").when(F.col("doc_id") % 5 < 4, "d").otherwise("e"))
+    dicts = language.dictionaries(df.select("lang", "text"), 7, 120)
+    for r in language.identify(df, dicts).collect():
+        sizes = {}
+        for name, raw in dicts.items():
+            d = zstd.ZstdCompressionDict(raw, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=language.LEVEL)
+            c = zstd.ZstdCompressor(level=language.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[name] = len(c.compress(language.letters_only(rows[r.doc_id][1])))
+        assert r.lang_pred == min(dicts, key=lambda n: (sizes[n], list(dicts).index(n)))
+    hashes = sorted((r.h, r.lang) for r in df.select(F.xxhash64("text").alias("h"), "lang").distinct().collect())
+    chosen = {(r.h, r.lang) for r in language.training_texts(df, 7).collect()}
+    assert chosen == {x for lang in "gde" for x in [y for y in hashes if y[1] == lang][:7]}
