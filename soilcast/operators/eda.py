@@ -120,25 +120,25 @@ def quantile_summary(
     offsets = sub.select(
         "_pid",
         *keys,
+        "_sub",
         F.coalesce(F.sum("_sub").over(w_off), F.lit(0)).alias("_off"),
         F.sum("_sub").over(w_all).alias("_n"),
     )
-    w_local = Window.partitionBy("_pid", *keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    # offsets has at most (partitions + groups) rows; AQE broadcasts it when it is measured small.
-    ranked = join_fitted(ranged, offsets, ["_pid", *keys], "inner").select(
-        *keys, "v", "_n", (F.col("_off") + F.sum("cnt").over(w_local) - F.col("cnt")).alias("_start"), "cnt"
-    )
-    # Wanted order statistics per group and prob: positions floor(h) and ceil(h), 0-based.
-    probs_arr = F.array(*[F.lit(float(p)) for p in probs])
-    wanted = ranked.select(*keys, "v", "_start", "cnt", "_n", F.explode(probs_arr).alias("prob"))
+    # Wanted order statistics: positions floor(h) and ceil(h), 0-based, with the range each lies in. Positions come from
+    # the small table of offsets, so only the ranges that hold one are ranked.
     h = (F.col("_n") - 1) * F.col("prob")
-    lo, hi = F.floor(h), F.ceil(h)
-    covers = lambda pos: (F.col("_start") <= pos) & (pos < F.col("_start") + F.col("cnt"))
-    picked = wanted.filter(covers(lo) | covers(hi)).groupBy(*keys, "prob").agg(
-        F.max(F.when(covers(lo), F.col("v"))).alias("_vlo"),
-        F.max(F.when(covers(hi), F.col("v"))).alias("_vhi"),
-        F.max(h - lo).alias("_frac"),
+    at = offsets.select("_pid", *keys, "_off", "_sub", "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    at = at.select("_pid", *keys, "_off", "_sub", "prob", (h - F.floor(h)).alias("_frac"), F.explode(F.array_distinct(F.array(F.floor(h), F.ceil(h)))).alias("_pos"))
+    at = at.filter((F.col("_off") <= F.col("_pos")) & (F.col("_pos") < F.col("_off") + F.col("_sub")))
+    held = at.select("_pid", *keys, "_off").distinct()
+    w_local = Window.partitionBy("_pid", *keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # ``held`` and ``at`` have groups × probs rows or so; AQE broadcasts them when they are measured small.
+    ranked = join_fitted(ranged, held, ["_pid", *keys], "inner").select(
+        "_pid", *keys, "v", (F.col("_off") + F.sum("cnt").over(w_local) - F.col("cnt")).alias("_start"), "cnt"
     )
+    found = join_fitted(ranked, at.select("_pid", *keys, "prob", "_frac", "_pos"), ["_pid", *keys], "inner")
+    found = found.filter((F.col("_start") <= F.col("_pos")) & (F.col("_pos") < F.col("_start") + F.col("cnt")))
+    picked = found.groupBy(*keys, "prob").agg(F.min("v").alias("_vlo"), F.max("v").alias("_vhi"), F.max("_frac").alias("_frac"))
     q = F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))
     return picked.select(*keys, "prob", q.alias("quantile"))
 

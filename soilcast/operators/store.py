@@ -10,6 +10,7 @@ import json
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
+from soilcast.operators.boosting import BoostedFits, BoostedModel, _Named
 from soilcast.operators.impute import IterativeFill, MeanFill
 from soilcast.operators.models import GroupMeanBase, GroupMeanFit, LinearBase, LinearFit, MLBase, MLFit
 from soilcast.operators.stack import LeastSquaresModel, SeasonFit, StackModel
@@ -36,6 +37,8 @@ def save(spark: SparkSession, fit, path: str) -> None:
         facts = {"name": fit.base.name, "features": fit.base.features, "y": fit.base.y, "fold": fit.fold, "models": list(fit.models)}
         for f, m in fit.models.items():
             m.save(f"{path}/model{f}")
+    elif isinstance(fit, BoostedFits):
+        facts = {"name": fit.base.name, "fold": fit.fold, "models": [[t, m.to_json()] for t, m in fit.models.items()]}
     elif isinstance(fit, PipelineModel):
         fit.save(f"{path}/model")
     elif isinstance(fit, StackModel):
@@ -74,6 +77,8 @@ def load(spark: SparkSession, path: str):
     if kind == "MLFit":
         models = {m: PipelineModel.load(f"{path}/model{m}") for m in f["models"]}
         return MLFit(MLBase(f["name"], None, f["features"], f["y"]), f["fold"], models)
+    if kind == "BoostedFits":
+        return BoostedFits(_Named(f["name"]), {t: BoostedModel.from_json(m) for t, m in f["models"]}, f["fold"])
     if kind == "PipelineModel":
         return PipelineModel.load(f"{path}/model")
     if kind == "StackModel":

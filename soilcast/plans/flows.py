@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from functools import reduce
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from soilcast.operators.boosting import ALL, CONFIGS, BoostConfig, fit_boosted_together, score
+from soilcast.functions.season import SEASONS
 from soilcast.operators.features import assign_fold, encode_season, with_split
 from soilcast.operators.impute import complete_cases, fit_iterative, fit_mean, keep_missing
-from soilcast.operators.models import GroupMeanBase, LinearBase, boosted_base
+from soilcast.operators.models import GroupMeanBase, LinearBase
 from soilcast.operators.scoring import leaderboard, on_common_rows, regression_metrics, to_long
 from soilcast.operators.stack import fit_stack, out_of_fold, predict_stack
 from soilcast.session import fit_parallelism, materialize, shared_dir
@@ -111,17 +114,20 @@ def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common
 
 
 SEASON_FLAGS = ["is_winter", "is_spring", "is_summer", "is_autumn"]
-TREATMENTS = ("mean", "keep_missing", "iterative", "complete_cases")
+TREATMENTS = ("mean", "unfilled", "iterative", "complete_cases")
 
 
 def treated(train: DataFrame, test: DataFrame, treatment: str) -> tuple[DataFrame, DataFrame, list[str]]:
     """(training rows, test rows, features) under a missing-data treatment fitted on the training rows, with season
-    indicators. ``keep_missing`` fills nothing (indicator and placeholder, for trees); ``complete_cases`` drops rows with a gap."""
+    indicators. ``unfilled`` gives the gaps to the learner as they are; ``keep_missing`` marks them (indicator and placeholder, for learners
+    that take none); ``complete_cases`` drops rows with a gap."""
     feats = list(FEATURES)
     if treatment == "mean":
         fit = fit_mean(train, FEATURES).transform
     elif treatment == "iterative":
         fit = fit_iterative(train, FEATURES, rounds=GRID_ROUNDS, method="patterns").transform
+    elif treatment == "unfilled":
+        fit = lambda df: df
     elif treatment == "keep_missing":
         feats += [f"{c}_missing" for c in FEATURES]
         fit = lambda df: keep_missing(df, FEATURES)
@@ -132,54 +138,83 @@ def treated(train: DataFrame, test: DataFrame, treatment: str) -> tuple[DataFram
     return encode_season(fit(train)), encode_season(fit(test)), feats + SEASON_FLAGS
 
 
-def tree_stack(
-    spark: SparkSession, sf_dir: str, configs=("A", "B", "C"), treatment: str = "mean", obs: DataFrame | None = None, meta=None, **overrides
+def tree_configs(names=tuple(CONFIGS), **overrides) -> dict[str, BoostConfig]:
+    return {n: replace(CONFIGS[n], **overrides) for n in names}
+
+
+def _column(name: str) -> str:
+    return f"p_gbt_{name}"
+
+
+def hybrid_grid(
+    spark: SparkSession, sf_dir: str, configs=tuple(CONFIGS), treatments=TREATMENTS, obs: DataFrame | None = None, meta=None, **overrides
 ) -> DataFrame:
-    """The stacked hybrid of boosted trees under one treatment: ``configs`` as bases, least-squares meta (or ``meta``).
+    """Every tree config and their stacked hybrid under every treatment, in one table of long predictions on the test rows.
 
-    Returns the long predictions of every base and the stack on the test rows, scenario = treatment. ``overrides``
-    replace settings of the tree configs.
+    The fits of all treatments, configs and folds grow in the same passes over the rows (treatments × configs × (folds + 1)
+    of them); the hybrid's weights come from out-of-fold predictions. ``meta``: least squares, or any
+    ``pyspark.ml`` regressor. ``overrides`` replace settings of the configs.
     """
     obs = obs if obs is not None else prepared(spark, sf_dir)
-    trf, tef, features = treated(*train_test(obs), treatment)
-    trf = materialize(trf, "tree_train")
-    bases = [boosted_base(c, features, **overrides) for c in configs]
-    oof, fitted = out_of_fold(trf, "fold", bases, FOLDS)
-    oof = materialize(oof, "tree_oof")
-    meta = fit_stack(oof, [b.col for b in bases], "y", meta)
-    pred = predict_stack(tef, fitted, meta)
-    models = {b.name: b.col for b in bases}
-    models["stack"] = "prediction"
-    return to_long(pred, KEYS, models, treatment)
+    train, test = train_test(obs)
+    scen = {t: treated(train, test, t) for t in treatments}
+    chosen = tree_configs(configs, **overrides)
+    fits = fit_boosted_together({t: (trf, feats) for t, (trf, _, feats) in scen.items()}, chosen, "y", "fold", FOLDS, KEYS)
+    models = {f"gbt_{c}": _column(c) for c in chosen} | {"stack": "prediction"}
+    longs = []
+    for t, (trf, tef, _) in scen.items():
+        held = {_column(c): {f: m for f, m in fits[t, c].items() if f != ALL} for c in chosen}
+        oof = score(trf.select("fold", "y", *FEATURES, *SEASON_FLAGS, *_extra(trf)), held, "fold")
+        weights = fit_stack(oof, list(held), "y", meta)
+        scored = score(tef, {_column(c): {ALL: fits[t, c][ALL]} for c in chosen})
+        longs.append(to_long(predict_stack(scored, [], weights), KEYS, models, t))
+    return reduce(DataFrame.unionByName, longs)
 
 
-def hybrid_grid(spark: SparkSession, sf_dir: str, configs=("A", "B", "C"), **overrides) -> DataFrame:
-    """Every tree config and their stacked hybrid under every treatment, in one table of long predictions.
-    Treatments run one after another, over one prepared table."""
-    obs = prepared(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [tree_stack(spark, sf_dir, configs, t, obs, **overrides) for t in TREATMENTS])
+def _extra(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.endswith("_missing")]
 
 
-def tree_grid(spark: SparkSession, sf_dir: str, configs=("A",)) -> DataFrame:
-    """Boosted trees under every treatment: mean fill, keep-missing (indicator + placeholder; trees
-    only), iterative fill and complete cases. Long test predictions, scenario = treatment.
+def tree_stack(spark: SparkSession, sf_dir: str, configs=tuple(CONFIGS), treatment: str = "mean", **more) -> DataFrame:
+    """The stacked hybrid of boosted trees under one treatment (see ``hybrid_grid``)."""
+    return hybrid_grid(spark, sf_dir, configs, (treatment,), **more)
 
-    The fits are independent; one limit (``fit_parallelism``) holds for all.
-    """
+
+GRID_TREATMENTS = ("mean", "unfilled", "keep_missing", "iterative", "complete_cases")
+
+
+def tree_grid(spark: SparkSession, sf_dir: str, configs=tuple(CONFIGS), **overrides) -> DataFrame:
+    """Boosted trees, fitted once each, under every treatment, gaps given as they are and by placeholder included. Long test
+    predictions, scenario = treatment; all fits grow in the same passes."""
     train, test = train_test(prepared(spark, sf_dir))
-    scen = {t: treated(train, test, t) for t in TREATMENTS}
-    jobs = [(s, c) for s in scen for c in configs]
-
-    def run(job):
-        s, c = job
-        trf, tef, feats = scen[s]
-        base = boosted_base(c, feats)
-        pred = base.fit_one(trf).transform(tef).drop(base.vec)
-        return to_long(pred, KEYS, {base.name: base.col}, s)
-
-    with ThreadPoolExecutor(max_workers=fit_parallelism(spark, len(jobs))) as pool:
-        longs = list(pool.map(inheritable_thread_target(spark)(run), jobs))
-    long = longs[0]
-    for x in longs[1:]:
-        long = long.unionByName(x)
-    return long
+    scen = {t: treated(train, test, t) for t in GRID_TREATMENTS}
+    chosen = tree_configs(configs, **overrides)
+    fits = fit_boosted_together({t: (trf, feats) for t, (trf, _, feats) in scen.items()}, chosen, "y", keys=KEYS)
+    models = {f"gbt_{c}": _column(c) for c in chosen}
+    longs = [to_long(score(tef, {_column(c): fits[t, c] for c in chosen}), KEYS, models, t) for t, (_, tef, _) in scen.items()]
+    return reduce(DataFrame.unionByName, longs)
+
+
+def boosted(spark: SparkSession, sf_dir: str, configs: dict[str, BoostConfig], treatment: str, features: list[str] | None = None) -> DataFrame:
+    """Test rows with ``p_gbt_<config>`` of models fitted on the training rows under one treatment."""
+    trf, tef, feats = treated(*train_test(prepared(spark, sf_dir)), treatment)
+    fits = fit_boosted_together({treatment: (trf, features or feats)}, configs, "y", keys=KEYS)
+    return score(tef, {_column(c): fits[treatment, c] for c in configs})
+
+
+def boosted_out_of_fold(spark: SparkSession, sf_dir: str, configs: dict[str, BoostConfig], treatment: str, features: list[str]) -> DataFrame:
+    """Training rows with the predictions of the fits that left their fold out."""
+    trf, _, _ = treated(*train_test(prepared(spark, sf_dir)), treatment)
+    fits = fit_boosted_together({treatment: (trf, features)}, configs, "y", "fold", FOLDS, KEYS)
+    return score(trf, {_column(c): fits[treatment, c] for c in configs}, "fold")
+
+
+def boosted_per_season(spark: SparkSession, sf_dir: str, config: str = "A") -> DataFrame:
+    """Test rows scored by the trees of their own season (mean-filled features); all seasons grow in the same passes."""
+    trf, tef, _ = treated(*train_test(prepared(spark, sf_dir)), "mean")
+    groups = {s: (trf.where(F.col("season") == s), FEATURES) for s in SEASONS}
+    fits = fit_boosted_together(groups, tree_configs((config,)), "y", keys=KEYS)
+    col = _column(config)
+    parts = [score(tef.where(F.col("season") == s), {col: fits[s, config]}) for s in SEASONS]
+    rest = tef.where(~F.coalesce(F.col("season").isin(*SEASONS), F.lit(False))).withColumn(col, F.lit(None).cast("double"))
+    return reduce(DataFrame.unionByName, [*parts, rest])

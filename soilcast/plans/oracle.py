@@ -80,6 +80,50 @@ met AS (
          1e0 - sum((prediction - y) * (prediction - y)) / (count(*) * var_pop(y)) AS r2
   FROM long GROUP BY GROUPING SETS ((scenario, model, season), (scenario, model)))"""
 
+def stumps_sql(pre: str, train: str, features=("a", "b", "c"), rounds: int = 2, step: float = 0.5, bins: int = 256) -> str:
+    """CTEs that boost stumps on the rows of ``train`` (y and the features, NULL being missing).
+
+    Edges are the distinct quantiles at i/bins of ``{pre}edge_rows`` (given by the caller); each round takes the split of
+    most gain, missing values tried left (0) and right (1). Ends with ``{pre}s0`` (start) and ``{pre}b1``… (fi, e, side, vl, vr).
+    """
+    fs = list(enumerate(features))
+    out = [f"{pre}s0 AS (SELECT avg(y) AS m FROM {train})"]
+    out.append(f"{pre}g1 AS (SELECT t.*, y - m AS g FROM {train} t CROSS JOIN {pre}s0)")
+    probs = "[" + ", ".join(f"{i / bins!r}" for i in range(1, bins)) + "]"
+    out.append(
+        f"{pre}edges AS ("
+        + " UNION ALL ".join(f"SELECT DISTINCT {i} AS fi, unnest(quantile_cont({f}, {probs})) AS e FROM {pre}edge_rows" for i, f in fs)
+        + ")"
+    )
+    for n in range(1, rounds + 1):
+        v = " UNION ALL ".join(f"SELECT {i} AS fi, {f} AS x, count(*) AS n, sum(g) AS s FROM {pre}g{n} GROUP BY {f}" for i, f in fs)
+        out.append(f"{pre}v{n} AS ({v})")
+        out.append(
+            f"{pre}t{n} AS (SELECT fi, sum(n) AS tn, sum(s) AS ts, coalesce(sum(n) FILTER (WHERE x IS NULL), 0) AS nm, "
+            f"coalesce(sum(s) FILTER (WHERE x IS NULL), 0e0) AS sm FROM {pre}v{n} GROUP BY fi)"
+        )
+        out.append(
+            f"{pre}c{n} AS (SELECT e.fi, e.e, sum(v.n) AS nl, sum(v.s) AS sl FROM {pre}edges e JOIN {pre}v{n} v ON v.fi = e.fi AND v.x <= e.e GROUP BY e.fi, e.e)"
+        )
+        out.append(
+            f"{pre}d{n} AS (SELECT c.fi, c.e, side, tn, ts, CASE WHEN side = 0 THEN nl + nm ELSE nl END AS n1, "
+            f"CASE WHEN side = 0 THEN sl + sm ELSE sl END AS s1 FROM {pre}c{n} c JOIN {pre}t{n} t ON t.fi = c.fi "
+            f"CROSS JOIN (VALUES (0), (1)) AS z(side) WHERE side = 0 OR nm > 0)"
+        )
+        out.append(
+            f"{pre}b{n} AS (SELECT fi, e, side, {step!r} * s1 / n1 AS vl, {step!r} * (ts - s1) / (tn - n1) AS vr FROM {pre}d{n} "
+            f"WHERE n1 > 0 AND tn > n1 ORDER BY s1 * s1 / n1 + (ts - s1) * (ts - s1) / (tn - n1) DESC, side, fi, e LIMIT 1)"
+        )
+        out.append(f"{pre}g{n + 1} AS (SELECT r.* REPLACE (g - {stump_value(f'b', features)} AS g) FROM {pre}g{n} r CROSS JOIN {pre}b{n} b)")
+    return ",\n".join(out)
+
+
+def stump_value(b: str, features=("a", "b", "c"), row: str = "r") -> str:
+    """What the stump ``b`` adds to a row."""
+    x = "CASE " + " ".join(f"WHEN {b}.fi = {i} THEN {row}.{f}" for i, f in enumerate(features)) + " END"
+    return f"CASE WHEN {x} IS NULL THEN CASE WHEN {b}.side = 0 THEN {b}.vl ELSE {b}.vr END WHEN {x} <= {b}.e THEN {b}.vl ELSE {b}.vr END"
+
+
 # The flagship: mean-filled a (training mean).
 LINEAR_STACK = (
     "fm AS (SELECT avg(a) AS ma FROM tr),"
@@ -342,6 +386,22 @@ SELECT te.k1, te.k2, te.season, round(te.y, 4) AS y,
     AS p_line_abc
 FROM te CROSS JOIN fm CROSS JOIN beta"""
     )
+    q["boosted_unfilled"] = with_obs(
+        "edge_rows AS (SELECT * FROM tr),\n" + stumps_sql("", "tr")
+        + f" SELECT r.k1, r.k2, {r('r.y', R4)} AS y, round(m + {stump_value('b1')} + {stump_value('b2')}, 4) AS prediction"
+        + " FROM te r CROSS JOIN s0 CROSS JOIN b1 CROSS JOIN b2"
+    )
+    trf = "trf AS (SELECT k1, k2, fold, y, coalesce(a, m_a) AS a, coalesce(b, m_b) AS b, coalesce(c, m_c) AS c FROM tr CROSS JOIN gm)"
+    folds = [f"f{h}_rows AS (SELECT * FROM trf WHERE fold <> {h}),\nf{h}_edge_rows AS (SELECT * FROM trf),\n" + stumps_sql(f"f{h}_", f"f{h}_rows") for h in range(3)]
+    q["boosted_out_of_fold"] = with_obs(
+        _mean_fills(("a", "b", "c")) + f", {trf},\n" + ",\n".join(folds)
+        + " "
+        + " UNION ALL ".join(
+            f"SELECT r.k1, r.k2, r.fold, {r('r.y', R4)} AS y, round(s.m + {stump_value('b1')} + {stump_value('b2')}, 4) AS prediction "
+            f"FROM trf r CROSS JOIN f{h}_s0 s CROSS JOIN f{h}_b1 b1 CROSS JOIN f{h}_b2 b2 WHERE r.fold = {h}"
+            for h in range(3)
+        )
+    )
     gaps = [("a0", "b0"), ("a0", "c0"), ("b0", "c0")]
     q["temperature_gap_rows"] = with_obs(
         "x AS (SELECT 1) SELECT k1, k2, season, "

@@ -31,7 +31,8 @@ from soilcast.operators.impute import (
     keep_missing,
     normalise_missing,
 )
-from soilcast.operators.models import LinearBase, boosted_base
+from soilcast.operators.boosting import BoostConfig
+from soilcast.operators.models import LinearBase
 from soilcast.operators.scoring import gap_columns, leaderboard, regression_metrics, temperature_gap
 from soilcast.operators.stack import fit_per_season, stack_weights
 from soilcast.plans import flows
@@ -214,31 +215,32 @@ def q_assign_fold(spark, sf):
 
 # -- models ----------------------------------------------------------------------------------------
 
-TREE_FEATURES = ["a", "b", "c", "is_winter", "is_spring", "is_summer", "is_autumn"]
+def _boosted(config):
+    def q(spark, sf):
+        pred = flows.boosted(spark, sf, flows.tree_configs((config,)), "mean")
+        return pred.select("k1", "k2", "season", "y", F.col(f"p_gbt_{config}").alias("prediction"))
 
+    return q
 
-def _mean_filled(spark, sf):
-    obs = prepared(spark, sf)
-    train, test = train_test(obs)
-    fill = fit_mean(train, ["a", "b", "c"])
-    return encode_season(fill.transform(train)), encode_season(fill.transform(test))
 
+# Fixed values (ours): two trees of one split each on the finest grid, which SQL can follow.
+STUMPS = BoostConfig(rounds=2, depth=1, step=0.5, bins=256)
 
-def _boosted(config):
-    def q(spark, sf):
-        train, test = _mean_filled(spark, sf)
-        base = boosted_base(config, TREE_FEATURES)
-        pred = base.fit_one(train).transform(test).drop(base.vec)
-        return pred.select("k1", "k2", "season", "y", F.col(base.col).alias("prediction"))
 
-    return q
+def q_boosted_unfilled(spark, sf):
+    """Stumps on features with gaps: missing values go to the better side of each split."""
+    pred = flows.boosted(spark, sf, {"stumps": STUMPS}, "unfilled", flows.FEATURES)
+    return rounded(pred.select("k1", "k2", "y", F.col("p_gbt_stumps").alias("prediction")), 4)
+
+
+def q_boosted_out_of_fold(spark, sf):
+    """Out-of-fold predictions of stumps on mean-filled features, the fits of all folds grown together."""
+    oof = flows.boosted_out_of_fold(spark, sf, {"stumps": STUMPS}, "mean", flows.FEATURES)
+    return rounded(oof.select("k1", "k2", "fold", "y", F.col("p_gbt_stumps").alias("prediction")), 4)
 
 
 def q_per_season(spark, sf):
-    train, test = _mean_filled(spark, sf)
-    base = boosted_base("A", ["a", "b", "c"])
-    pred = fit_per_season(train, test, base)
-    return pred.select("k1", "k2", "season", "y", F.col(base.col).alias("prediction"))
+    return flows.boosted_per_season(spark, sf).select("k1", "k2", "season", "y", F.col("p_gbt_A").alias("prediction"))
 
 
 def q_per_season_line(spark, sf):
@@ -305,7 +307,7 @@ def q_tree_stack(spark, sf):
 
 
 def q_hybrid_grid(spark, sf):
-    """Tree configs and their stacked hybrid under every treatment, ranked (48 fits and 12 refits)."""
+    """Tree configs and their stacked hybrid under every treatment, ranked (48 fits, grown together)."""
     lb = leaderboard(regression_metrics(flows.hybrid_grid(spark, sf)))
     return rounded(lb.withColumn("rk", F.col("rk").cast("long")))
 
@@ -353,6 +355,8 @@ def queries() -> dict[str, Query]:
         "boosted_a": _boosted("A"),
         "boosted_b": _boosted("B"),
         "boosted_c": _boosted("C"),
+        "boosted_unfilled": q_boosted_unfilled,
+        "boosted_out_of_fold": q_boosted_out_of_fold,
         "per_season": q_per_season,
         "per_season_line": q_per_season_line,
         "linear_abc": q_linear_abc,

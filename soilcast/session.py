@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -93,3 +95,20 @@ def fit_parallelism(spark: SparkSession, wanted: int) -> int:
     data of which several copies fit the executors.
     """
     return max(1, min(wanted, int(spark.conf.get("soilcast.fit.parallelism", "1"))))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers of this application the package, once, so it need not be installed on executors."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    bundle = Path(tempfile.mkdtemp()) / f"{package.name}-core.zip"  # the driver serves it to all executors
+    with zipfile.ZipFile(bundle, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(bundle))
+    _SHIPPED.add(sc.applicationId)

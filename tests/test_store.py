@@ -52,13 +52,6 @@ def test_boosted_meta_learner(spark, rows, tmp_path):
     same(fit.transform(full), load(spark, str(tmp_path / "meta")).transform(full))
 
 
-def test_hybrid_under_every_treatment(spark):
-    long = flows.hybrid_grid(spark, "/root/testdata/sf0.001", configs=("A",), maxIter=2)
-    got = {(r.scenario, r.model): r.n for r in long.groupBy("scenario", "model").agg(F.count("prediction").alias("n")).collect()}
-    assert {s for s, _ in got} == set(flows.TREATMENTS) and {m for _, m in got} == {"gbt_A", "stack"}
-    assert got["mean", "stack"] == got["iterative", "stack"] == got["keep_missing", "stack"] > got["complete_cases", "stack"] > 0
-
-
 def test_registered_hybrid_uses_the_whole_configs(spark, monkeypatch):
     from soilcast.plans import queries
 
