@@ -95,31 +95,56 @@ class Aligner:
             got = self.split.pieces(t)
             lists.append(None if got is None else [p for part in got for p in part])
         new = list({p for pieces in lists if pieces for p in pieces if p not in cache})
+        # Words with a space before them are encoded as one text: no pre-token spans a space inside it.
+        words = [p for p in new if p[0] == " " and p[1:].isalpha() and p.count(" ") == 1]
         long: dict[str, bytes] = {}
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for p, e in zip(some, self.a.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (cache if len(p) <= CACHED_CHARS else long)[p] = np.array(e.ids, "<u4").tobytes()
+        for k in range(0, len(words), 4096):
+            some = words[k : k + 4096]
+            for p, ids in zip(some, self._together(some), strict=True):
+                (cache if len(p) <= CACHED_CHARS else long)[p] = ids
+        rest = [p for p in new if p not in cache and p not in long]
+        for k in range(0, len(rest), 4096):
+            some = rest[k : k + 4096]
+            for p, ids in zip(some, self._apart(some), strict=True):
+                (cache if len(p) <= CACHED_CHARS else long)[p] = ids
         out = []
         for t, pieces in zip(texts, lists, strict=True):
             if pieces is None:
-                out.append(np.array(self.a.encode(t, add_special_tokens=False).ids, "<u4"))
+                out.append(np.frombuffer(self._apart([t])[0], "<u4"))
             else:
                 raw = [cache[p] if p in cache else long[p] for p in pieces] if long else map(cache.__getitem__, pieces)
                 out.append(np.frombuffer(b"".join(raw), "<u4"))
         return out
 
+    def _apart(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece; none where they do not spell it, so that its text has no tokens."""
+        got = [np.array(e.ids, "<u4") for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        spelt = [b"".join(map(self.a_bytes.__getitem__, x.tolist())) == p.encode() for p, x in zip(pieces, got, strict=True)]
+        return [x.tobytes() if ok else b"" for x, ok in zip(got, spelt, strict=True)]
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece from one encoding of all, cut where the pieces end; piece by piece where it cannot be cut so."""
+        ids = np.array(self.a.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        token_ends = np.cumsum(self.a_len[ids])
+        at = np.searchsorted(token_ends, ends)
+        if not len(ids) or token_ends[-1] != ends[-1] or (token_ends[at] != ends).any():
+            return self._apart(pieces)
+        raw, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
+        return [raw[s:e] for s, e in zip([0, *cuts], cuts, strict=False)]
+
     def tokens(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """A and B ids of each text; none where it is empty or where either side's bytes are not those of the text."""
         none = np.zeros(0, np.int64)
         some = [t for t in texts if t]
+        # A's bytes are those of its pre-tokens, which make up the text; B's may differ.
         a_got, b_got = iter(self.a_ids([f" {t}" for t in some])), iter(self.b.encode(some, num_threads=1) if some else ())
         a_all, b_all = [], []
         for t in texts:
             a, b = none, none
             if t:
                 a, b_list, whole = next(a_got), next(b_got), f" {t}".encode()
-                if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole == b"".join(map(self.b_bytes.__getitem__, b_list)):
+                if int(self.a_len[a].sum()) == len(whole) and whole == b"".join(map(self.b_bytes.__getitem__, b_list)):
                     a, b = a.astype(np.int64), np.array(b_list, np.int64)
                 else:
                     a = none

@@ -95,7 +95,7 @@ class Lexicon:
     def odds(self, term: str, less: tuple[int, int] = (0, 0)) -> float:
         """Log odds one standard error below the estimate, with ``less`` texts taken out; 0 where they do not count."""
         a, b = self.counts[term]
-        a, b = a - less[0] + 0.5, b - less[1] + 0.5
+        a, b = max(a - less[0], 0) + 0.5, max(b - less[1], 0) + 0.5
         w = math.log(a / (self.toxic - less[0] + 1)) - math.log(b / (self.clean - less[1] + 1)) - math.sqrt(1 / a + 1 / b)
         return w if w > LEAST_ODDS else 0.0
 

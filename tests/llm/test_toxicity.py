@@ -23,11 +23,11 @@ def test_features():
 
 
 def test_lexicon_is_learned_and_takes_a_text_out_again(spark):
-    rows = [(k, f"grobulon wort{k} ende", 1) for k in range(12)] + [(100 + k, f"wort{k} ruhig ende", 0) for k in range(40)]
+    rows = [(k, f"grobulon wort{k} ende", 1) for k in range(40)] + [(100 + k, f"wort{k} ruhig ende", 0) for k in range(200)]
     df = spark.createDataFrame(rows, "h long, text string, toxic int")
     lex = toxicity.learn_lexicon(df)
-    assert lex.counts["=grobulon"] == (12, 0) and "^grob" in lex.counts and "=ende" not in lex.counts
-    assert (lex.toxic, lex.clean) == (12, 40) and len(toxicity.learn_lexicon(df, entries=2).counts) == 2
+    assert lex.counts["=grobulon"] == (40, 0) and "^grob" in lex.counts and "=ende" not in lex.counts
+    assert (lex.toxic, lex.clean) == (40, 200) and len(toxicity.learn_lexicon(df, entries=2).counts) == 2
     whole, without, other = lex.best("grobulon")
     assert whole > without > 0 and lex.best("ruhig") == (0.0, 0.0, 0.0) and other > 0
     once = toxicity.Lexicon({"=x": (1, 0)}, 5, 50)
