@@ -34,7 +34,7 @@ def test_lexicon_is_learned_and_takes_a_text_out_again(spark):
     assert once.best("x")[1] == 0.0  # nothing is left of an entry that only this text has taught
     marks = toxicity.Marks(lex)
     _, learned = toxicity.text_features("Grobulon, ruhig", marks)
-    assert learned[0][1] > learned[1][1] > 0 and learned[0][3] == 1.0
+    assert learned[0][1] >= learned[1][1] > 0 and learned[0][3] == 1.0
 
 
 def test_held_out_accuracy(spark):
