@@ -127,10 +127,60 @@ class LinearBase:
                 fits[target] = self._from_moments(*_merged(merged))
         return LinearFit(self, fold, fits)
 
-    def fit_groups(self, train: DataFrame, group: str) -> LinearFit:
-        """One fit per value of a bounded grouping column (e.g. season), in one aggregation."""
-        rows = self._usable(train).groupBy(group).agg(*self._aggs()).collect()
-        return LinearFit(self, group, {r[group]: self._params(r) for r in rows})
+    def fit_groups(self, train: DataFrame, group: str) -> "GroupLines":
+        """One fit per value of ``group`` (any number of them; NULL is one of its own): moments by group in one aggregation, the
+        normal equations solved in the plan, coefficients as a table."""
+        m, xs = len(self.features), self.features
+        rows = self._usable(train).groupBy(group).agg(*self._aggs())
+        cell = lambda i, j: F.col(f"c{min(i, j)}_{max(i, j)}")
+        system = F.array(*[F.array(*[cell(i, j) for j in range(m)], F.col(f"cy{i}")) for i in range(m)]) if m else F.array().cast("array<array<double>>")
+        solved = solve_in_plan(rows.withColumn("_system", system), "_system", m)
+        slopes = F.transform("_system", lambda r: r[m])
+        start = F.aggregate(F.zip_with(slopes, F.array(*[F.col(f"mx{i}") for i in range(m)]), lambda b, x: b * x), F.col("my"), lambda s, v: s - v) if m else F.col("my")
+        table = solved.select(group, start.alias("_b0"), *[slopes[i].alias(f"_b{i + 1}") for i in range(m)])
+        return GroupLines(self, group, materialize(table, "group_lines"))
+
+
+#: A feature whose remaining variance is below this share of its own is a combination of the features before.
+_COLLINEAR = 1e-10
+
+
+def solve_in_plan(df: DataFrame, system: str, m: int) -> DataFrame:
+    """``df`` with the linear system in the column ``system`` (m rows of m coefficients and a right side; symmetric, positive
+    semidefinite) eliminated, so that the last entry of each row is the solution. An unknown that depends on those before it is 0."""
+    scale = "_scale"
+    out = df.withColumn(scale, F.transform(system, lambda r, i: F.get(r, i)))
+    for k in range(m):
+        pivot = F.col(system)[k]
+        lead = pivot[k]
+        dead = (F.abs(lead) <= F.lit(_COLLINEAR) * F.abs(F.col(scale)[k])) | lead.isNull()
+
+        def step(r, i):  # called at once, within this turn of the loop
+            gone = F.transform(r, lambda x, j: F.when((j == k) | (i == k), F.lit(0.0)).otherwise(x))
+            own = F.transform(r, lambda x: x / lead)
+            other = F.zip_with(r, pivot, lambda x, p: x - r[k] * p / lead)
+            return F.when(dead, gone).when(i == k, own).otherwise(other)
+
+        out = out.withColumn(system, F.transform(system, step))
+    return out.drop(scale)
+
+
+@dataclass
+class GroupLines:
+    """Lines by group: ``lines`` holds the group, ``_b0`` and a slope for each feature. A row of a group without a fit has NULL."""
+
+    base: "LinearBase"
+    fold: str  # the grouping column
+    lines: DataFrame
+
+    def oof(self, df: DataFrame) -> DataFrame:
+        val = F.col("_b0")
+        for i, x in enumerate(self.base.features):
+            val = val + F.col(f"_b{i + 1}") * F.col(x)
+        rows = join_fitted(df, self.lines, [self.fold])
+        return rows.withColumn(self.base.col, val).drop("_b0", *[f"_b{i + 1}" for i in range(len(self.base.features))])
+
+    predict = oof
 
 
 # ---------------------------------------------------------------------------------------------

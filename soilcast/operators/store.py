@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from soilcast.operators.boosting import BoostedFits, BoostedModel, _Named
 from soilcast.operators.impute import IterativeFill, MeanFill
-from soilcast.operators.models import GroupMeanBase, GroupMeanFit, LinearBase, LinearFit, MLBase, MLFit
+from soilcast.operators.models import GroupLines, GroupMeanBase, GroupMeanFit, LinearBase, LinearFit, MLBase, MLFit
 from soilcast.operators.stack import LeastSquaresModel, SeasonFit, StackModel
 
 
@@ -27,6 +27,9 @@ def save(spark: SparkSession, fit, path: str) -> None:
         facts = {"cols": fit.cols, "means": fit.means, "steps": fit.steps, "empty": fit.empty}
     elif isinstance(fit, LinearFit):
         facts = {"name": fit.base.name, "features": fit.base.features, "y": fit.base.y, "fold": fit.fold, "params": list(fit.params.items())}
+    elif isinstance(fit, GroupLines):
+        facts = {"name": fit.base.name, "features": fit.base.features, "y": fit.base.y, "group": fit.fold}
+        fit.lines.write.parquet(f"{path}/lines")
     elif isinstance(fit, LeastSquaresModel):
         facts = {"p_cols": fit.p_cols, "weights": fit.weights, "intercept": fit.intercept, "prediction": fit.prediction}
     elif isinstance(fit, GroupMeanFit):
@@ -70,6 +73,8 @@ def load(spark: SparkSession, path: str):
         return IterativeFill(f["cols"], f["means"], [tuple(s) for s in f["steps"]], f["empty"])
     if kind == "LinearFit":
         return LinearFit(LinearBase(f["name"], f["features"], f["y"]), f["fold"], {g: tuple(v) for g, v in f["params"]})
+    if kind == "GroupLines":
+        return GroupLines(LinearBase(f["name"], f["features"], f["y"]), f["group"], table("lines"))
     if kind == "LeastSquaresModel":
         return LeastSquaresModel(**f)
     if kind == "GroupMeanFit":

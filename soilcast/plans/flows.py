@@ -15,7 +15,7 @@ from soilcast.functions.season import SEASONS
 from soilcast.operators.features import assign_fold, encode_season, with_split
 from soilcast.operators.impute import complete_cases, fit_iterative, fit_mean, keep_missing
 from soilcast.operators.models import GroupMeanBase, LinearBase
-from soilcast.operators.scoring import leaderboard, on_common_rows, regression_metrics, to_long
+from soilcast.operators.scoring import leaderboard, on_common_rows, regression_metrics, to_long, treatment_mask
 from soilcast.operators.stack import fit_stack, out_of_fold, predict_stack
 from soilcast.session import fit_parallelism, materialize, shared_dir
 from soilcast.sources.observations import observations
@@ -84,6 +84,11 @@ def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common
     ``common_rows`` scores every treatment on the test rows all of them predict.
     """
     obs = prepared(spark, sf_dir)
+    keys = list(KEYS)
+    if common_rows:  # complete cases are the one treatment that leaves rows out
+        needs = {"mean": [], "mean_by_season": [], "iterative": [], "complete_cases": GRID_COLS}
+        obs = obs.withColumn("_mask", treatment_mask(needs))
+        keys.append("_mask")
     train, test = train_test(obs)
     treated = {
         "mean": (fit_mean(train, GRID_COLS),),
@@ -100,7 +105,7 @@ def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common
         bases = linear_bases()
         oof, fitted = out_of_fold(trf, "fold", bases, FOLDS)
         meta = fit_stack(oof, [b.col for b in bases], "y")
-        return to_long(predict_stack(tef, fitted, meta), KEYS, LINEAR_MODELS, scen)
+        return to_long(predict_stack(tef, fitted, meta), keys, LINEAR_MODELS, scen)
 
     # Treatments are independent; one limit holds for the whole flow.
     with ThreadPoolExecutor(max_workers=fit_parallelism(spark, len(treated))) as pool:
@@ -109,7 +114,7 @@ def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common
     for x in longs[1:]:
         long = long.unionByName(x)
     if common_rows:
-        long = on_common_rows(long, KEYS)
+        long = on_common_rows(long, "_mask", len(treated))
     return leaderboard(regression_metrics(long), k=k)
 
 

@@ -385,6 +385,19 @@ SELECT te.k1, te.k2, te.season, round(te.y, 4) AS y,
   round((my - b1 * m1 - b2 * m2 - b3 * m3) + b1 * coalesce(te.a, ma) + b2 * coalesce(te.b, mb) + b3 * coalesce(te.c, mc), 4)
     AS p_line_abc
 FROM te CROSS JOIN fm CROSS JOIN beta"""
+    )
+    q["commit_results"] = with_obs(
+        f"x AS (SELECT 1) SELECT k1, k2, 'first' AS scenario, {r('a0')} AS value FROM obs UNION ALL SELECT k1, k2, 'second', {r('c0')} FROM obs"
+    )
+    q["season_target_encoding"] = with_obs(
+        """pr AS (SELECT avg(y) AS m FROM tr),
+sm AS (SELECT season, sum(y) AS s, count(*) AS c FROM tr GROUP BY season)
+SELECT k1, k2, season, split,
+       round((coalesce(sum(y) OVER w, 0e0) + m) / (coalesce(count(y) OVER w, 0) + 1e0), 6) AS season_target
+FROM tr CROSS JOIN pr
+WINDOW w AS (PARTITION BY season ORDER BY md5(concat(k1, '-', k2)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+UNION ALL SELECT te.k1, te.k2, te.season, te.split, round((coalesce(sm.s, 0e0) + pr.m) / (coalesce(sm.c, 0) + 1e0), 6)
+FROM te CROSS JOIN pr LEFT JOIN sm ON sm.season = te.season"""
     )
     q["boosted_unfilled"] = with_obs(
         "edge_rows AS (SELECT * FROM tr),\n" + stumps_sql("", "tr")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from soilcast.operators import eda
+from soilcast.operators.encoding import ordered_target_encoding
 from soilcast.operators.features import (
     assemble_features,
     assign_fold,
@@ -39,7 +40,7 @@ from soilcast.plans import flows
 from soilcast.plans.flows import TRUTH, prepared, train_test
 from soilcast.session import shared_dir
 from soilcast.sources.observations import LINEITEM_SCHEMA, load_observations, read_checked
-from soilcast.sources.sinks import write_results
+from soilcast.sources.sinks import commit_results, read_results, write_results
 
 Query = Callable[[SparkSession, str], DataFrame]
 PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]
@@ -77,6 +78,16 @@ def q_write_results(spark, sf):
     return spark.read.parquet(path)
 
 
+def q_commit_results(spark, sf):
+    """Two scenarios committed, one of them again with other rows, and read back."""
+    obs = _obs(spark, sf)
+    path = f"{shared_dir(spark)}/results/committed-{uuid.uuid4().hex}"
+    rows = [rounded(obs.select("k1", "k2", F.lit(s).alias("scenario"), F.col(c).alias("value"))) for s, c in (("first", "a0"), ("second", "b0"))]
+    commit_results(rows[0].unionByName(rows[1]), path)
+    commit_results(rounded(obs.select("k1", "k2", F.lit("second").alias("scenario"), F.col("c0").alias("value"))), path)
+    return read_results(spark, path, rows[0].schema)
+
+
 def q_assign_season(spark, sf):
     schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_orderdate", T.TimestampNTZType())])
     orders = read_checked(spark, f"{sf}/orders.parquet", schema)
@@ -194,6 +205,14 @@ def q_encode_season(spark, sf):
     return out.select("k1", "k2", "season", "is_winter", "is_spring", "is_summer", "is_autumn")
 
 
+def q_season_target_encoding(spark, sf):
+    """Training rows with the season's mean target over the rows before in hash order, test rows with that over all training rows."""
+    train, test = train_test(prepared(spark, sf))
+    encoded, fit = ordered_target_encoding(train, "season", "y", flows.KEYS)
+    cols = ["k1", "k2", "season", "split", "season_target"]
+    return rounded(encoded.select(*cols).unionByName(fit.transform(test).select(*cols)))
+
+
 def q_assemble_features(spark, sf):
     obs = prepared(spark, sf)
     train, _ = train_test(obs)
@@ -331,6 +350,7 @@ def queries() -> dict[str, Query]:
         "load_observations": q_load_observations,
         "observations": q_observations,
         "write_results": q_write_results,
+        "commit_results": q_commit_results,
         "assign_season": q_assign_season,
         "select_season": q_select_season,
         "normalise_missing": q_normalise_missing,
@@ -349,6 +369,7 @@ def queries() -> dict[str, Query]:
         "imputation_error": q_imputation_error,
         "imputation_error_all": q_imputation_error_all,
         "encode_season": q_encode_season,
+        "season_target_encoding": q_season_target_encoding,
         "assemble_features": q_assemble_features,
         "split_train_test": q_split_train_test,
         "assign_fold": q_assign_fold,
