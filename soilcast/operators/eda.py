@@ -7,12 +7,11 @@ map side, so a hot group costs one row per task in the shuffle) and turned into
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from soilcast.functions.numeric import nan_to_null
+from soilcast.operators.crossprod import pair_moments
 from soilcast.operators.joins import join_fitted
 from soilcast.session import materialize
 
@@ -159,17 +158,11 @@ def histogram(df: DataFrame, col: str, width: float, by: list[str] = ("season",)
 
 
 def correlations(df: DataFrame, cols: list[str], by: list[str] = ("season",)) -> DataFrame:
-    """by…, x, y, n, r: Pearson r of every pair on rows where both are present, all pairs in one pass."""
+    """by…, x, y, n, r: Pearson r of every pair on rows where both are present, all pairs in one pass over the rows (after one for the
+    means), as blocks of cross products. r is NULL where a column is constant on these rows, and for fewer than two rows."""
     by = list(by)
-    pairs = list(combinations(cols, 2))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = _present(df, a), _present(df, b)
-        both = x.isNotNull() & y.isNotNull()
-        aggs += [F.count(F.when(both, F.lit(1))).alias(f"_n{i}"), F.corr(x, y).alias(f"_r{i}")]
-    agg = df.groupBy(*by).agg(*aggs)
-    recs = [
-        F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"_n{i}").alias("n"), F.col(f"_r{i}").alias("r"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return _long(agg, by, recs)
+    sums = pair_moments(df, {c: _present(df, c) for c in cols}, by)
+    names = F.array(*[F.lit(c) for c in cols])
+    r = F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy"))
+    r = F.when((F.col("n") > 1) & (F.col("sxx") > 0) & (F.col("syy") > 0), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return sums.select(*by, names[F.col("x")].alias("x"), names[F.col("y")].alias("y"), "n", r.alias("r"))
