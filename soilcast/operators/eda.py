@@ -75,6 +75,52 @@ def _melt(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     return df.select(*by, F.inline(F.array(*recs))).filter(F.col("v").isNotNull())
 
 
+#: Accuracy of the sketch behind ``select``, and how far brackets reach to both sides of a wanted share.
+_SKETCH = 20_000
+_REACH = 3.0 / _SKETCH
+
+
+def _selected(df: DataFrame, cols: list[str], probs: list[float], by: list[str]) -> DataFrame | None:
+    """Exact quantiles by selection, or None if a wanted place fell outside its bracket."""
+    keys = [*by, "column"]
+    shares = sorted({float(p) for p in probs})
+    ends = [min(max(p + d, 0.0), 1.0) for d in (-_REACH, _REACH) for p in shares]
+    aggs = []
+    for i, c in enumerate(cols):
+        v = _present(df, c).cast("double")
+        aggs += [F.percentile_approx(v, ends, _SKETCH).alias(f"_q{i}"), F.count(v).alias(f"_n{i}"), F.min(v).alias(f"_lo{i}"), F.max(v).alias(f"_hi{i}")]
+    m = len(shares)
+    recs = []
+    for i, c in enumerate(cols):
+        # Brackets at the ends of the data reach to its ends.
+        lo = [F.col(f"_lo{i}") if p <= 2 * _REACH else F.col(f"_q{i}")[j] for j, p in enumerate(shares)]
+        hi = [F.col(f"_hi{i}") if p >= 1 - 2 * _REACH else F.col(f"_q{i}")[m + j] for j, p in enumerate(shares)]
+        recs.append(F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("_n"), F.array(*lo).alias("_los"), F.array(*hi).alias("_his")))
+    brackets = _long(df.groupBy(*by).agg(*aggs), by, recs).where(F.col("_n") > 0)
+    brackets = materialize(brackets, "quantile_brackets")  # groups × columns rows
+    rows = join_fitted(_melt(df, cols, by), brackets.select(*keys, "_los", "_his"), keys, "inner")
+    # Brackets are in order, so the last one that begins at or below a value is the one that can hold it.
+    below = F.size(F.filter("_los", lambda x: x <= F.col("v")))
+    rows = rows.select(*keys, "v", below.alias("_at"), F.get(F.col("_his"), below - 1).alias("_to"))
+    inside = F.when(F.col("v") <= F.col("_to"), F.col("v")).alias("v")
+    counted = materialize(rows.select(*keys, "_at", inside).groupBy(*keys, "_at", "v").agg(F.count(F.lit(1)).alias("cnt")), "quantile_counts")
+    steps = counted.groupBy(*keys, "_at").agg(F.sum("cnt").alias("_sub"))
+    before = Window.partitionBy(*keys).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.select(*keys, "_at", F.coalesce(F.sum("_sub").over(before), F.lit(0)).alias("_off"))
+    own = Window.partitionBy(*keys, "_at").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.where(F.col("v").isNotNull()).withColumn("_run", F.sum("cnt").over(own))
+    ranked = join_fitted(ranked, steps, [*keys, "_at"], "inner").select(*keys, "v", "cnt", (F.col("_off") + F.col("_run") - F.col("cnt")).alias("_start"))
+    h = (F.col("_n") - 1) * F.col("prob")
+    wanted = brackets.select(*keys, "_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob"))
+    wanted = wanted.select(*keys, "prob", (h - F.floor(h)).alias("_frac"), F.explode(F.array_distinct(F.array(F.floor(h), F.ceil(h)))).alias("_pos"))
+    met = join_fitted(ranked, wanted, keys, "inner").where((F.col("_start") <= F.col("_pos")) & (F.col("_pos") < F.col("_start") + F.col("cnt")))
+    met = materialize(met.select(*keys, "prob", "_frac", "_pos", "v"), "quantile_places")
+    if met.count() != wanted.count():
+        return None
+    picked = met.groupBy(*keys, "prob").agg(F.min("v").alias("_vlo"), F.max("v").alias("_vhi"), F.max("_frac").alias("_frac"))
+    return picked.select(*keys, "prob", (F.col("_vlo") + F.col("_frac") * (F.col("_vhi") - F.col("_vlo"))).alias("quantile"))
+
+
 def quantile_summary(
     df: DataFrame,
     cols: list[str],
@@ -82,15 +128,27 @@ def quantile_summary(
     by: list[str] = ("season",),
     accuracy: int | None = None,
     partitions: int | None = None,
+    method: str = "select",
 ) -> DataFrame:
     """by…, column, prob, quantile.
 
-    Exact by default, with linear interpolation between order statistics (h = (n-1)·p). The exact
-    form never gathers a group in one task: distinct values are counted, range-partitioned over
-    ``partitions`` tasks (a group may span many), ranked inside each partition, and offset by the
-    counts of the partitions before it. ``accuracy`` switches to ``percentile_approx``.
+    Exact by default, with linear interpolation between order statistics (h = (n-1)·p). Two methods that give the same:
+
+    * ``select``, for a few quantiles: a sketch brackets each wanted value, one pass counts what lies below the brackets and keeps only
+      the values inside, and the counts tell whether each wanted place was met (if one was not, ``ranges`` answers). No row-sized
+      exchange.
+    * ``ranges``, for many: distinct values are counted, range-partitioned over ``partitions`` tasks (a group may span
+      many), ranked inside each partition that holds a wanted place, and offset by the counts of the partitions before it.
+
+    ``accuracy`` switches to ``percentile_approx``.
     """
     by = list(by)
+    if method not in ("select", "ranges"):
+        raise ValueError(f"quantile_summary: unknown method {method!r}")
+    if accuracy is None and method == "select" and partitions is None and cols and probs:
+        found = _selected(df, cols, probs, by)
+        if found is not None:
+            return found
     long = _melt(df, cols, by)
     keys = [*by, "column"]
     if accuracy is not None:

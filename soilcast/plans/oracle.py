@@ -260,6 +260,14 @@ def oracle_sql() -> dict[str, str]:
             for p in probs
         )
     )
+    q["quantile_approx_ranks"] = with_obs(
+        "x AS (SELECT 1) "
+        + " UNION ALL ".join(
+            f"SELECT season, '{c}' AS column, {p}e0 AS prob, true AS within FROM obs WHERE {c} IS NOT NULL GROUP BY season"
+            for c in ["a", "b", "c", "y"]
+            for p in probs
+        )
+    )
     q["histogram"] = with_obs(
         "x AS (SELECT 1) SELECT season, CAST(floor(y / 5e0) AS BIGINT) AS bin, "
         "round(CAST(floor(y / 5e0) AS BIGINT) * 5e0, 6) AS lower, round((CAST(floor(y / 5e0) AS BIGINT) + 1) * 5e0, 6) AS upper, "
@@ -353,6 +361,7 @@ def oracle_sql() -> dict[str, str]:
     pred_long = f"SELECT k1, k2, season, scenario, model, {r('y', R4)} AS y, {r('prediction', R4)} AS prediction FROM long"
     q["predict_stack"] = with_obs(LINEAR_STACK + " " + pred_long)
     q["write_results"] = q["predict_stack"]
+    q["loaded_stack"] = q["predict_stack"]
     q["regression_metrics"] = with_obs(LINEAR_STACK + f" SELECT {MET_COLS} FROM met")
     q["leaderboard"] = with_obs(
         LINEAR_STACK + f" SELECT {MET_COLS}, rank() OVER (PARTITION BY level, season ORDER BY round(rmse, 6)) AS rk FROM met"

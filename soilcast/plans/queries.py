@@ -34,8 +34,9 @@ from soilcast.operators.impute import (
 )
 from soilcast.operators.boosting import BoostConfig
 from soilcast.operators.models import LinearBase
-from soilcast.operators.scoring import gap_columns, leaderboard, regression_metrics, temperature_gap
-from soilcast.operators.stack import fit_per_season, stack_weights
+from soilcast.operators.scoring import gap_columns, leaderboard, regression_metrics, temperature_gap, to_long
+from soilcast.operators.stack import StackModel, fit_per_season, fit_stack, out_of_fold, stack_weights
+from soilcast.operators.store import load, save
 from soilcast.plans import flows
 from soilcast.plans.flows import TRUTH, prepared, train_test
 from soilcast.session import shared_dir
@@ -124,6 +125,35 @@ def q_quantile_summary_approx(spark, sf):
     return rounded(eda.quantile_summary(_obs(spark, sf), EDA_COLS, PROBS, by=["season"], accuracy=10000))
 
 
+def q_quantile_approx_ranks(spark, sf):
+    """Whether each approximate quantile stands where it should: within n / accuracy ranks of its share."""
+    obs, accuracy = _obs(spark, sf), 1000
+    approx = eda.quantile_summary(obs, EDA_COLS, PROBS, by=["season"], accuracy=accuracy)
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in EDA_COLS]))
+    long = obs.select("season", cells).where("v IS NOT NULL").groupBy("season", "column", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    seen = approx.join(long, ["season", "column"]).groupBy("season", "column", "prob").agg(
+        F.sum("cnt").alias("n"),
+        F.sum(F.when(F.col("v") < F.col("quantile"), F.col("cnt")).otherwise(0)).alias("less"),
+        F.sum(F.when(F.col("v") <= F.col("quantile"), F.col("cnt")).otherwise(0)).alias("upto"),
+    )
+    off = F.col("n") / accuracy + 1
+    good = (F.col("less") <= F.col("prob") * F.col("n") + off) & (F.col("upto") >= F.col("prob") * F.col("n") - off)
+    return seen.select("season", "column", "prob", good.alias("within"))
+
+
+def q_loaded_stack(spark, sf):
+    """The linear stack saved, loaded and applied to test rows: what another session would predict."""
+    train, test = train_test(prepared(spark, sf))
+    fill = fit_mean(train, ["a"])
+    oof, fitted = out_of_fold(fill.transform(train), "fold", flows.linear_bases(), flows.FOLDS)
+    model = StackModel(fitted, fit_stack(oof, [f.base.col for f in fitted], "y"))
+    path = f"{shared_dir(spark)}/results/stack-{uuid.uuid4().hex}"
+    save(spark, fill, f"{path}/fill")
+    save(spark, model, f"{path}/stack")
+    pred = load(spark, f"{path}/stack").transform(load(spark, f"{path}/fill").transform(test))
+    return rounded(to_long(pred, flows.KEYS, flows.LINEAR_MODELS, "mean"), 4, ["y", "prediction"])
+
+
 def q_histogram(spark, sf):
     return rounded(eda.histogram(_obs(spark, sf), "y", 5.0, by=["season"]))
 
@@ -358,6 +388,7 @@ def queries() -> dict[str, Query]:
         "numeric_summary": q_numeric_summary,
         "quantile_summary": q_quantile_summary,
         "quantile_summary_approx": q_quantile_summary_approx,
+        "quantile_approx_ranks": q_quantile_approx_ranks,
         "histogram": q_histogram,
         "correlations": q_correlations,
         "impute_mean": q_impute_mean,
@@ -384,6 +415,7 @@ def queries() -> dict[str, Query]:
         "out_of_fold": q_out_of_fold,
         "fit_stack": q_fit_stack,
         "predict_stack": q_predict_stack,
+        "loaded_stack": q_loaded_stack,
         "regression_metrics": q_regression_metrics,
         "leaderboard": q_leaderboard,
         "temperature_gap": q_temperature_gap,

@@ -55,3 +55,29 @@ def test_ungrouped_eda(spark):
     assert s == {"a": 2.0}
     assert eda.histogram(df, "a", 1.0, by=[]).count() == 3
     assert eda.correlations(df, ["a", "b"], by=[]).first().n == 2
+
+
+def test_selection_and_ranges_agree_without_a_row_sized_exchange(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    rows = [(["x", "y", None][i % 3], float(v), None if i % 5 == 0 else float(round(v * 3))) for i, v in enumerate(rng.normal(size=3000))]
+    df = spark.createDataFrame(rows, "g string, a double, b double").repartition(6)
+    probs = [0.0, 0.01, 0.5, 0.731, 0.99, 1.0]
+    got = [
+        sorted((str(r.g), r.column, r.prob, round(r.quantile, 12)) for r in eda.quantile_summary(df, ["a", "b"], probs, ["g"], method=m).collect())
+        for m in ("select", "ranges")
+    ]
+    assert got[0] == got[1] and len(got[0]) == 3 * 2 * 6
+    for g in ("x", "y", None):
+        own = [r[1] for r in rows if r[0] == g]
+        want = dict(zip(probs, np.quantile(own, probs)))
+        assert all(abs(want[p] - q) < 1e-9 for s, c, p, q in got[0] if s == str(g) and c == "a")
+
+
+def test_selection_falls_back_when_a_bracket_misses(spark, monkeypatch):
+    monkeypatch.setattr(eda, "_SKETCH", 2)
+    monkeypatch.setattr(eda, "_REACH", 0.0)
+    df = spark.range(2000).selectExpr("'g' AS g", "CAST(id AS DOUBLE) AS a")
+    assert eda._selected(df, ["a"], [0.37], ["g"]) is None
+    assert eda.quantile_summary(df, ["a"], [0.37], ["g"]).first().quantile == 0.37 * 1999
