@@ -41,7 +41,6 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
-    spark.conf.set("soilcast.fit.parallelism", cpus)  # small data: copies of the training rows fit easily
     qs = queries()
     spark.range(1000).selectExpr("sum(id)").collect()  # session start-up, not timed
     times = {}

@@ -19,9 +19,3 @@ def nan_to_null(c: str | Column) -> Column:
     """NaN becomes NULL; other values, NULL included, pass through."""
     x = col(c)
     return F.when(~F.isnan(x), x)
-
-
-def is_missing(c: str | Column) -> Column:
-    """True for NULL or NaN."""
-    x = col(c)
-    return x.isNull() | F.isnan(x)

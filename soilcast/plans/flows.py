@@ -76,19 +76,15 @@ GRID_COLS = ["a", "b"]
 GRID_ROUNDS = 3
 
 
-def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common_rows: bool = False) -> DataFrame:
-    """One leaderboard over treatment × model × season (linear bases and their stack).
+#: The columns that each treatment of the grid needs whole: complete cases are the one that leaves rows out.
+GRID_NEEDS = {"mean": [], "mean_by_season": [], "iterative": [], "complete_cases": GRID_COLS}
 
-    Every treatment is fitted on training rows only. ``complete_cases`` scores fewer test rows
-    (those without a gap); the leaderboard carries ``n`` so the difference stays visible, and
-    ``common_rows`` scores every treatment on the test rows all of them predict.
-    """
-    obs = prepared(spark, sf_dir)
-    keys = list(KEYS)
-    if common_rows:  # complete cases are the one treatment that leaves rows out
-        needs = {"mean": [], "mean_by_season": [], "iterative": [], "complete_cases": GRID_COLS}
-        obs = obs.withColumn("_mask", treatment_mask(needs))
-        keys.append("_mask")
+
+def scenario_long(spark: SparkSession, sf_dir: str, obs: DataFrame | None = None) -> DataFrame:
+    """Long test predictions over treatment × model (linear bases and their stack), with ``_mask``, the treatments that can
+    score the row. Every treatment is fitted on training rows only."""
+    obs = obs if obs is not None else prepared(spark, sf_dir)
+    obs = obs.withColumn("_mask", treatment_mask(GRID_NEEDS))
     train, test = train_test(obs)
     treated = {
         "mean": (fit_mean(train, GRID_COLS),),
@@ -96,6 +92,7 @@ def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common
         "iterative": (fit_iterative(train, GRID_COLS, rounds=GRID_ROUNDS, method="patterns"),),
         "complete_cases": None,
     }
+
     def run(item):
         scen, fit = item
         if fit is None:
@@ -105,16 +102,21 @@ def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common
         bases = linear_bases()
         oof, fitted = out_of_fold(trf, "fold", bases, FOLDS)
         meta = fit_stack(oof, [b.col for b in bases], "y")
-        return to_long(predict_stack(tef, fitted, meta), keys, LINEAR_MODELS, scen)
+        return to_long(predict_stack(tef, fitted, meta), [*KEYS, "_mask"], LINEAR_MODELS, scen)
 
     # Treatments are independent; one limit holds for the whole flow.
     with ThreadPoolExecutor(max_workers=fit_parallelism(spark, len(treated))) as pool:
-        longs = list(pool.map(inheritable_thread_target(spark)(run), treated.items()))
-    long = longs[0]
-    for x in longs[1:]:
-        long = long.unionByName(x)
-    if common_rows:
-        long = on_common_rows(long, "_mask", len(treated))
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(spark)(run), treated.items()))
+
+
+def scenario_grid(spark: SparkSession, sf_dir: str, k: int | None = None, common_rows: bool = False) -> DataFrame:
+    """One leaderboard over treatment × model × season.
+
+    ``complete_cases`` scores fewer test rows (those without a gap); the leaderboard carries ``n`` so the difference
+    stays visible, and ``common_rows`` scores every treatment on the test rows all of them predict.
+    """
+    long = scenario_long(spark, sf_dir)
+    long = on_common_rows(long, "_mask", len(GRID_NEEDS)) if common_rows else long
     return leaderboard(regression_metrics(long), k=k)
 
 
@@ -188,10 +190,10 @@ def tree_stack(spark: SparkSession, sf_dir: str, configs=tuple(CONFIGS), treatme
 GRID_TREATMENTS = ("mean", "unfilled", "keep_missing", "iterative", "complete_cases")
 
 
-def tree_grid(spark: SparkSession, sf_dir: str, configs=tuple(CONFIGS), **overrides) -> DataFrame:
+def tree_grid(spark: SparkSession, sf_dir: str, configs=tuple(CONFIGS), obs: DataFrame | None = None, **overrides) -> DataFrame:
     """Boosted trees, fitted once each, under every treatment, gaps given as they are and by placeholder included. Long test
     predictions, scenario = treatment; all fits grow in the same passes."""
-    train, test = train_test(prepared(spark, sf_dir))
+    train, test = train_test(obs if obs is not None else prepared(spark, sf_dir))
     scen = {t: treated(train, test, t) for t in GRID_TREATMENTS}
     chosen = tree_configs(configs, **overrides)
     fits = fit_boosted_together({t: (trf, feats) for t, (trf, _, feats) in scen.items()}, chosen, "y", keys=KEYS)

@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from soilcast.operators import eda
 from soilcast.operators.impute import fit_iterative, fit_mean, imputation_error
-from soilcast.operators.scoring import leaderboard, regression_metrics, temperature_gap
+from soilcast.operators.scoring import leaderboard, on_common_rows, regression_metrics, temperature_gap
 from soilcast.plans import flows
+from soilcast.session import materialize
 from soilcast.sources.sinks import write_results
 
 EDA_COLS = ["a", "b", "c", "y"]
@@ -25,6 +26,8 @@ PROBS = [0.1, 0.25, 0.5, 0.75, 0.9]
 def report_tables(spark: SparkSession, sf_dir: str, trees: bool = True) -> dict[str, DataFrame]:
     obs = flows.prepared(spark, sf_dir)
     train, _ = flows.train_test(obs)
+    linear = materialize(flows.scenario_long(spark, sf_dir, obs), "report_linear")
+    common = on_common_rows(linear, "_mask", len(flows.GRID_NEEDS))
     tables = {
         "missing_profile": eda.missing_profile(obs, flows.FEATURES),
         "numeric_summary": eda.numeric_summary(obs, EDA_COLS),
@@ -42,14 +45,14 @@ def report_tables(spark: SparkSession, sf_dir: str, trees: bool = True) -> dict[
                 "iterative": fit_iterative(train, flows.FEATURES),
             },
         ),
-        "leaderboard_linear": flows.scenario_grid(spark, sf_dir),
-        "leaderboard_linear_common_rows": flows.scenario_grid(spark, sf_dir, common_rows=True),
+        "leaderboard_linear": leaderboard(regression_metrics(linear)),
+        "leaderboard_linear_common_rows": leaderboard(regression_metrics(common)),
     }
     if trees:
-        tree_pred = flows.tree_stack(spark, sf_dir)
-        tables["predictions_tree_stack"] = tree_pred
-        tables["leaderboard_tree_stack"] = leaderboard(regression_metrics(tree_pred))
-        tables["leaderboard_tree_treatments"] = leaderboard(regression_metrics(flows.tree_grid(spark, sf_dir)))
+        hybrid = materialize(flows.hybrid_grid(spark, sf_dir, obs=obs), "report_hybrid")
+        tables["predictions_hybrid"] = hybrid
+        tables["leaderboard_hybrid"] = leaderboard(regression_metrics(hybrid))
+        tables["leaderboard_tree_treatments"] = leaderboard(regression_metrics(flows.tree_grid(spark, sf_dir, obs=obs)))
     return tables
 
 
