@@ -55,10 +55,10 @@ PLAIN = [
 LEARNED = ["learned_density", "learned_most", "learned_rate", "learned_kinds"]
 FEATURES = PLAIN + LEARNED
 
-#: Labelled rows that teach, at most, chosen by hash of the id.
-LEARN_ROWS = 300_000
+#: Labelled ids that teach, about at most, chosen by hash.
+LEARN_ROWS = 30_000
 #: Of these the trees are fitted on so many different texts at most.
-FIT_ROWS = 200_000
+FIT_ROWS = 30_000
 #: Entries of the learned lexicon, and the toxic texts that an entry must occur in.
 ENTRIES = 8192
 LEAST_TEXTS = 3
@@ -70,13 +70,39 @@ LEAST_ODDS, STRONG = 0.7, 3.0
 CACHED = 150_000
 
 _WORD = re.compile(r"[^\W\d_]+")
-_MIXED = re.compile(r"[^\s]*[^\W\d_][0-9@$!€*.\-_]+[^\W\d_][^\s]*")
+_MIXED = re.compile(r"[^\W\d_][0-9@$!€*.\-_]+[^\W\d_]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?![^\W_])")
-_REPEAT = re.compile(r"(.)\1{2,}")
 _PLAIN = str.maketrans({**DISGUISES, **{c: "" for c in ".-_* "}})
 _INSULT_SET, _THREAT_SET, _YOU_SET = frozenset(INSULTS), frozenset(THREATS), frozenset(SECOND_PERSON)
 
 
+def _disguised(low: str) -> Iterator[str]:
+    """The parts between white space that hold letters with other marks between, and letters set apart."""
+    end = 0
+    for m in _MIXED.finditer(low):
+        if m.start() < end:  # the same part
+            continue
+        start, end = m.start(), m.end()
+        while start and not low[start - 1].isspace():
+            start -= 1
+        while end < len(low) and not low[end].isspace():
+            end += 1
+        yield low[start:end]
+    for m in _SPACED.finditer(low):
+        yield m.group()
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _repeats(codes: np.ndarray) -> int:
+    """Runs of three or more of one character, line ends aside."""
+    same = (codes[1:] == codes[:-1]) & (codes[1:] != 10)
+    third = same[1:] & same[:-1]
+    return int(third.sum() - (third[1:] & third[:-1]).sum()) if len(third) else 0
+
+
 def terms(word: str) -> list[str]:
     """The entries that a word can meet: itself and its beginnings."""
     return [f"={word}", *(f"^{word[:k]}" for k in BEGINNINGS if len(word) > k)]
@@ -145,11 +171,13 @@ def text_features(text: str | None, marks: Marks) -> tuple[list[float], list[lis
         right = np.where(k < len(you), you[np.minimum(k, len(you) - 1)] - insults, NEAR + 1)
         near = int((np.minimum(left, right) <= NEAR).sum())
     disguised = n_mixed = 0
-    for m in (*_MIXED.finditer(low), *_SPACED.finditer(low)):
+    for part in _disguised(low):
         n_mixed += 1
-        plain = m.group().translate(_PLAIN).strip("#%&,;:?\"'()")
-        disguised += plain in _INSULT_SET
-    capitals = sum(map(str.isupper, text)) if not text.islower() else 0
+        disguised += part.translate(_PLAIN).strip("#%&,;:?\"'()") in _INSULT_SET
+    codes = _codes(low)
+    # Capitals are what lower case changes.
+    own = codes if text == low else _codes(text)
+    capitals = int((own != codes).sum()) if len(own) == len(codes) else sum(map(str.isupper, text))
     shouted = sum(1 for t in text.split() if len(t) > 2 and t.isupper()) if capitals else 0
     plain = [
         len(insults) / n_words,
@@ -163,7 +191,7 @@ def text_features(text: str | None, marks: Marks) -> tuple[list[float], list[lis
         text.count("!") / n_chars,
         n_mixed / n_words,
         float(disguised),
-        sum(1 for _ in _REPEAT.finditer(low)) / n_words,
+        _repeats(codes) / n_words,
         float(np.log1p(n_words)),
     ]
     learned = []
