@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soilcast.functions.numeric import nan_to_null
+from soilcast.operators import patterns
 from soilcast.operators.joins import join_fitted
 from soilcast.session import materialize
 
@@ -149,7 +150,7 @@ def fit_iterative(
     rounds: int = 5,
     tol: float | None = None,
     ridge: float = 0.0,
-    method: str = "passes",
+    method: str = "factors",
 ) -> IterativeFill:
     """Chained linear regressions.
 
@@ -159,24 +160,27 @@ def fit_iterative(
 
     ``method`` is the caller's choice, the result is the same:
 
-    * ``passes`` (any number of columns): one aggregation over the data per (round, column). A round's values
-      are written, so each pass replays one round at most;
+    * ``factors`` (any number of columns): the data is read once for the means and once to be compressed by gaps
+      (``patterns.compress``). A round then takes one pass over the compressed rows per block of columns, and p×p sums
+      per set of gaps within the block come to the driver;
+    * ``passes`` (any number of columns): one aggregation over the data per (round, column), without Python workers. A
+      round's values are written, so each pass replays one round at most;
     * ``patterns`` (``MAX_PATTERN_COLS`` columns at most): within one missingness pattern every current value
       is an affine map of the row's observed values, so all regressions follow from counts, sums and second
       moments per pattern. ONE aggregation with at most 2^p groups, then p×p matrices on the driver.
     """
-    if method not in ("passes", "patterns"):
+    methods = {"factors": _fit_by_factors, "passes": _fit_by_passes, "patterns": _fit_by_patterns}
+    if method not in methods:
         raise ValueError(f"fit_iterative: unknown method {method!r}")
     if method == "patterns" and len(cols) > MAX_PATTERN_COLS:
-        raise ValueError(f"method 'patterns' takes {MAX_PATTERN_COLS} columns at most, got {len(cols)}; use 'passes'")
+        raise ValueError(f"method 'patterns' takes {MAX_PATTERN_COLS} columns at most, got {len(cols)}; use 'factors'")
     mrow = df.agg(*[F.avg(c).alias(c) for c in cols]).first()
     empty = [c for c in cols if mrow[c] is None]
     cols = [c for c in cols if mrow[c] is not None]
     means = [float(mrow[c]) for c in cols]
     if not cols:
         return IterativeFill([], [], [], empty)
-    fit = _fit_by_patterns if method == "patterns" else _fit_by_passes
-    return IterativeFill(cols, means, fit(df, cols, means, rounds, tol, ridge), empty)
+    return IterativeFill(cols, means, methods[method](df, cols, means, rounds, tol, ridge), empty)
 
 
 def _solve_step(G, h, ridge: float, others: list[int], p: int):
@@ -279,6 +283,31 @@ def _fit_by_passes(df, cols, means, rounds, tol, ridge) -> list:
     return done.steps
 
 
+def _fit_by_factors(df, cols, means, rounds, tol, ridge) -> list:
+    p = len(cols)
+    state = materialize(patterns.compress(df, [F.col(c) for c in cols], means), "iterative_factors")
+    done = _Progress()
+    for rnd in range(1, rounds + 1):
+        done.delta, replayed = 0.0, []
+        for block in patterns.column_blocks(p):
+            products = patterns.block_products(state, p, block, replayed)
+            for i, j in enumerate(block):
+                others = [k for k in range(p) if k != j]
+                at = [0] + [1 + k for k in others]
+                observed = sum(g for kind, g in products.items() if not kind >> i & 1)
+                alpha, beta = _solve_step(observed[np.ix_(at, at)], observed[at, 1 + j], ridge, others, p)
+                done.add(rnd, j, alpha, beta)
+                refill = np.eye(p + 1)
+                refill[1 + j] = np.concatenate([[alpha], beta])
+                products = {kind: refill @ g @ refill.T if kind >> i & 1 else g for kind, g in products.items()}
+                replayed.append((j, refill[1 + j]))
+        if tol is not None and done.delta < tol:
+            break
+        if rnd < rounds:
+            state = materialize(patterns.moved(state, p, replayed), "iterative_round")
+    return done.steps
+
+
 def hide_cells(
     df: DataFrame, cols: list[str], keys: list[str], share: float = 0.1, suffix: str = "_true", rule=None
 ) -> DataFrame:

@@ -154,6 +154,90 @@ def test_iterative_methods_agree(spark):
         assert a1 == pytest.approx(a2, abs=1e-9) and b1 == pytest.approx(b2, abs=1e-9)
 
 
+def wide_frame(spark, n: int, p: int, gaps: np.ndarray, seed: int):
+    """Correlated columns with the given gaps."""
+    rng = np.random.default_rng(seed)
+    X = rng.normal(size=(n, 4)) @ rng.normal(size=(4, p)) + 0.5 * rng.normal(size=(n, p)) + 2
+    X[gaps] = np.nan
+    cols = [f"x{j}" for j in range(p)]
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in X[i]]) for i in range(n)]
+    return spark.createDataFrame(rows, "id int, " + ", ".join(f"{c} double" for c in cols)), cols, X
+
+
+def replayed(fill, X: np.ndarray) -> np.ndarray:
+    """The fitted steps applied to rows on the driver."""
+    miss = np.isnan(X)
+    U = np.where(miss, 0.0, X - fill.means)
+    for _, j, alpha, beta in fill.steps:
+        U[miss[:, j], j] = (alpha + U @ beta)[miss[:, j]]
+    return U + fill.means
+
+
+def test_iterative_factors_of_64_columns_equal_brute_force(spark):
+    p, n = 64, 600
+    rng = np.random.default_rng(64)
+    kinds = rng.random((9, p)) < 0.15  # a few sets of gaps, one of them with most rows
+    gaps = kinds[np.where(rng.random(n) < 0.6, 0, rng.integers(0, 9, n))]
+    gaps[:40] = rng.random((40, p)) < 0.1  # and rows whose gaps nobody shares
+    gaps[40:240] = False  # every column is observed
+    df, cols, X = wide_frame(spark, n, p, gaps, 64)
+    fill = fit_iterative(df.repartition(5), cols, rounds=2, method="factors")
+    assert [s[:2] for s in fill.steps] == [(r, j) for r in (1, 2) for j in range(p)]
+    assert np.allclose(replayed(fill, X), brute_force_chained(X, 2), atol=1e-6)
+
+
+def test_iterative_factors_equal_passes(spark):
+    p, n = 6, 500
+    gaps = np.random.default_rng(6).random((n, p)) < 0.2
+    df, cols, X = wide_frame(spark, n, p, gaps, 6)
+    fast, slow = (fit_iterative(df, cols, rounds=2, method=m) for m in ("factors", "passes"))
+    for (r1, j1, a1, b1), (r2, j2, a2, b2) in zip(fast.steps, slow.steps, strict=True):
+        assert (r1, j1) == (r2, j2)
+        assert a1 == pytest.approx(a2, abs=1e-8) and b1 == pytest.approx(b2, abs=1e-8)
+
+
+def test_iterative_factors_of_20_columns_equal_brute_force(spark):
+    p, n = 20, 800
+    gaps = np.random.default_rng(20).random((n, p)) < 0.12  # nearly every row has gaps of its own
+    df, cols, X = wide_frame(spark, n, p, gaps, 20)
+    assert np.allclose(replayed(fit_iterative(df, cols, rounds=3), X), brute_force_chained(X, 3), atol=1e-7)
+
+
+def test_iterative_factors_read_the_data_once_and_stay_small(spark):
+    from soilcast.operators import patterns
+
+    rng = np.random.default_rng(8)
+    n, p = 5000, 3
+    gaps = np.zeros((n, p), bool)
+    gaps[:, 1] = rng.random(n) < 0.9  # most rows share one set of gaps
+    df, cols, X = wide_frame(spark, n, p, gaps, 8)
+    for held in (1 << 10, 1 << 25):  # handed on often, or once
+        state = patterns.compress(df.repartition(7), [F.col(c) for c in cols], [0.0] * p, held_bytes=held)
+        rows = {bytes(r.gaps): np.frombuffer(bytes(r.factor), "<f8").reshape(-1, p + 1) for r in state.collect()}
+        assert len(rows) == state.count() == 2
+        for key, m in rows.items():
+            at = np.packbits(gaps, axis=1)[:, 0] == key[0]
+            want = np.column_stack([np.ones(at.sum()), np.where(gaps[at], 0.0, X[at])])
+            assert len(m) <= p + 1 and np.allclose(m.T @ m, want.T @ want)
+
+
+def test_iterative_factors_of_no_rows_nan_and_one_column(spark):
+    none = spark.createDataFrame([], "a double, b double")
+    assert fit_iterative(none, ["a", "b"], rounds=2).steps == []
+    one = spark.createDataFrame([(1.0,), (None,), (3.0,)], "a double")
+    fill = fit_iterative(one, ["a"], rounds=2)
+    assert sorted(r.a for r in fill.transform(one).collect()) == pytest.approx([1.0, 2.0, 3.0])
+
+
+def test_column_blocks_stay_within_their_bytes():
+    from soilcast.operators.patterns import column_blocks
+
+    for p in (1, 3, 12, 64, 300, 1000):
+        blocks = column_blocks(p)
+        assert [j for b in blocks for j in b] == list(range(p))
+        assert all(len(b) == 1 or (8 << len(b)) * (p + 1) ** 2 <= 1 << 20 for b in blocks)
+
+
 def test_iterative_collinear_columns_with_and_without_ridge(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=300) + 4
