@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import held, map_batches, reserved, stored
 
 #: Pieces, and letter runs, whose ids a worker keeps; the memory this takes is bounded by them.
-CACHED_PIECES = 200_000
-CACHED_RUNS = 100_000
+CACHED_PIECES = 400_000
+CACHED_RUNS = 200_000
 #: Bytes of a piece that is kept, at most.
 KEPT_BYTES = 256
 #: Rows handed on at a time.
@@ -194,35 +194,37 @@ class Encoder:
             self.cores = dict(islice(self.cores.items(), CACHED_RUNS // 2))
         if len(self.tails) > CACHED_PIECES // 10:
             self.tails = {"": b""}
-        cores, tails, found = self.cores, self.tails, {}
-        rest = pieces
+        cores, tails, out = self.cores, self.tails, [None] * len(pieces)
+        rest = range(len(pieces))
         if self.letters:
-            special = [p for p in pieces if "<" in p and self._has_special(p)]
-            split = [(p, p.rstrip(_TAIL)) for p in pieces]
-            runs = list({c for _, c in split if c not in cores and self._known_letters(c)})
+            rest = [i for i, p in enumerate(pieces) if "<" in p and self._has_special(p)]
+            split = [p.rstrip(_TAIL) for p in pieces]
+            runs = [c for c in set(split).difference(cores) if self._known_letters(c)]
             for k in range(0, len(runs), 512):
                 cores.update(zip(runs[k : k + 512], self._letter_runs(runs[k : k + 512]), strict=True))
-            rest = special
-            for p, c in split:
+            for i, (p, c) in enumerate(zip(pieces, split, strict=True)):
                 ids = cores.get(c) if c else (b"" if len(p) <= self.leaf else None)
                 if ids is None:
-                    rest.append(p)
+                    rest.append(i)
                     continue
-                tail = p[len(c) :]
-                if tail not in tails:
-                    tails[tail] = self._one(tail)
-                found[p] = ids + tails[tail]
+                if len(c) < len(p):
+                    tail = p[len(c) :]
+                    if tail not in tails:
+                        tails[tail] = self._one(tail)
+                    ids = ids + tails[tail]
+                out[i] = ids
         together = []
-        for p in rest:
+        for i in rest:
+            p = pieces[i]
             if len(p) > self.leaf:
-                found[p] = np.asarray(self.long_piece(p), "<u4").tobytes()
+                out[i] = np.asarray(self.long_piece(p), "<u4").tobytes()
             elif self.mark is None or _MARK in p or self._has_special(p):
-                found[p] = self._one(p)
+                out[i] = self._one(p)
             else:
-                together.append(p)
+                together.append(i)
         for k in range(0, len(together), 8192):
             part = together[k : k + 8192]
-            ids = self.tokenizer.encode_batch_fast([f" {_MARK} ".join(part)], add_special_tokens=False)[0].ids
+            ids = self.tokenizer.encode_batch_fast([f" {_MARK} ".join([pieces[i] for i in part])], add_special_tokens=False)[0].ids
             ids = np.asarray(ids, "<u4")
             at = np.flatnonzero(ids == self.mark)
             if len(at) != len(part) - 1:
@@ -230,8 +232,9 @@ class Encoder:
             raw = ids.tobytes()
             starts = [0, *(4 * (at + 1)).tolist()]
             ends = [*(4 * at).tolist(), len(raw)]
-            found.update((p, raw[s:e]) for p, s, e in zip(part, starts, ends, strict=True))
-        return [found[p] for p in pieces]
+            for i, s, e in zip(part, starts, ends, strict=True):
+                out[i] = raw[s:e]
+        return out
 
     def _one(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -270,9 +273,11 @@ class Encoder:
             pieces = [raw[s:e] for s, e in zip(start[new].tolist(), end[new].tolist(), strict=True)]
             place: dict[bytes, int] = {}
             at = [place.setdefault(p, len(place)) for p in pieces]
-            got = self._ids_of([p.decode("utf-8") for p in place])
-            self.table.add(list(place), hashes[new][np.unique(at, return_index=True)[1]], got)
-            fresh = np.array([len(x) // 4 for x in got], np.int64)
+            first = np.empty(len(place), np.int64)
+            first[np.array(at[::-1], np.int64)] = new[::-1]
+            got = self._ids_of(b"\n".join(place).decode("utf-8").split("\n"))
+            self.table.add(list(place), hashes[first], got)
+            fresh = np.fromiter(map(len, got), np.int64, len(got)) // 4
             fresh_begin = len(self.table.ids) + np.cumsum(fresh) - fresh
         size = self.table.size[entry] if len(self.table.size) else np.zeros(len(entry), np.int64)
         begin = self.table.begin[entry] if len(self.table.size) else np.zeros(len(entry), np.int64)
@@ -322,7 +327,7 @@ class _Table:
 
     def __init__(self, bits: int = 18):
         self.hashes, self.entries = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
-        self.known = np.zeros(0, np.uint64)
+        self.known, self.hits = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.begin, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
         self.piece_begin, self.piece_size, self.pieces = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
@@ -355,18 +360,19 @@ class _Table:
         differ = np.flatnonzero(own != kept)
         if len(differ):
             out[where[np.searchsorted(stop, differ, side="right")]] = -1
+        self.hits += np.bincount(out[out >= 0], minlength=len(self.hits))
         return out
 
     def add(self, pieces: list[bytes], h: np.ndarray, ids: list[bytes]) -> None:
         """Keep pieces the table lacks: those of ``KEPT_BYTES`` at most whose hash is no other's."""
         first = np.zeros(len(h), bool)
         first[np.unique(h, return_index=True)[1]] = True
-        sizes = np.array([len(p) for p in pieces], np.int64)
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         keep = np.flatnonzero(first & (sizes <= KEPT_BYTES) & (self._entries(h) < 0))
         self._append([pieces[i] for i in keep.tolist()], h[keep], [ids[i] for i in keep.tolist()])
 
     def _append(self, pieces: list[bytes], fresh: np.ndarray, ids: list[bytes]) -> None:
-        size, psize = (np.array([len(x) // n for x in some], np.int64) for some, n in ((ids, 4), (pieces, 1)))
+        size, psize = (np.fromiter(map(len, some), np.int64, len(some)) // n for some, n in ((ids, 4), (pieces, 1)))
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), "<u4")])
@@ -374,6 +380,7 @@ class _Table:
         self.piece_size = np.concatenate([self.piece_size, psize])
         self.pieces = np.concatenate([self.pieces, np.frombuffer(b"".join(pieces), np.uint8)])
         self.known = np.concatenate([self.known, fresh])
+        self.hits = np.concatenate([self.hits, np.zeros(len(fresh), np.int64)])
         bits = len(self.hashes)
         while 3 * len(self.known) > bits:
             bits *= 2
@@ -396,21 +403,29 @@ class _Table:
             h, entry, slot = h[rest], entry[rest], (slot[rest] + np.uint64(1)) & mask
 
     def shrink(self, most: int) -> bool:
-        """Keep the first half of more than ``most`` entries: frequent pieces are met early."""
+        """Keep the half of more than ``most`` entries that was found most often, the earlier ones first."""
         n = most // 2
         if len(self.known) <= most:
             return False
-        known, begin, size, pb, ps = self.known[:n], self.begin[:n], self.size[:n], self.piece_begin[:n], self.piece_size[:n]
-        ids, pieces = self.ids[: int(begin[-1] + size[-1])].copy(), self.pieces[: int(pb[-1] + ps[-1])].copy()
+        kept = np.sort(np.argsort(-self.hits, kind="stable")[:n])
+        known, hits, size, psize = self.known[kept], self.hits[kept] // 2, self.size[kept], self.piece_size[kept]
+        ids, pieces = _stretches(self.ids, self.begin[kept], size), _stretches(self.pieces, self.piece_begin[kept], psize)
         self.__init__()
-        self.begin, self.size, self.ids, self.known = begin, size, ids, known
-        self.piece_begin, self.piece_size, self.pieces = pb, ps, pieces
+        self.size, self.ids, self.known, self.hits = size, ids, known, hits
+        self.piece_size, self.pieces = psize, pieces
+        self.begin, self.piece_begin = np.cumsum(size) - size, np.cumsum(psize) - psize
         self._append([], np.zeros(0, np.uint64), [])
         if 3 * len(known) <= len(self.hashes):
             self._place(known, np.arange(n))
         return True
 
 
+def _stretches(pool: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of ``pool`` that begin there, one after the other."""
+    stop = np.cumsum(size)
+    return pool[np.arange(int(stop[-1]) if len(stop) else 0) + np.repeat(begin - (stop - size), size)]
+
+
 def _latin1(text: str) -> bool:
     try:
         text.encode("latin-1")
