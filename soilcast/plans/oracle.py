@@ -200,6 +200,38 @@ def _iterative(cols: tuple[str, str] = ("a", "b"), rounds: int = 3) -> str:
     return ",\n".join(parts)
 
 
+def _iterative_abc(rounds: int) -> str:
+    """Chained regressions of a, b and c on the two others, solved from the moments; the last CTE is itf3."""
+    cols = ("a", "b", "c")
+    start = ", ".join(f"coalesce(obs.{c}, m_{c}) AS z_{c}" for c in cols)
+    parts = [
+        "im3 AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}" for c in cols) + " FROM tr)",
+        f"it3_0 AS MATERIALIZED (SELECT obs.k1, obs.k2, obs.split, obs.a, obs.b, obs.c, {start} FROM obs, im3)",
+    ]
+    prev, step = "it3_0", 0
+    for _ in range(rounds):
+        for t in cols:
+            u, v = (c for c in cols if c != t)
+            step += 1
+            parts.append(
+                f"mo3_{step} AS (SELECT var_pop(z_{u}) AS uu, var_pop(z_{v}) AS vv, covar_pop(z_{u}, z_{v}) AS uv, "
+                f"covar_pop(z_{u}, {t}) AS ut, covar_pop(z_{v}, {t}) AS vt, avg(z_{u}) AS mu, avg(z_{v}) AS mv, avg({t}) AS mt "
+                f"FROM {prev} WHERE split = 'train' AND {t} IS NOT NULL)"
+            )
+            parts.append(
+                f"sl3_{step} AS (SELECT (ut * vv - vt * uv) / (uu * vv - uv * uv) AS su, "
+                f"(vt * uu - ut * uv) / (uu * vv - uv * uv) AS sv, mu, mv, mt FROM mo3_{step})"
+            )
+            parts.append(
+                f"co3_{step} AS MATERIALIZED (SELECT su, sv, mt - su * mu - sv * mv AS i FROM sl3_{step})"
+            )
+            z = {c: f"z_{c}" for c in cols} | {t: f"CASE WHEN {t} IS NULL THEN i + su * z_{u} + sv * z_{v} ELSE {t} END"}
+            moved = ", ".join(f"{e} AS z_{c}" for c, e in z.items())
+            parts.append(f"it3_{step} AS MATERIALIZED (SELECT k1, k2, split, a, b, c, {moved} FROM {prev}, co3_{step})")
+            prev = f"it3_{step}"
+    return ",\n".join([*parts, f"itf3 AS (SELECT * FROM {prev})"])
+
+
 def _mean_fills(cols=("a", "b", "c")) -> str:
     means = ", ".join(f"avg({c}) AS m_{c}" for c in cols)
     return (
@@ -336,6 +368,27 @@ def oracle_sql() -> dict[str, str]:
         ]
     )
     q["imputation_error"] = with_obs(body + " " + " UNION ALL ".join(err))
+    q["impute_iterative_abc"] = with_obs(
+        _iterative_abc(3) + " SELECT k1, k2, " + ", ".join(f"{r(f'z_{c}', R4)} AS {c}" for c in "abc") + " FROM itf3"
+    )
+    coef3 = []
+    for k in range(9):
+        t = "abc"[k % 3]
+        u, v = (c for c in "abc" if c != t)
+        for term, value in (("intercept", "i"), (u, "su"), (v, "sv")):
+            coef3.append(f"SELECT {k // 3 + 1} AS round, '{t}' AS column, '{term}' AS term, {r(value, R4)} AS value FROM co3_{k + 1}")
+    q["iterative_coefficients_abc"] = with_obs(_iterative_abc(3) + " " + " UNION ALL ".join(coef3))
+    err3 = []
+    for t, expr in fills.items():
+        for c in "abc":
+            e = f"({expr.format(c=c)} - o.{c}0)"
+            err3.append(
+                f"SELECT '{t}' AS treatment, '{c}' AS column, count(*) AS n, {r(f'sqrt(avg({e} * {e}))', R4)} AS rmse, "
+                f"{r(f'avg(abs({e}))', R4)} AS mae FROM j3 o WHERE o.{c} IS NULL"
+            )
+    filled = ", ".join(f"sm.m_{c} AS s_{c}, gm.m_{c}, itf3.z_{c}" for c in "abc")
+    j3 = f"j3 AS MATERIALIZED (SELECT obs.*, {filled} FROM obs LEFT JOIN sm USING (season) CROSS JOIN gm JOIN itf3 USING (k1, k2))"
+    q["imputation_error_all"] = with_obs(",\n".join([_mean_fills(), _iterative_abc(5), j3]) + " " + " UNION ALL ".join(err3))
     # Features and splits
     feats = [f"coalesce({c}, m_{c})" for c in "abc"]
     feats += [f"CASE WHEN season = '{s}' THEN 1e0 ELSE 0e0 END" for s in ["winter", "spring", "summer", "autumn"]]

@@ -202,6 +202,22 @@ def q_iterative_coefficients(spark, sf):
     return rounded(spark.createDataFrame(fill.coefficients(), schema), 4)
 
 
+def q_impute_iterative_abc(spark, sf):
+    """Three columns by the default method."""
+    obs = prepared(spark, sf)
+    train, _ = train_test(obs)
+    fill = fit_iterative(train, ["a", "b", "c"], rounds=3)
+    return rounded(fill.transform(obs).select("k1", "k2", "a", "b", "c"), 4)
+
+
+def q_iterative_coefficients_abc(spark, sf):
+    obs = prepared(spark, sf)
+    train, _ = train_test(obs)
+    fill = fit_iterative(train, ["a", "b", "c"], rounds=3)
+    schema = "round int, column string, term string, value double"
+    return rounded(spark.createDataFrame(fill.coefficients(), schema), 4)
+
+
 def q_imputation_error(spark, sf):
     obs = prepared(spark, sf)
     train, _ = train_test(obs)
@@ -215,14 +231,14 @@ def q_imputation_error(spark, sf):
 
 
 def q_imputation_error_all(spark, sf):
-    """All three gap columns (the SQL oracle covers the two-column form; this one is rows-only)."""
+    """All three gap columns."""
     obs = prepared(spark, sf)
     train, _ = train_test(obs)
     cols = ["a", "b", "c"]
     fills = {
         "mean": fit_mean(train, cols),
         "mean_by_season": fit_mean(train, cols, by=["season"]),
-        "iterative": fit_iterative(train, cols, rounds=5, method="patterns"),
+        "iterative": fit_iterative(train, cols, rounds=5),
     }
     return rounded(imputation_error(obs, cols, TRUTH, fills), 4)
 
@@ -396,7 +412,9 @@ def queries() -> dict[str, Query]:
         "keep_missing": q_keep_missing,
         "complete_cases": q_complete_cases,
         "impute_iterative": q_impute_iterative,
+        "impute_iterative_abc": q_impute_iterative_abc,
         "iterative_coefficients": q_iterative_coefficients,
+        "iterative_coefficients_abc": q_iterative_coefficients_abc,
         "imputation_error": q_imputation_error,
         "imputation_error_all": q_imputation_error_all,
         "encode_season": q_encode_season,
