@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import held, map_batches, reserved, stored
 
-#: Pieces, and letter runs, whose ids a worker keeps; the memory this takes is bounded by them.
-CACHED_PIECES = 400_000
-CACHED_RUNS = 200_000
+#: Pieces whose ids a worker keeps, and half as many letter runs; the memory this takes is bounded by them.
+CACHED_PIECES = 200_000
 #: Bytes of a piece that is kept, at most.
 KEPT_BYTES = 256
 #: Rows handed on at a time.
@@ -41,9 +40,9 @@ _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _MARK = "\x01"
 
 
-def encoder(path: str, leaf: int = LEAF) -> "Encoder":
-    """The encoder of this process for the tokenizer file at ``path``."""
-    return held(("encoder", path, leaf), lambda: Encoder(path, leaf))
+def encoder(path: str, leaf: int = LEAF, kept: int | None = None) -> "Encoder":
+    """The encoder of this process for the tokenizer file at ``path``, which keeps the ids of ``kept`` pieces (``CACHED_PIECES``)."""
+    return held(("encoder", path, leaf, kept), lambda: Encoder(path, leaf, kept))
 
 
 class Symbols:
@@ -114,11 +113,11 @@ class Symbols:
 
 
 class Encoder:
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF, kept: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.leaf = leaf
+        self.leaf, self.kept = leaf, kept or CACHED_PIECES
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -190,9 +189,9 @@ class Encoder:
 
     def _ids_of(self, pieces: list[str]) -> list[bytes]:
         """The ids of distinct pieces, those that are letters with marks behind them by their words."""
-        if len(self.cores) > CACHED_RUNS:
-            self.cores = dict(islice(self.cores.items(), CACHED_RUNS // 2))
-        if len(self.tails) > CACHED_PIECES // 10:
+        if len(self.cores) > self.kept // 2:
+            self.cores = dict(islice(self.cores.items(), self.kept // 4))
+        if len(self.tails) > self.kept // 10:
             self.tails = {"": b""}
         cores, tails, out = self.cores, self.tails, [None] * len(pieces)
         rest = range(len(pieces))
@@ -266,7 +265,7 @@ class Encoder:
         entry = self.table.find(hashes, data, start, end)
         new = np.flatnonzero(entry < 0)
         if len(new):
-            if self.table.shrink(CACHED_PIECES):
+            if self.table.shrink(self.kept):
                 entry = self.table.find(hashes, data, start, end)
                 new = np.flatnonzero(entry < 0)
             raw = data.tobytes()

@@ -25,6 +25,8 @@ from .common import map_batches, scratch, stored
 
 #: Greatest code length in bits.
 LIMIT = 18
+#: Pieces whose ids a worker keeps.
+KEPT_PIECES = 400_000
 #: Ids between two checkpoints of a block.
 EVERY = 256
 #: Ids after which a block is closed; a document never leaves its block.
@@ -135,7 +137,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: st
     rows = rows.withColumn("tie", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard, at = encoder(path, leaf), TaskContext.get().partitionId(), 0
+        enc, shard, at = encoder(path, leaf, KEPT_PIECES), TaskContext.get().partitionId(), 0
         small = max(enc.vocab_size, end_id + 1) <= 1 << 16
         for b in sliced(batches):
             ids, ends = enc.encode_all(b.column("text").to_pylist())
