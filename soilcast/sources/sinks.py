@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import AtomicType, StructType
 
 
 def write_results(
@@ -59,6 +59,13 @@ def manifest(spark: SparkSession, path: str) -> dict[str | None, str]:
     return {s: folder for s, folder in json.loads(text)}
 
 
+def _evened(df: DataFrame) -> DataFrame:
+    """Rows dealt to tasks of the size that adaptive execution aims at, whatever the tasks that made them hold: a write by partition
+    sorts all rows of its task. Dealt by their values, as an exchange without keys would sort them too."""
+    cols = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+    return df.hint("rebalance", *cols) if cols else df
+
+
 def commit_results(df: DataFrame, path: str, scenario: str = "scenario", max_records_per_file: int = 5_000_000) -> int:
     """Replace the scenarios that ``df`` holds; the others stay. Returns the version.
 
@@ -72,7 +79,7 @@ def commit_results(df: DataFrame, path: str, scenario: str = "scenario", max_rec
     known = manifest(spark, path)
     number = (before[-1] if before else 0) + 1
     folder = f"data/{number}-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", max_records_per_file).partitionBy(scenario).parquet(f"{path}/{folder}")
+    _evened(df).write.option("maxRecordsPerFile", max_records_per_file).partitionBy(scenario).parquet(f"{path}/{folder}")
     fs, Path = _fs(spark, path)
     held = [f.getPath().getName() for f in fs.listStatus(Path(f"{path}/{folder}")) if f.isDirectory() and f.getPath().getName().startswith(f"{scenario}=")]
     unescape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName

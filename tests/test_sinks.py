@@ -68,3 +68,14 @@ def test_metrics_expand_only_the_small_table(spark):
     assert whole["a"].n == 200 and whole["a"].rmse == pytest.approx((sse / 200) ** 0.5)
     assert whole["a"].r2 == pytest.approx(1 - sse / sum((y - mean) ** 2 for y in ys), rel=1e-9)
     assert whole["b"].mae == pytest.approx(sum(abs(a - b) for a, b in zip(ys, ps)) / 200)
+
+
+def test_rows_are_dealt_anew_before_the_write_sorts_them(spark):
+    """A write by partition sorts all rows of its task, so its tasks must not be as large as those that made the rows."""
+    from soilcast.sources.sinks import _evened
+
+    df = spark.range(1000).selectExpr("id k", "array(id) a", "map('x', id) m", "if(id % 2 = 0, 'a', null) `a b`")
+    plan = _evened(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("RebalancePartitions [k#")
+    assert sorted(_evened(df).select("k").toPandas()["k"]) == list(range(1000))
+    assert _evened(df.select("m")).count() == 1000
